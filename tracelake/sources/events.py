@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracelake.content.lookups import WINDOWS_AUTH_IDS, WINDOWS_PROCESS_IDS
 from tracelake.functions.text import cut, filled
@@ -51,7 +50,7 @@ def events_from_rows(spark: SparkSession, rows: list[str]) -> DataFrame:
 
 # ---- SRC-03: alerts -------------------------------------------------------
 
-ALERT_SCHEMA = T.StructType.fromDDL(
+ALERT_SCHEMA = (
     "id string, timestamp string, `@timestamp` string, "
     "rule struct<id:string,level:int,description:string,groups:array<string>,mitre:struct<id:array<string>>>, "
     "agent struct<id:string,name:string,ip:string>, syscheck struct<path:string>, "
@@ -62,8 +61,7 @@ ALERT_SCHEMA = T.StructType.fromDDL(
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """Alert NDJSON with the declared schema; lines that are no JSON are skipped."""
-    schema = T.StructType(ALERT_SCHEMA.fields + [T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE") \
+    rows = spark.read.schema(f"{ALERT_SCHEMA}, {CORRUPT} string").option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", CORRUPT).json(path)
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
@@ -146,7 +144,7 @@ def windows_timeline(events: DataFrame) -> DataFrame:
         event_id=code, raw=F.to_json("event"))
 
 
-WINDOWS_XML = T.StructType.fromDDL(
+WINDOWS_XML = (
     "System struct<EventID:string,Level:string,Computer:string,TimeCreated:struct<_SystemTime:string>>, "
     "EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>")
 
