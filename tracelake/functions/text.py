@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracelake.content.lookups import SUSPICIOUS_STRINGS
+from tracelake.functions.binding import let
 
 
 def _col(c) -> Column:
@@ -18,15 +21,18 @@ def text_entropy(value) -> Column:
     Each distinct character is counted by how much the text shrinks without it,
     which keeps the expression inside the JVM.
     """
-    low = F.lower(_col(value))
-    size = F.length(low)
-    letters = F.filter(F.array_distinct(F.split(low, "")), lambda c: c != F.lit(""))
 
-    def part(acc, letter):
-        share = (size - F.length(F.replace(low, letter, F.lit("")))) / size
-        return acc - share * F.log2(share)
+    def measure(low: Column) -> Column:
+        size = F.length(low)
+        letters = F.filter(F.array_distinct(F.split(low, "")), lambda c: c != F.lit(""))
+
+        def part(acc, letter):
+            share = (size - F.length(F.replace(low, letter, F.lit("")))) / size
+            return acc - share * F.log2(share)
 
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.aggregate(letters, F.lit(0.0), part))
+        return F.when(size == 0, F.lit(0.0)).otherwise(F.aggregate(letters, F.lit(0.0), part))
+
+    return let(F.lower(_col(value)), measure)
 
 
 def first_label(domain) -> Column:
@@ -43,14 +49,37 @@ def parent_technique(technique) -> Column:
     return F.split_part(_col(technique), F.lit("."), F.lit(1))
 
 
+def _literals(pattern: str) -> list[str] | None:
+    """The words of a pattern that is a plain list of words, ignoring case; else None."""
+    body = pattern.removeprefix("(?i)")
+    words = [w.replace("\\.", ".") for w in body.split("|")]
+    plain = pattern.startswith("(?i)") and all(re.fullmatch(r"[A-Za-z0-9_.,]+", w) for w in words)
+    dots = body.count(".") == body.count("\\.")
+    return [w.lower() for w in words] if plain and dots else None
+
+
 def string_reason(value) -> Column:
-    """Reason of the first matching suspicious pattern, or NULL."""
+    """Reason of the first matching suspicious pattern, or NULL.
+
+    Lists of words are substring tests on the lowered text, which is several times
+    faster than a case-insensitive regular expression; the others run as they are.
+    """
     value = _col(value)
-    chain = None
-    for pattern, reason in SUSPICIOUS_STRINGS:
-        hit = value.rlike(pattern)
-        chain = F.when(hit, reason) if chain is None else chain.when(hit, reason)
-    return chain
+
+    def choose(pair: Column) -> Column:
+        chain = None
+        for pattern, reason in SUSPICIOUS_STRINGS:
+            words = _literals(pattern)
+            if words is None:
+                hit = pair["raw"].rlike(pattern)
+            else:
+                hit = F.lit(False)
+                for word in words:
+                    hit = hit | F.contains(pair["low"], F.lit(word))
+            chain = F.when(hit, reason) if chain is None else chain.when(hit, reason)
+        return chain
+
+    return let(F.struct(value.alias("raw"), F.lower(value).alias("low")), choose)
 
 
 def suspicious_strings(strings, width: int = 200) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.binding import let
+
 # ---------------------------------------------------------------------------
 # Token patterns and private ranges.
 # ---------------------------------------------------------------------------
@@ -21,6 +23,9 @@ REGISTRY = (
 )
 PRIVATE_IPV4 = r"^(10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.|127\.|0\.)"
 
+# Start of any digest.
+HEX_RUN = r"\b[0-9a-fA-F]{32}"
+
 # Patterns of the event matcher, applied to lowered text.
 EVENT_IP = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 EVENT_DOMAIN = r"\b(?:[a-z0-9][-a-z0-9]{0,61}[a-z0-9]?\.)+[a-z]{2,}\b"
@@ -54,7 +59,7 @@ def is_private(ip) -> Column:
 
 def ipv4(text, exclude_private: bool = True) -> Column:
     text = _col(text)
-    found = _gated(text.contains("."), find_all(text, IPV4))
+    found = _gated(text.rlike(r"\d\.\d"), find_all(text, IPV4))
     return F.filter(found, lambda v: ~is_private(v)) if exclude_private else found
 
 
@@ -63,18 +68,20 @@ def urls(text) -> Column:
     return _gated(text.contains("://"), find_all(text, URL))
 
 
-def domains(text, url_list: Column | None = None) -> Column:
+def domains(text) -> Column:
     """Domains, lowered. A domain that is part of a URL of the same text is left out."""
     text = _col(text)
-    url_list = urls(text) if url_list is None else url_list
-    found = _gated(text.contains("."), find_all(text, DOMAIN))
-    alone = F.filter(found, lambda d: ~F.exists(url_list, lambda u: F.contains(u, d)))
+    # Every domain ends in a dot between a letter or digit and two letters.
+    found = _gated(text.rlike(r"[a-zA-Z0-9]\.[a-zA-Z]{2}"), find_all(text, DOMAIN))
+    alone = let(F.struct(found.alias("found"), urls(text).alias("urls")), lambda v: F.filter(
+        v["found"], lambda d: ~F.exists(v["urls"], lambda u: F.contains(u, d))))
     return F.transform(alone, F.lower)
 
 
 def digests(text, pattern: str) -> Column:
     """Hex digests, lowered. Word boundaries on both ends keep the lengths apart."""
-    return F.transform(find_all(text, pattern), F.lower)
+    text = _col(text)
+    return F.transform(_gated(text.rlike(HEX_RUN), find_all(text, pattern)), F.lower)
 
 
 def emails(text) -> Column:
@@ -146,8 +153,9 @@ def event_token_rows(df: DataFrame, text: str, ids: list[str], distinct: bool =
     extended also yields url, email, cve, md5 and sha1 tokens.
     """
     low = F.lower(_col(text))
-    plan = [("ip", find_all(low, EVENT_IP)), ("domain", find_all(low, EVENT_DOMAIN)),
-            ("hash_sha256", find_all(low, EVENT_SHA256))]
+    plan = [("ip", _gated(low.rlike(r"\d\.\d"), find_all(low, EVENT_IP))),
+            ("domain", _gated(low.rlike(r"[-a-z0-9]\.[a-z]{2}"), find_all(low, EVENT_DOMAIN))),
+            ("hash_sha256", _gated(low.rlike(HEX_RUN), find_all(low, EVENT_SHA256)))]
     if extended:
         plan += [
             ("url", urls(low)), ("email", emails(low)),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.content.lookups import INDICATOR_TYPES
+from tracelake.functions.binding import let
 from tracelake.functions.tokens import event_token_rows
 from tracelake.operators.ordered import first_per_group
 
@@ -70,17 +71,21 @@ def _words(text) -> Column:
 
 def _inner_words(text) -> Column:
     """Words of a keyword that have a separator on both sides inside it."""
-    parts = F.split(text, "[^A-Za-z0-9]+")
-    inner = F.when(F.size(parts) > 2, F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))) \
-             .otherwise(F.array().cast("array<string>"))
+    inner = let(F.split(text, "[^A-Za-z0-9]+"), lambda parts: F.when(
+        F.size(parts) > 2, F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))))
+        .otherwise(F.array().cast("array<string>")))
     return F.filter(inner, lambda w: w != F.lit(""))
 
 
 def _grams(words: Column, n: int) -> Column:
-    last = F.size(words) - n
-    made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                       lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
-    return F.when(last >= 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of n words. The word list is laid beside itself, shifted, so the work is linear."""
+
+    def build(w: Column) -> Column:
+        shifted = [F.slice(w, F.lit(i + 1), F.greatest(F.size(w) - i, F.lit(0))).alias(f"w{i}") for i in range(n)]
+        runs = F.filter(F.arrays_zip(*shifted), lambda z: z[f"w{n - 1}"].isNotNull())
+        return F.array_distinct(F.transform(runs, lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(n)])))
+
+    return let(words, build)
 
 
 def match_keywords(texts: DataFrame, text: str, ids: list[str], feed: DataFrame, keyword: str,
@@ -110,10 +115,9 @@ def match_keywords(texts: DataFrame, text: str, ids: list[str], feed: DataFrame,
     lengths = short_feed.select(F.collect_set(F.length("_key"))).scalar()
     pieces = F.array_distinct(F.flatten(F.transform(
         F.col("_lengths"),
-        lambda n: F.transform(
-            F.when(F.length("_text") >= n, F.sequence(F.lit(1), F.length("_text") - n + 1))
-            .otherwise(F.array().cast("array<int>")),
-            lambda i: F.substring(F.col("_text"), i, n)))))
+        # All runs of n characters, found by one pass of a look-ahead.
+        lambda n: F.regexp_extract_all(F.col("_text"), F.concat(
+            F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1)))))
     candidates = candidates.unionByName(
         t.withColumn("_lengths", lengths).select(*ids, F.explode(pieces).alias("_key"))
         .join(short_feed, "_key").drop("_key"))
