@@ -30,4 +30,4 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     df = entry.entry(spark)
-    assert df.columns == ["doc_id", "ioc_type", "value", "pages"]
+    assert df.columns == ["event_id", "host", "rule_id", "level", "mitre"] and df.count() > 0

@@ -59,13 +59,17 @@ ALERT_SCHEMA = (
 )
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """Alert NDJSON with the declared schema; lines that are no JSON are skipped."""
-    rows = spark.read.schema(f"{ALERT_SCHEMA}, {CORRUPT} string").option("mode", "PERMISSIVE") \
-        .option("columnNameOfCorruptRecord", CORRUPT).json(path)
+def parse_alert_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Alert NDJSON lines (batch or stream) with the declared schema; lines that are no JSON are skipped."""
+    parsed = F.from_json(column, f"{ALERT_SCHEMA}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+    rows = lines.where(F.trim(column) != "").select(parsed.alias("a")).select("a.*")
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    return parse_alert_lines(spark.read.text(path))
+
+
 def flat_alerts(alerts: DataFrame) -> DataFrame:
     """Flat alert columns, as the outgoing rows and the alert query need them."""
     return alerts.select(
