@@ -78,8 +78,14 @@ def test_first_per_group_limits_before_the_shuffle(events):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_no_task_sees_a_whole_hot_key(events):
-    """The window of a chunked scan is partitioned by chunk as well as key."""
-    got = od.with_previous(events, ["key"], ["ts", "id"], F.col("id"), od.time_chunk("ts", 60), "p")
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "Window [lag(_value" in plan and "[key#" in plan and "_chunk#" in plan
+def test_rows_are_shuffled_once_by_key_and_chunk(spark, events):
+    """The window and the join back share one partitioning, which includes the chunk."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = od.with_previous(events, ["key"], ["ts", "id"], F.col("id"), od.time_chunk("ts", 60), "p")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One for the rows; for the states of the chunks one by slot, one by key, one by slot for the join.
+    assert plan.count("Exchange hashpartitioning(_slot") == 3
+    assert plan.count("Exchange hashpartitioning(") == 4

@@ -9,14 +9,13 @@ the result is the same as that of the plain window.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.times import micros
 
 CHUNK = "_chunk"
+SLOT = "_slot"
 LINES = 65_536
 
 
@@ -29,66 +28,81 @@ def line_chunk(position, lines: int = LINES) -> Column:
     return F.floor(position / F.lit(lines)).cast("bigint")
 
 
-def _inside(keys, order):
-    return Window.partitionBy(*keys, CHUNK).orderBy(*order)
+def _slotted(df: DataFrame, keys, value: Column, chunk: Column) -> DataFrame:
+    """Rows with their slot, struct(keys, chunk), in place of the key columns, and _value.
+
+    The slot is the partition key of the window and the key of the join that brings
+    the carried state back, so the rows are shuffled once. A struct is never NULL,
+    so rows whose keys are NULL find their state as well.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(F.struct(*keys, chunk.alias(CHUNK)).alias(SLOT), *rest, value.alias("_value"))
+
+
+def _inside(order):
+    return Window.partitionBy(SLOT).orderBy(*order)
 
 
 def _across(keys):
-    return Window.partitionBy(*keys).orderBy(CHUNK)
+    return Window.partitionBy(*[f"{SLOT}.{k}" for k in keys]).orderBy(f"{SLOT}.{CHUNK}")
+
+
+def _finish(rows: DataFrame, carry: DataFrame, df: DataFrame, keys, result: Column, name: str) -> DataFrame:
+    """Join the state of each chunk to its rows and restore the columns of df."""
+    joined = rows.join(carry.select(SLOT, "_carry"), SLOT, "left")
+    kept = [F.col(f"{SLOT}.{c}").alias(c) if c in keys else F.col(c) for c in df.columns if c != name]
+    return joined.select(*kept, result.alias(name))
 
 
-def _with_carry(df: DataFrame, carry: DataFrame, keys, names) -> DataFrame:
-    """Bring the per-chunk state back to the rows; keys may be NULL."""
-    on = [*keys, CHUNK]
-    right = carry.select(*[F.col(k).alias(f"_r_{k}") for k in on], *names)
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on])
-    return df.join(right, match, "left").drop(*[f"_r_{k}" for k in on])
+def _order_check(order, keys) -> list:
+    """Keys are constant within a slot, so they add nothing to its order."""
+    return [o for o in order if not (isinstance(o, str) and o in keys)]
 
 
 def with_previous(df: DataFrame, keys, order, value: Column, chunk: Column, name: str = "previous") -> DataFrame:
     """value of the row before, in order, within the keys (lag by one)."""
-    d = df.withColumn(CHUNK, chunk).withColumn("_value", F.struct(value.alias("v")))
-    last = d.groupBy(*keys, CHUNK).agg(F.max_by("_value", F.struct(*order)).alias("_last"))
+    order = _order_check(order, keys)
+    d = _slotted(df, keys, F.struct(value.alias("v")), chunk)
+    last = d.groupBy(SLOT).agg(F.max_by("_value", F.struct(*order)).alias("_last"))
     carry = last.withColumn("_carry", F.lag("_last").over(_across(keys)))
-    d = d.withColumn("_near", F.lag("_value").over(_inside(keys, order)))
-    d = _with_carry(d, carry, keys, ["_carry"])
-    return d.withColumn(name, F.coalesce("_near", "_carry")["v"]).drop(CHUNK, "_value", "_near", "_carry")
+    rows = d.withColumn("_near", F.lag("_value").over(_inside(order)))
+    return _finish(rows, carry, df, keys, F.coalesce("_near", "_carry")["v"], name)
 
 
 def with_next(df: DataFrame, keys, order, value: Column, chunk: Column, name: str = "following") -> DataFrame:
     """value of the row after, in order, within the keys (lead by one)."""
-    d = df.withColumn(CHUNK, chunk).withColumn("_value", F.struct(value.alias("v")))
-    first = d.groupBy(*keys, CHUNK).agg(F.min_by("_value", F.struct(*order)).alias("_first"))
+    order = _order_check(order, keys)
+    d = _slotted(df, keys, F.struct(value.alias("v")), chunk)
+    first = d.groupBy(SLOT).agg(F.min_by("_value", F.struct(*order)).alias("_first"))
     carry = first.withColumn("_carry", F.lead("_first").over(_across(keys)))
-    d = d.withColumn("_near", F.lead("_value").over(_inside(keys, order)))
-    d = _with_carry(d, carry, keys, ["_carry"])
-    return d.withColumn(name, F.coalesce("_near", "_carry")["v"]).drop(CHUNK, "_value", "_near", "_carry")
+    rows = d.withColumn("_near", F.lead("_value").over(_inside(order)))
+    return _finish(rows, carry, df, keys, F.coalesce("_near", "_carry")["v"], name)
 
 
 def with_last_known(df: DataFrame, keys, order, value: Column, chunk: Column, name: str = "known") -> DataFrame:
     """Latest value that is not NULL at or before the row (forward fill)."""
-    d = df.withColumn(CHUNK, chunk).withColumn("_value", value)
+    order = _order_check(order, keys)
+    d = _slotted(df, keys, value, chunk)
     present = F.when(F.col("_value").isNotNull(), F.struct(*order))
-    last = d.groupBy(*keys, CHUNK).agg(F.max_by("_value", present).alias("_last"))
+    last = d.groupBy(SLOT).agg(F.max_by("_value", present).alias("_last"))
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
-    here = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_near", F.last("_value", ignorenulls=True).over(here))
-    d = _with_carry(d, carry, keys, ["_carry"])
-    return d.withColumn(name, F.coalesce("_near", "_carry")).drop(CHUNK, "_value", "_near", "_carry")
+    here = _inside(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = d.withColumn("_near", F.last("_value", ignorenulls=True).over(here))
+    return _finish(rows, carry, df, keys, F.coalesce("_near", "_carry"), name)
 
 
 def with_running_sum(df: DataFrame, keys, order, value: Column, chunk: Column, name: str = "running") -> DataFrame:
     """Sum from the start of the group up to the row."""
-    d = df.withColumn(CHUNK, chunk).withColumn("_value", value)
-    total = d.groupBy(*keys, CHUNK).agg(F.sum("_value").alias("_total"))
+    order = _order_check(order, keys)
+    d = _slotted(df, keys, value, chunk)
+    total = d.groupBy(SLOT).agg(F.sum("_value").alias("_total"))
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     carry = total.withColumn("_carry", F.sum("_total").over(before))
-    here = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_near", F.sum("_value").over(here))
-    d = _with_carry(d, carry, keys, ["_carry"])
-    return d.withColumn(name, F.coalesce("_near", F.lit(0)) + F.coalesce("_carry", F.lit(0))) \
-            .drop(CHUNK, "_value", "_near", "_carry")
+    here = _inside(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = d.withColumn("_near", F.sum("_value").over(here))
+    result = F.coalesce("_near", F.lit(0)) + F.coalesce("_carry", F.lit(0))
+    return _finish(rows, carry, df, keys, result, name)
 
 
 def with_position(df: DataFrame, keys, order, chunk: Column, name: str = "position") -> DataFrame:

@@ -77,10 +77,15 @@ def case_report(cases: DataFrame, timeline: DataFrame, indicators: DataFrame, ev
             "evidence_id": f("evidence_id"), "type": f("evidence_type"), "description": cut("description", 40),
             "sha256": cut("sha256", 16), "acquired_by": f("acquired_by")}),
     ]
-    distinct = indicators.select("case_id", "ioc_type", "value").distinct()
-    for kind in ("ip", "domain", "hash_sha256", "url"):
-        parts.append(section(distinct.where(f("ioc_type") == kind), "case_id", f"indicator_{kind}", ["value"],
-                             caps[kind], {"value": f("value")}))
+    # One ranking for all indicator types, so the tokens are extracted once.
+    kinds = ["ip", "domain", "hash_sha256", "url"]
+    distinct = indicators.where(f("ioc_type").isin(kinds)).select("case_id", "ioc_type", "value").distinct()
+    listed = section(distinct, "case_id", F.concat(F.lit("indicator_"), f("ioc_type")), ["value"],
+                     max(caps[k] for k in kinds), {"value": f("value")})
+    within = F.lit(False)
+    for kind in kinds:
+        within = within | ((f("section") == f"indicator_{kind}") & (f("rank") <= caps[kind]))
+    parts.append(listed.where(within))
     if actions is not None:
         parts.append(section(actions, "case_id", "action", ["action_id"], None, {
             "action_type": f("action_type"), "target": f("target"), "success": f("success")}))

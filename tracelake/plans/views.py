@@ -16,8 +16,23 @@ from pyspark.sql import functions as F
 from tracelake.session import apply_settings
 
 
+# Tables whose rows cost much more to process than to read.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return apply_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    table = apply_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in TEXT_TABLES else table
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than there are cores.
+
+    A small file is one row group, hence one task, however much work its rows are.
+    A table with at least as many splits as cores is left as it is read.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 # ---- one value list, two spellings ----------------------------------------
@@ -107,7 +122,7 @@ KINDS = ["signup", "purchase", "view", "click", "error"]
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Endpoint events: events rows, shaped by their type and property."""
-    e = load(spark, sf_dir, "events")
+    e = spread(load(spark, sf_dir, "events"))
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.array_position(F.array(*[F.lit(x) for x in KINDS]), F.col("event_type")) - 1
     base = e.select(
