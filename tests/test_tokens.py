@@ -175,3 +175,22 @@ def test_keyword_routes(spark):
     got = {tuple(r) for r in matching.match_keywords(t, "text", ["id"], f, "word", ["kid"]).collect()}
     want = {(i, k) for i, x in texts for k, w in words if w.lower() in x.lower()}
     assert got == want
+
+
+LONG = "abcdefghij." * 30 + "example"
+
+
+def test_case_scope_suppresses_across_rows(spark):
+    rows = [("c1", "https://a.example.org/x"), ("c1", "ask a.example.org and b.example.org, A.example.org"), ("c2", "a.example.org"),
+            ("c1", "198.51.100.7"), ("c3", "ample.or"), ("c3", "see http://example.org/q?x=" + LONG), ("c3", LONG)]
+    df = spark.createDataFrame(rows, "case_id string, text string")
+    got = {tuple(r) for r in matching.case_tokens(df, "text", "case_id").collect()}
+    assert got == {("c1", "url", "https://a.example.org/x"), ("c1", "domain", "b.example.org"), ("c1", "ip", "198.51.100.7"),
+                   ("c1", "domain", "a.example.org"), ("c2", "domain", "a.example.org"),
+                   ("c3", "url", "http://example.org/q?x=" + LONG)}
+    # a.example.org stays in c1 only through its other spelling, which no URL holds.
+
+
+def test_event_text(spark):
+    df = spark.createDataFrame([("X", 1)], "Host string, n int")
+    assert df.select(text.event_text(F.struct("Host", "n"))).first()[0] == '{"host":"x","n":1}'

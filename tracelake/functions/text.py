@@ -112,3 +112,8 @@ def filled(*cols) -> Column:
 
 def cut(value, width: int) -> Column:
     return F.left(_col(value), F.lit(width))
+
+
+def event_text(event) -> Column:
+    """JSON text of a struct, map or VARIANT event, lowered, for text search."""
+    return F.lower(F.to_json(_col(event)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.content.lookups import INDICATOR_TYPES
 from tracelake.functions.binding import let
-from tracelake.functions.tokens import event_token_rows
+from tracelake.functions.tokens import BUNDLE_TYPES, DOMAIN, event_token_rows, find_all, token_rows, urls
 from tracelake.operators.ordered import first_per_group
 
 
@@ -133,3 +133,46 @@ def enrich(indicators: DataFrame, reputation: DataFrame, per_type: int = 10,
     keys = [*(group or []), "ioc_type"]
     chosen = first_per_group(indicators.select(*keys, "value").distinct(), keys, ["value"], per_type)
     return chosen.join(reputation, ["ioc_type", "value"], "left")
+
+
+LONG_DOMAIN = 255
+
+
+def _domain_pieces(url) -> Column:
+    """Every part of a URL that could be a domain of at most LONG_DOMAIN characters.
+
+    Only runs of domain characters that hold a dot are cut, so a common URL gives a
+    few hundred pieces, most of which the shape test drops.
+    """
+    runs = F.filter(find_all(url, "[A-Za-z0-9.-]+"), lambda r: F.contains(r, F.lit(".")) & (F.length(r) >= 4))
+    cuts = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(
+        F.sequence(F.lit(1), F.length(r) - 3),
+        lambda i: F.transform(F.sequence(i + 3, F.least(F.length(r), i + (LONG_DOMAIN - 1))),
+                              lambda j: F.substring(r, i, j - i + 1))))))
+    return F.array_distinct(F.filter(cuts, lambda c: c.rlike(r"^[A-Za-z0-9].*\.[A-Za-z]{2,}$")))
+
+
+def case_tokens(rows: DataFrame, text: str, case: str, exclude_private: bool = True) -> DataFrame:
+    """Distinct tokens of each case, as if its texts were one: (case, ioc_type, value).
+
+    A domain is left out when it is part of a URL anywhere in the case, not only in
+    its own row. Domains meet the pieces of the URLs by equality on (case, value): a
+    case of any size is spread over its values, and no domain is paired with URLs
+    that do not hold it. Longer domains, which hardly exist, take the keyword join.
+    """
+    others = [k for k in BUNDLE_TYPES if k != "domains"]
+    plain = token_rows(rows, text, [case], kinds=others, exclude_private=exclude_private).distinct()
+    raw = rows.select(case, F.explode(F.array_distinct(find_all(text, DOMAIN))).alias("_domain")).distinct()
+    addresses = rows.select(case, F.explode(F.array_distinct(urls(text))).alias("_url")).distinct()
+    pieces = addresses.select(case, F.explode(_domain_pieces("_url")).alias("_domain"))
+
+    is_long = F.length("_domain") > LONG_DOMAIN
+    keyed = addresses.select(F.struct(F.col(case).alias("_case"), "_url").alias("_url_id"), "_url")
+    met = match_keywords(keyed, "_url", ["_url_id"], raw.where(is_long).select("_domain").distinct(), "_domain", ["_domain"])
+    # The keyword join ignores case; the exact test does not.
+    inside_long = met.where(F.contains(F.col("_url_id._url"), F.col("_domain"))) \
+                     .select(F.col("_url_id._case").alias(case), "_domain")
+
+    alone = raw.join(pieces.unionByName(inside_long), [case, "_domain"], "left_anti")
+    return plain.unionByName(alone.select(
+        case, F.lit("domain").alias("ioc_type"), F.lower("_domain").alias("value")).distinct())

@@ -106,6 +106,26 @@ def _(spark, d):
     return bundle_observables(tokens.token_rows(load(spark, d, "documents"), "text", ["source"]), "source")
 
 
+# A case is a language: the page texts and the page addresses are its captures.
+CAPTURES = """
+cap AS (SELECT regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS lang, html AS text FROM pages
+  UNION ALL SELECT regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1), url FROM pages)"""
+CASE_TOKENS = f"""
+raw AS (SELECT DISTINCT lang, unnest({found(tokens.DOMAIN, 'text')}) AS d FROM cap),
+u AS (SELECT DISTINCT lang, unnest({found(tokens.URL, 'text')}) AS u FROM cap),
+plain AS (SELECT DISTINCT lang, ioc_type, value FROM ({distinct_tokens('cap', 'lang', 'text')}) WHERE ioc_type <> 'domain')"""
+
+
+@query("ioc_case_tokens", with_sql(CAPTURES, CASE_TOKENS, body="""
+SELECT * FROM plain UNION ALL SELECT DISTINCT lang, 'domain', lower(d) FROM raw
+WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.lang = raw.lang AND contains(u.u, raw.d))"""))
+def _(spark, d):
+    p = load(spark, d, "pages")
+    lang = F.regexp_extract("url", "^https?://[^/]+/([a-z]{2})/", 1).alias("lang")
+    captures = p.select(lang, F.col("html").alias("text")).unionByName(p.select(lang, F.col("url").alias("text")))
+    return matching.case_tokens(captures, "text", "lang")
+
+
 # ---- matching -------------------------------------------------------------
 
 @query("ioc_match_documents_pages", with_sql(DOC_TOKENS, PAGE_TOKENS, body="""
