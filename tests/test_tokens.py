@@ -169,7 +169,8 @@ def test_keyword_routes(spark):
     texts = [(1, "The quick brown fox jumps over the lazy dog"), (2, "a.b-c QUICK, brown fox"), (3, "xx-ab-yy"),
              (4, ""), (5, "überquick brownish fox jumps over")]
     words = [(1, "quick brown fox jumps over"), (2, "ick brown fox ju"), (3, "ab"), (4, "-AB-"), (5, "zzz"), (6, "ü"),
-             (7, "The quick brown fox jumps over the lazy dog"), (8, "brown")]
+             (7, "The quick brown fox jumps over the lazy dog"), (8, "brown"), (9, "quick brown fox jumps over"),
+             (10, "the quick brown fox"), (11, "quick brownish fox jumps over"), (12, "over the lazy dog")]
     t = spark.createDataFrame(texts, "id int, text string")
     f = spark.createDataFrame(words, "kid int, word string")
     got = {tuple(r) for r in matching.match_keywords(t, "text", ["id"], f, "word", ["kid"]).collect()}

@@ -88,31 +88,47 @@ def _grams(words: Column, n: int) -> Column:
     return let(words, build)
 
 
+def _own_key(words: DataFrame, keys: Column) -> DataFrame:
+    """(_word, _key): a key that no other keyword has, the longest one; else its longest key.
+
+    A phrase that opens a third of the feed would pair every text that holds it
+    with all of them; a key of the keyword's own part does not. Semi and anti joins
+    keep the size estimate at that of the feed, so a small feed is still broadcast.
+    """
+    spread = words.select("_word", F.explode(keys).alias("_key"))
+    single = spread.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") == 1)
+    longest = F.max_by("_key", F.struct(F.length("_key"), "_key")).alias("_key")
+    own = spread.join(single, "_key", "left_semi").groupBy("_word").agg(longest)
+    return own.unionByName(spread.join(own, "_word", "left_anti").groupBy("_word").agg(longest))
+
+
 def match_keywords(texts: DataFrame, text: str, ids: list[str], feed: DataFrame, keyword: str,
                    feed_ids: list[str], anchor_words: int = 3, short_length: int = 8) -> DataFrame:
     """Rows whose text contains a keyword of a large feed, case ignored: (ids, feed_ids).
 
     contains() has no join key, so one is made. A keyword with enough inner words
     (words that have a separator on both sides inside the keyword) must show the
-    same words in a row in any text that contains it; the first such run is the
-    key. Other keywords use their leading characters as the key. Candidates are
+    same words in a row in any text that contains it; one such run is the key.
+    Other keywords use a run of their characters. A key that no other keyword has is
+    taken where there is one. Candidates are
     then checked with contains(), so the result is exact, and no row is compared
     with every keyword. ids must identify a text.
     """
     t = texts.select(*ids, F.lower(F.col(text)).alias("_text")).where(F.length("_text") > 0)
     f = feed.select(*feed_ids, F.lower(F.col(keyword)).alias("_word")).where(F.length("_word") > 0)
-    f = f.withColumn("_inner", _inner_words(F.col("_word")))
+    words = f.select("_word").distinct().withColumn("_inner", _inner_words(F.col("_word")))
     by_words = F.size("_inner") >= anchor_words
 
-    long_feed = f.where(by_words).select(
-        *feed_ids, "_word", F.array_join(F.slice("_inner", 1, anchor_words), " ").alias("_key"))
+    long_keys = _own_key(words.where(by_words), _grams(F.col("_inner"), anchor_words))
     grams = F.explode(_grams(_words(F.col("_text")), anchor_words)).alias("_key")
-    candidates = t.select(*ids, grams).join(long_feed, "_key").drop("_key")
+    candidates = t.select(*ids, grams).join(long_keys, "_key").drop("_key")
 
-    short_feed = f.where(~by_words).select(
-        *feed_ids, "_word", F.left("_word", F.lit(short_length)).alias("_key"))
+    whole_or_cuts = F.when(F.length("_word") <= short_length, F.array("_word")).otherwise(
+        F.array_distinct(F.regexp_extract_all("_word", F.lit("(?s)(?=(.{%d}))" % short_length), F.lit(1))))
+    short_keys = _own_key(words.where(~by_words), whole_or_cuts)
     # At most short_length numbers: without short keywords no piece is made at all.
-    lengths = short_feed.select(F.collect_set(F.length("_key"))).scalar()
+    short = words.where(~by_words).select(F.least(F.length("_word"), F.lit(short_length)).alias("_n"))
+    lengths = short.select(F.collect_set("_n")).scalar()
     pieces = F.array_distinct(F.flatten(F.transform(
         F.col("_lengths"),
         # All runs of n characters, found by one pass of a look-ahead.
@@ -120,11 +136,11 @@ def match_keywords(texts: DataFrame, text: str, ids: list[str], feed: DataFrame,
             F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1)))))
     candidates = candidates.unionByName(
         t.withColumn("_lengths", lengths).select(*ids, F.explode(pieces).alias("_key"))
-        .join(short_feed, "_key").drop("_key"))
+        .join(short_keys, "_key").drop("_key"))
 
     # The text itself joins only once candidates are few; it is never repeated per key.
-    return candidates.distinct().join(t, ids).where(F.contains("_text", "_word")) \
-                     .select(*ids, *feed_ids).distinct()
+    found = candidates.distinct().join(t, ids).where(F.contains("_text", "_word")).select(*ids, "_word")
+    return found.join(f, "_word").select(*ids, *feed_ids).distinct()
 
 
 def enrich(indicators: DataFrame, reputation: DataFrame, per_type: int = 10,
