@@ -117,3 +117,12 @@ def cut(value, width: int) -> Column:
 def event_text(event) -> Column:
     """JSON text of a struct, map or VARIANT event, lowered, for text search."""
     return F.lower(F.to_json(_col(event)))
+
+
+def fill(template: str, *values: Column) -> Column:
+    """The template with its {} marks replaced by the values, in order; NULL if a value is."""
+    pieces = template.split("{}")
+    parts = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:]):
+        parts += [value.cast("string"), F.lit(piece)]
+    return F.concat(*parts)

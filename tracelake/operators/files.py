@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.content import messages
 from tracelake.content.lookups import (
     DOUBLE_EXTENSION, EXECUTABLE_EXTENSIONS, FILE_MAGIC, LONG_NAME, SCRIPT_EXTENSIONS, TEMP_PATH,
 )
 from tracelake.functions.binary import content_chunks, file_kind, signature_offsets
 from tracelake.functions.hashing import digest
 from tracelake.functions.paths import file_name, folder, is_hidden, octal_mode, suffix
+from tracelake.functions.text import fill
 from tracelake.operators.ordered import first_per_group
 
 HASH_LIMIT = 500 * 1024 * 1024
@@ -21,13 +23,11 @@ def suspicious_reasons(path, name, extension, kind) -> Column:
     path, name, extension, kind = [F.col(c) if isinstance(c, str) else c for c in (path, name, extension, kind)]
     wrong_kind = F.coalesce(kind.contains("Executable"), F.lit(False)) & ~extension.isin(EXECUTABLE_EXTENSIONS)
     return F.array_compact(F.array(
-        F.when(wrong_kind, F.concat(F.lit("Executable magic but extension is '"), extension, F.lit("'"))),
-        F.when(name.rlike(DOUBLE_EXTENSION), F.lit("Double extension detected")),
-        F.when(extension.isin(SCRIPT_EXTENSIONS) & path.rlike(TEMP_PATH), F.concat(
-            F.lit("Executable/script in suspicious directory ("), folder(path), F.lit(")"))),
-        F.when(F.length(name) > LONG_NAME, F.concat(
-            F.lit("Unusually long filename ("), F.length(name).cast("string"), F.lit(" chars)"))),
-    ))
+        F.when(wrong_kind, fill(messages.FILE_WRONG_KIND, extension)),
+        F.when(name.rlike(DOUBLE_EXTENSION), F.lit(messages.FILE_DOUBLE_EXTENSION)),
+        F.when(extension.isin(SCRIPT_EXTENSIONS) & path.rlike(TEMP_PATH),
+               fill(messages.FILE_RISKY_FOLDER, folder(path))),
+        F.when(F.length(name) > LONG_NAME, fill(messages.FILE_LONG_NAME, F.length(name)))))
 
 
 def inventory(files: DataFrame, hashes: bool = True) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.content import messages
 from tracelake.content.lookups import BEACON_INTERVALS, FLOW_PORTS, LARGE_FLOW_BYTES
+from tracelake.functions.text import fill
 from tracelake.functions.times import micros
 from tracelake.functions.tokens import is_private
 from tracelake.operators.ordered import as_of, time_chunk, with_previous
@@ -27,11 +29,9 @@ def flows(packets: DataFrame, extra_keys: list[str] | None = None) -> DataFrame:
 def flow_reason(port="dst_port", total="bytes_total", ports=None, limit: int = LARGE_FLOW_BYTES) -> Column:
     """Why a flow is suspicious, or NULL: a listed port wins over the volume."""
     listed = F.col(port).isin(ports or FLOW_PORTS)
-    return (
-        F.when(listed, F.concat(F.lit("Known C2/malware port: "), F.col(port).cast("string")))
-        .when(F.col(total) > limit, F.concat(
-            F.lit("Large data transfer: "), F.format_string("%.1f", F.col(total) / 1048576.0), F.lit(" MB")))
-    )
+    megabytes = F.format_string("%.1f", F.col(total) / 1048576.0)
+    return F.when(listed, fill(messages.FLOW_PORT, F.col(port))) \
+            .when(F.col(total) > limit, fill(messages.FLOW_VOLUME, megabytes))
 
 
 def flag_flows(flow_rows: DataFrame, ports=None, limit: int = LARGE_FLOW_BYTES) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.content import messages
 from tracelake.content.lookups import SOCKET_PORTS, SUSPICIOUS_PROCESSES
 from tracelake.functions.paths import address_port
+from tracelake.functions.text import fill
 from tracelake.operators.ordered import as_of
 
 
@@ -65,22 +67,19 @@ def host_risk(processes: DataFrame, sockets: DataFrame, sessions: DataFrame,
     points = lambda test, value: F.when(test, value).otherwise(0)
     score = F.least(F.lit(100), points(bad_p, 20) + points(bad_s, 30) + points(many, 15) + points(bad_f, 25))
     indicators = F.array_compact(F.array(
-        F.when(bad_p, F.concat(F.lit("Suspicious processes running: "), F.array_join("bad_names", ", "))),
-        F.when(bad_s, F.concat(F.lit("Suspicious network connections: "), n("bad_sockets").cast("string"))),
-        F.when(many, F.concat(F.lit("Multiple active sessions: "), n("session_count").cast("string"),
-                              F.lit(" users logged in"))),
-        F.when(bad_f, F.lit("Executable files found in temp directories"))))
+        F.when(bad_p, fill(messages.HOST_PROCESSES, F.array_join("bad_names", ", "))),
+        F.when(bad_s, fill(messages.HOST_SOCKETS, n("bad_sockets"))),
+        F.when(many, fill(messages.HOST_SESSIONS, n("session_count"))),
+        F.when(bad_f, F.lit(messages.HOST_FILES))))
     rated = out.withColumns({"score": score, "indicators": indicators})
     rating = F.when(F.col("score") >= 70, "critical").when(F.col("score") >= 40, "high") \
               .when(F.col("score") >= 20, "medium").otherwise("low")
-    head = (F.when(F.col("score") >= 70, "CRITICAL: Isolate host immediately, escalate to senior analyst")
-            .when(F.col("score") >= 40, "HIGH: Initiate containment procedures, notify IR lead")
-            .when(F.col("score") >= 20, "MEDIUM: Continue monitoring, gather additional artifacts"))
+    head = (F.when(F.col("score") >= 70, messages.HOST_ACTION_CRITICAL)
+            .when(F.col("score") >= 40, messages.HOST_ACTION_HIGH)
+            .when(F.col("score") >= 20, messages.HOST_ACTION_MEDIUM))
     actions = F.array_compact(F.array(
-        head,
-        F.when(bad_s, F.lit("Isolate host from network immediately")),
-        F.when(many, F.lit("Investigate concurrent user sessions for unauthorized access")),
-        F.when(bad_f, F.lit("Collect and analyze executables found in temp paths"))))
-    fallback = F.array(F.lit("LOW: Continue normal monitoring cadence"))
+        head, F.when(bad_s, F.lit(messages.HOST_ACTION_SOCKETS)), F.when(many, F.lit(messages.HOST_ACTION_SESSIONS)),
+        F.when(bad_f, F.lit(messages.HOST_ACTION_FILES))))
+    fallback = F.array(F.lit(messages.HOST_ACTION_LOW))
     return rated.select("host", "score", rating.alias("rating"), "indicators",
                         F.when(F.size(actions) > 0, actions).otherwise(fallback).alias("actions"))

@@ -12,12 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.content import messages
 from tracelake.content.hunts import (
     DGA_MIN_ENTROPY, DGA_MIN_LABEL, DGA_MIN_QUERIES, ENCODED_COMMAND, HYPOTHESES, LOLBIN_ARGUMENTS,
     LOLBINS, LSASS_SAFE_BASENAMES, LSASS_SAFE_WORDS, TRUSTED_DNS_SUFFIXES,
 )
 from tracelake.functions.paths import file_name
-from tracelake.functions.text import contains_any, cut, first_label, one_of, text_entropy
+from tracelake.functions.text import contains_any, cut, fill, first_label, one_of, text_entropy
 
 HYPOTHESIS = {h[0]: h for h in HYPOTHESES}
 FINDING = ["rule_id", "title", "ts", "host", "description", "evidence", "severity", "mitre", "event_id"]
@@ -36,8 +37,7 @@ def lolbin_findings(image="image", cmdline="cmdline", parent="parent_image") ->
     image, parent = F.lower(F.col(image)), F.lower(F.col(parent))
     names = F.when(contains_any(cmdline, LOLBIN_ARGUMENTS), one_of(image, LOLBINS)) \
              .otherwise(F.array().cast("array<string>"))
-    made = _finding("HYP-001",
-                    F.concat(F.lit("LOLBin abuse detected: "), image, F.lit(" with suspicious cmdline")),
+    made = _finding("HYP-001", fill(messages.HUNT_LOLBIN, image),
                     {"image": image, "cmdline": cut(cmdline, 200), "parent": parent})
     return F.transform(names, lambda _: made)
 
@@ -54,7 +54,7 @@ def lsass_test(target="target_image", source="source_image", compat: bool = Fals
 
 def lsass_finding(target="target_image", source="source_image") -> Column:
     source_low = F.lower(F.col(source))
-    return _finding("HYP-002", F.concat(F.lit("LSASS access by unexpected process: "), source_low),
+    return _finding("HYP-002", fill(messages.HUNT_LSASS, source_low),
                     {"source": source_low, "target": F.lower(F.col(target))})
 
 
@@ -64,7 +64,7 @@ def encoded_shell_test(image="image", cmdline="cmdline") -> Column:
 
 
 def encoded_shell_finding(cmdline="cmdline") -> Column:
-    return _finding("HYP-003", F.lit("Suspicious encoded PowerShell command"), {"cmdline": cut(cmdline, 300)})
+    return _finding("HYP-003", F.lit(messages.HUNT_ENCODED_SHELL), {"cmdline": cut(cmdline, 300)})
 
 
 def lateral_movement_test(code="event_code", service="service_name", parent="parent_image",
@@ -138,9 +138,8 @@ def generated_name_findings(candidates: DataFrame, name: str, as_of: Column) ->
     return candidates.select(
         F.lit("HYP-006").alias("rule_id"), F.lit(title).alias("title"), as_of.alias("ts"),
         F.lit("network").alias("host"),
-        F.concat(F.lit("Potential DGA domain: "), F.col(name), F.lit(" (entropy="),
-                 F.format_string("%.2f", F.col("entropy")), F.lit(", queries="),
-                 F.col("queries").cast("string"), F.lit(")")).alias("description"),
+        fill(messages.HUNT_GENERATED_NAME, F.col(name), F.format_string("%.2f", F.col("entropy")),
+             F.col("queries")).alias("description"),
         F.create_map(F.lit("domain"), F.col(name), F.lit("query_count"), F.col("queries").cast("string"),
                      F.lit("entropy"), F.col("entropy").cast("string")).alias("evidence"),
         F.lit(severity).alias("severity"), F.lit(technique).alias("mitre"),
