@@ -55,16 +55,26 @@ HEADLINE = {
 
 
 def rule_scan(n: int):
-    """n rules in one scan: the cost should grow far slower than n scans."""
+    """n different rules in one scan: the cost should grow far slower than n scans.
+
+    No rule is used twice, since Spark may evaluate equal predicates once.
+    """
+    from tracelake.content.lookups import FLOW_PORTS
     from tracelake.plans.views import telemetry
     from tracelake.rules.alerts import shipped_alert_rules
-    from tracelake.rules.predicates import scan
+    from tracelake.rules.policy import policy_kinds
+    from tracelake.rules.predicates import Rule, equals, scan
     from tracelake.rules.sigma import shipped_sigma_rules
 
-    rules = shipped_alert_rules() + shipped_sigma_rules()
-    while len(rules) < n:
-        rules = rules + rules
-    return lambda spark, d: scan(telemetry(spark, d), rules[:n], ["event_id"])
+    def build(spark, d):
+        events = telemetry(spark, d)
+        rules = shipped_alert_rules() + shipped_sigma_rules()
+        rules += [Rule(k, k, "info", p) for k, p in policy_kinds(events.columns).items()]
+        rules += [Rule(f"port_{p}", "port", "low", equals("dst_port", p)) for p in FLOW_PORTS]
+        assert len({r.predicate for r in rules}) == len(rules) >= n
+        return scan(events, rules[:n], ["event_id"])
+
+    return build
 
 
 def main() -> None:
