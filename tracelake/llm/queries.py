@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, mixing, sharding, url_filter
+from tracelake.llm import exact_dedup, mixing, packing, sharding, token_files, url_filter
 from tracelake.llm.common import read
 from tracelake.llm.url_filter import UrlRule
 
@@ -20,12 +20,29 @@ URL_RULES = (
 )
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(read(spark, sf_dir, "documents"), tokenizer(), length=1024, end_id=2)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.packed(digests, capacity=1024)
+
+
 def op2_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.sharded(read(spark, sf_dir, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_tokens(read(spark, sf_dir, "documents"), tokenizer(), end_id=0)
+    return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -117,7 +134,9 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + (mid
 """
 
 QUERIES = {
+    "op1_bin_completion_packing": op1_bin_completion_packing,
     "op2_consistent_hash_shards": op2_consistent_hash_shards,
+    "op3_bit_packed_tokens": op3_bit_packed_tokens,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_reputation": op7_url_reputation,
     "op9_mix_sources": op9_mix_sources,
