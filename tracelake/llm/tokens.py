@@ -1,14 +1,17 @@
 """Token ids of whole texts by a public tokenizer file.
 
-Tokenisers of this kind cut a text before each run of white space ahead of anything
+Byte-level tokenizers cut a text before each run of white space ahead of anything
 else, so a text may be encoded word by word, and words repeat. Each task remembers
 the ids of the words it has met; new words of a batch go to the library together.
+Files of other kinds are handed whole texts.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,46 +20,86 @@ from pyspark.sql import DataFrame
 ID = np.dtype("<u4")
 PAIR = re.compile(r"\s\s")
 BEFORE_RUN = re.compile(r"(?<=\S)(?= )")
-BATCH = 64
+BATCH = 128
+MARKS = ".,;:!?#*%$&|"
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: printable ones stand for themselves, the rest follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. remembered: words kept at most; then the memory starts anew."""
 
-    def __init__(self, path: str, remembered: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, remembered: int = 500_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        cutter = kind.get("pre_tokenizer") or {}
+        self.by_word = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not kind.get("normalizer")
         self.remembered, self.longest = remembered, longest
         self.words: dict[str, bytes] = {}
-
-    def _new(self, texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        ends = np.cumsum([len(x) for x in found]) * ID.itemsize
-        data = np.fromiter((i for x in found for i in x), ID).tobytes()
-        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        self.byte_text = byte_characters()
+        self.line = self._whole("\n") if self.by_word else b""
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, ID).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """A run of letters, after a space or not, is one piece: it goes to the library's model as it is."""
+        written = word.encode().decode("latin-1").translate(self.byte_text)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _word(self, word: str, space: str) -> bytes:
+        """Ids of a word after space, cut where its letters end and at a line end."""
+        if word.isalpha():
+            return self._letters(space + word)
+        left, line, right = word.partition("\n")
+        if line and left and right and not PAIR.search(word):
+            return self._word(left, space) + self.line + self._word(right, "")
+        body = word.rstrip(MARKS)
+        if body.isalpha():
+            known = self.words.get(body) if space else None
+            return (known or self._letters(space + body)) + self._marks(word[len(body) :])
+        return self._whole(space + word)
+
+    def _marks(self, marks: str) -> bytes:
+        known = self.words.get(f"\0{marks}")
+        if known is None:
+            known = self.words[f"\0{marks}"] = self._whole(marks)
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        firsts, rests = [], []
+        if not self.by_word:
+            return [np.array(e.ids, ID).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        words, out = self.words, []
         for text in texts:
-            if PAIR.search(text):  # only the first space of a run of white space is a safe place to cut
+            if PAIR.search(text) or "\0" in text:  # only the first space of a run of white space is a safe place to cut
                 first, *rest = BEFORE_RUN.split(text)
-                rest = [x[1:] for x in rest]
-            else:
-                first, *rest = text.split(" ")
-            firsts.append(first)
-            rests.append(rest)
-        unknown = list(set().union(*rests) - self.words.keys())
-        if len(self.words) + len(unknown) > self.remembered:
-            self.words.clear()
-            unknown = list(set().union(*rests))
-        words = self.words
-        if unknown:
-            words.update(zip(unknown, self._new([f" {x}" for x in unknown]), strict=True))
-        out = [a + b"".join(map(words.__getitem__, rest)) for a, rest in zip(self._new(firsts), rests, strict=True)]
-        for x in unknown:
-            if len(x) > self.longest:
-                del words[x]
+                out.append(b"".join([self._whole(first), *map(self._whole, rest)]))
+                continue
+            first, *rest = text.split(" ")
+            if len(words) > self.remembered:
+                words.clear()
+            try:
+                ids = b"".join(map(words.__getitem__, rest))
+            except KeyError:
+                long = []
+                for x in rest:
+                    if x not in words:
+                        words[x] = self._word(x, " ")
+                        if len(x) > self.longest:
+                            long.append(x)
+                ids = b"".join(map(words.__getitem__, rest))
+                for x in long:
+                    del words[x]
+            out.append(self._word(first, "") + ids)
         return out
 
 
