@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, mixing, packing, sharding, token_files, url_filter
+from tracelake.llm import exact_dedup, mixing, packing, sharding, simhash, token_files, url_filter
 from tracelake.llm.common import read
 from tracelake.llm.url_filter import UrlRule
 
@@ -43,6 +43,11 @@ def op3_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_groups(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -137,6 +142,7 @@ QUERIES = {
     "op1_bin_completion_packing": op1_bin_completion_packing,
     "op2_consistent_hash_shards": op2_consistent_hash_shards,
     "op3_bit_packed_tokens": op3_bit_packed_tokens,
+    "op4_simhash_golay": op4_simhash_golay,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_reputation": op7_url_reputation,
     "op9_mix_sources": op9_mix_sources,
