@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, mixing, packing, sharding, simhash, token_files, url_filter
+from tracelake.llm import exact_dedup, mixing, packing, quality, sharding, simhash, token_files, url_filter
 from tracelake.llm.common import read
 from tracelake.llm.url_filter import UrlRule
 
@@ -113,6 +113,13 @@ FROM ruled
 """
 
 
+def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scorer = quality.train(docs, read(spark, sf_dir, "labels"))
+    rows = quality.scored(docs.select("doc_id", "text"), scorer)
+    return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_table(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -145,6 +152,7 @@ QUERIES = {
     "op4_simhash_golay": op4_simhash_golay,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_reputation": op7_url_reputation,
+    "op8_pu_quality": op8_pu_quality,
     "op9_mix_sources": op9_mix_sources,
 }
 ORACLES: dict[str, str | None] = {
