@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, mixing, packing, quality, sharding, simhash, token_files, url_filter
+from tracelake.llm import exact_dedup, html_text, mixing, packing, quality, sharding, simhash, token_files, url_filter
 from tracelake.llm.common import read
 from tracelake.llm.url_filter import UrlRule
 
@@ -145,6 +145,12 @@ r AS (SELECT t.doc_id, t.size, s5.source_size, s5.target, s5.epochs, s5.target -
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + (middle <= rest)::INT))::BIGINT AS taken FROM r
 """
 
+def op10_tree_model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    rows = html_text.extracted(pages, html_text.train(pages))
+    return rows.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 QUERIES = {
     "op1_bin_completion_packing": op1_bin_completion_packing,
     "op2_consistent_hash_shards": op2_consistent_hash_shards,
@@ -154,6 +160,7 @@ QUERIES = {
     "op7_url_reputation": op7_url_reputation,
     "op8_pu_quality": op8_pu_quality,
     "op9_mix_sources": op9_mix_sources,
+    "op10_tree_model_text": op10_tree_model_text,
 }
 ORACLES: dict[str, str | None] = {
     "op6_exact_dedup": OP6_SQL,
