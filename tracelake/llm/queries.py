@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, html_text, mixing, packing, quality, sharding, simhash, token_files, url_filter
+from tracelake.llm import ann, exact_dedup, html_text, mixing, packing, quality, sharding, simhash, token_files, url_filter
 from tracelake.llm.common import read
 from tracelake.llm.url_filter import UrlRule
 
@@ -48,6 +48,10 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -156,6 +160,7 @@ QUERIES = {
     "op2_consistent_hash_shards": op2_consistent_hash_shards,
     "op3_bit_packed_tokens": op3_bit_packed_tokens,
     "op4_simhash_golay": op4_simhash_golay,
+    "op5_multi_index_hashing": op5_multi_index_hashing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_reputation": op7_url_reputation,
     "op8_pu_quality": op8_pu_quality,

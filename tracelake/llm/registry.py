@@ -16,9 +16,13 @@ def _all() -> tuple[dict[str, Query], dict[str, str | None]]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_all()[0])
+    import corpus_pipeline
+
+    return {**_all()[0], "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = _all()[1]
+    import corpus_pipeline
+
+    found = {**_all()[1], "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v is not None}
