@@ -86,7 +86,7 @@ def _cuts(base: DataFrame, mix: Mix) -> DataFrame:
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
     targets = _targets(base, mix).withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    ends = sums.join(targets, "source").filter("before <= rest and rest < before + words").select("source", "bucket", "before", "rest")
+    ends = sums.join(targets, "source").filter("rest > 0 and before <= rest and rest < before + words").select("source", "bucket", "before", "rest")
     # A document is taken when its middle is within the budget, which brings the sum nearest to it.
     place = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = (

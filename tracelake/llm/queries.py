@@ -146,7 +146,7 @@ s5 AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS
 r AS (SELECT t.doc_id, t.size, s5.source_size, s5.target, s5.epochs, s5.target - s5.epochs * s5.source_size AS rest,
              coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS middle
       FROM t JOIN s5 ON t.source IS NOT DISTINCT FROM s5.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + (middle <= rest)::INT))::BIGINT AS taken FROM r
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + (rest > 0 AND middle <= rest)::INT))::BIGINT AS taken FROM r
 """
 
 def op10_tree_model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
