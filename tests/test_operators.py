@@ -260,8 +260,8 @@ def test_alert_rows(spark):
              .withColumn("rule_description", F.lit(None).cast("string"))
     got = {r.alert_id: r for r in normalize.case_alerts(a).collect()}
     assert (got[1].severity, got[1].title, got[1].tags, [o.data for o in got[1].observables]) == (
-        4, "[Alert] Security Alert", ["alert"], ["10.0.0.1", "h"])
-    assert (got[2].severity, got[2].tags, [o.data for o in got[2].observables]) == (1, ["g", "alert"], ["1.1.1.1"])
+        4, "[Wazuh] Security Alert", ["wazuh"], ["10.0.0.1", "h"])
+    assert (got[2].severity, got[2].tags, [o.data for o in got[2].observables]) == (1, ["g", "wazuh"], ["1.1.1.1"])
     agents = spark.createDataFrame([("active", "x"), ("disconnected", "x"), ("never", "y")], "status string, os string")
     total = alerts.agent_summary(agents).where("overall = 1").first()
     assert (total.total_agents, total.active_agents, total.disconnected_agents) == (3, 1, 1)

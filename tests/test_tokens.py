@@ -149,7 +149,9 @@ def test_strings_and_packer(spark):
     assert df.select(binary.wide_strings("a")).first()[0] == ["wide text"]
     edge = bytearray(b"x" * 2044 + b"UPX!")
     assert one(spark, binary.packer("a"), edge, schema="a binary") == "UPX Packer"
-    assert one(spark, binary.packer("a"), bytearray(b"x" * 2045 + b"UPX!"), schema="a binary") is None
+    late = bytearray(b"x" * 2045 + b"UPX!")
+    assert one(spark, binary.packer("a", 2048), late, schema="a binary") is None
+    assert one(spark, binary.packer("a"), late, schema="a binary") == "UPX Packer"
 
 
 def test_header_fields(spark):

@@ -3,6 +3,37 @@
 # ---------------------------------------------------------------------------
 # Result texts, {} marks the value that is filled in.
 # ---------------------------------------------------------------------------
+# Names that consumers of outgoing rows filter on.
+ALERT_SOURCE = "Wazuh"
+ALERT_TAG = "wazuh"
+ALERT_TITLE = "[Wazuh] {}"
+ALERT_TYPE = "wazuh"
+ALERT_REFERENCE = "WAZUH-{}"
+ALERT_DESCRIPTION_DEFAULT = "Wazuh Alert"
+ALERT_TITLE_DEFAULT = "Security Alert"
+OBSERVABLE_MESSAGE = "Source agent IP"
+ALERT_TEXT = """
+**Wazuh Alert**
+
+- **Agent**: {} ({})
+- **Rule ID**: {}
+- **Rule Description**: {}
+- **Level**: {}
+- **Groups**: {}
+- **Timestamp**: {}
+
+**Full Alert**:
+```json
+{}
+```
+"""
+PIPELINE_NAME = "full_soc_automation"
+PIPELINE_STEPS = ["wazuh_alert", "virustotal_lookup", "thehive_case", "email_notification"]
+PIPELINE_TAGS = ["wazuh", "automated"]
+ACTION_LOOKUP = "virustotal_lookup"
+ACTION_CASE = "create_thehive_case"
+ACTION_NOTIFICATION = "send_email"
+
 FILE_WRONG_KIND = "Executable magic but extension is '{}'"
 FILE_DOUBLE_EXTENSION = "Double extension detected"
 FILE_RISKY_FOLDER = "Executable/script in suspicious directory ({})"
@@ -34,4 +65,5 @@ SAMPLE_NETWORK = "Embedded network IOCs: {} IPs, {} domains"
 HUNT_LOLBIN = "LOLBin abuse detected: {} with suspicious cmdline"
 HUNT_LSASS = "LSASS access by unexpected process: {}"
 HUNT_ENCODED_SHELL = "Suspicious encoded PowerShell command"
+HUNT_LOGIN_TIME = "Login of {} at hour {}, {} of {} logins"
 HUNT_GENERATED_NAME = "Potential DGA domain: {} (entropy={}, queries={})"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.content.lookups import (
-    FILE_MAGIC, PACKER_MARKERS, PACKER_SEARCH_BYTES, SAMPLE_MAGIC,
+    FILE_MAGIC, PACKER_MARKERS, SAMPLE_MAGIC,
 )
 
 
@@ -45,9 +45,9 @@ def sample_kind(content) -> Column:
     return magic(content, SAMPLE_MAGIC, "Unknown")
 
 
-def packer(content) -> Column:
-    """First packer marker found in the leading bytes, or NULL."""
-    head = latin1(F.substring(_col(content), 1, PACKER_SEARCH_BYTES))
+def packer(content, search_bytes: int | None = None) -> Column:
+    """First packer marker found, or NULL; search_bytes limits the search to so many leading bytes."""
+    head = latin1(_col(content) if search_bytes is None else F.substring(_col(content), 1, search_bytes))
     chain = None
     for marker, label in PACKER_MARKERS:
         hit = head.contains(marker)

@@ -23,9 +23,11 @@ def address_port(value) -> Column:
 
 
 def number_or_hex(value) -> Column:
-    """A decimal number, or a hex number with 0x."""
+    """A decimal number, or a hex number with 0x; NULL when it does not fit."""
     value = _col(value)
-    return F.when(value.startswith("0x"), F.conv(F.substring(value, 3, 16), 16, 10).cast("bigint")) \
+    digits = F.regexp_extract(value, "^0x0*([0-9A-Fa-f]*)", 1)
+    hexadecimal = F.when(F.length(digits) <= 16, F.conv(F.when(digits == "", "0").otherwise(digits), 16, 10).try_cast("bigint"))
+    return F.when(value.startswith("0x"), hexadecimal) \
             .otherwise(value.try_cast("bigint"))
 
 

@@ -82,11 +82,11 @@ def string_reason(value) -> Column:
     return let(F.struct(value.alias("raw"), F.lower(value).alias("low")), choose)
 
 
-def suspicious_strings(strings, width: int = 200) -> Column:
-    """(value, reason) for each distinct suspicious string of an array."""
+def suspicious_strings(strings, width: int | None = None) -> Column:
+    """(value, reason) for each distinct suspicious string of an array; width cuts the values."""
     tagged = F.transform(
         F.array_distinct(_col(strings)),
-        lambda s: F.struct(F.left(s, F.lit(width)).alias("value"), string_reason(s).alias("reason")),
+        lambda s: F.struct(cut(s, width).alias("value"), string_reason(s).alias("reason")),
     )
     return F.filter(tagged, lambda t: t["reason"].isNotNull())
 
@@ -110,8 +110,14 @@ def filled(*cols) -> Column:
     return F.coalesce(*[F.nullif(_col(c).cast("string"), F.lit("")) for c in cols])
 
 
-def cut(value, width: int) -> Column:
-    return F.left(_col(value), F.lit(width))
+def cut(value, width: int | None) -> Column:
+    """The first width characters; all of them without a width."""
+    return _col(value) if width is None else F.left(_col(value), F.lit(width))
+
+
+def first_items(values, n: int | None) -> Column:
+    """The first n elements of an array; all of them without an n."""
+    return _col(values) if n is None else F.slice(_col(values), 1, n)
 
 
 def event_text(event) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def query_alerts(alerts: DataFrame, level_min: int = 0, agent_id=None, start=None, end=None, limit: int = 500,
+def query_alerts(alerts: DataFrame, level_min: int = 0, agent_id=None, start=None, end=None, limit: int | None = None,
                  tie: str = "alert_id") -> DataFrame:
-    """Alerts by level, agent and inclusive time range, newest first."""
+    """Alerts by level, agent and inclusive time range, newest first: the newest limit, or all."""
     out = alerts
     if level_min > 0:
         out = out.where(F.col("rule_level") >= level_min)
@@ -18,7 +18,8 @@ def query_alerts(alerts: DataFrame, level_min: int = 0, agent_id=None, start=Non
         out = out.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         out = out.where(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
-    return out.orderBy(F.desc("ts"), F.desc(tie)).limit(limit)
+    out = out.orderBy(F.desc("ts"), F.desc(tie))
+    return out if limit is None else out.limit(limit)
 
 
 def newest(df: DataFrame, ts: str, n: int, tie: str) -> DataFrame:

@@ -28,11 +28,11 @@ def next_phase(phase) -> Column:
 def seed_tasks(cases: DataFrame, phase: str = "current_phase") -> DataFrame:
     """Template tasks of the phase each case enters (25 templates, held on the plan)."""
     templates = cases.sparkSession.createDataFrame(
-        TASK_TEMPLATES, "phase string, seq int, title string, priority string")
+        TASK_TEMPLATES, "phase string, seq int, title string, priority string, description string")
     out = cases.select("case_id", F.col(phase).alias("phase"), "lead_analyst") \
                .join(F.broadcast(templates), "phase")  # 25 rows, fixed
     return out.select(stable_id("T-", "case_id", "phase", "seq", length=6).alias("task_id"), "case_id", "phase",
-                      "seq", "title", "priority", F.col("lead_analyst").alias("assigned_to"),
+                      "seq", "title", "description", "priority", F.col("lead_analyst").alias("assigned_to"),
                       F.lit("pending").alias("status"))
 
 
@@ -41,8 +41,8 @@ def open_tasks(tasks: DataFrame, phase: str | None = None) -> DataFrame:
     return out if phase is None else out.where(F.col("phase") == phase)
 
 
-def last_notes(notes: DataFrame, n: int = 5, order=("ts", "note_id")) -> DataFrame:
-    """Newest n notes per case, newest first."""
+def last_notes(notes: DataFrame, n: int | None = None, order=("ts", "note_id")) -> DataFrame:
+    """Notes per case, newest first: the newest n, or all."""
     return first_per_group(notes, ["case_id"], [F.desc(c) for c in order], n)
 
 
@@ -56,7 +56,7 @@ def phase_durations(log: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
 
 
 def status_rows(cases: DataFrame, tasks: DataFrame, notes: DataFrame, indicators: DataFrame,
-                last: int = 5) -> DataFrame:
+                last: int | None = None, width: int | None = None) -> DataFrame:
     """Status of each case as rows (case_id, section, rank, text)."""
     counts = (
         cases.select("case_id")
@@ -72,7 +72,7 @@ def status_rows(cases: DataFrame, tasks: DataFrame, notes: DataFrame, indicators
     said = last_notes(notes, last).select(
         "case_id", F.lit("note").alias("section"), F.col("rank").cast("bigint").alias("rank"),
         F.concat(F.lit("["), F.col("ts").cast("string"), F.lit("] "), F.col("author"), F.lit(": "),
-                 cut("content", 100)).alias("text"))
+                 cut("content", width)).alias("text"))
     return head.unionByName(todo).unionByName(said)
 
 

@@ -15,8 +15,6 @@ from tracelake.functions.paths import file_name, folder, is_hidden, octal_mode,
 from tracelake.functions.text import fill
 from tracelake.operators.ordered import first_per_group
 
-HASH_LIMIT = 500 * 1024 * 1024
-
 
 def suspicious_reasons(path, name, extension, kind) -> Column:
     """Why a file is suspicious, as an array in fixed order; empty when it is not."""
@@ -30,10 +28,11 @@ def suspicious_reasons(path, name, extension, kind) -> Column:
         F.when(F.length(name) > LONG_NAME, fill(messages.FILE_LONG_NAME, F.length(name)))))
 
 
-def inventory(files: DataFrame, hashes: bool = True) -> DataFrame:
+def inventory(files: DataFrame, hashes: bool = True, hash_below: int | None = None) -> DataFrame:
     """File metadata: names, kind, digests and reasons.
 
     files: path, size, mtime, content, and where known atime, ctime and mode.
+    hash_below: files of so many bytes and more get no digests; without it all do.
     """
     have = set(files.columns)
     name = file_name("path")
@@ -43,7 +42,7 @@ def inventory(files: DataFrame, hashes: bool = True) -> DataFrame:
         "permissions": octal_mode("mode") if "mode" in have else F.lit(None).cast("string"),
     })
     if hashes:
-        small = F.col("size") < HASH_LIMIT
+        small = F.lit(True) if hash_below is None else F.col("size") < hash_below
         base = base.withColumns({
             "md5": F.when(small, digest("content", "md5")), "sha256": F.when(small, digest("content", "sha256"))})
     reasons = suspicious_reasons("path", "name", "extension", "magic_type")
@@ -67,8 +66,9 @@ def mac_ordered(timeline: DataFrame) -> DataFrame:
     return timeline.orderBy("ts", "path", "event_type")
 
 
-def recent_files(files: DataFrame, as_of: Column, hours: int = 24, folders=None, per_folder: int = 50) -> DataFrame:
-    """Files changed within the hours before as_of, at most per_folder per folder, by name.
+def recent_files(files: DataFrame, as_of: Column, hours: int = 24, folders=None,
+                 per_folder: int | None = None) -> DataFrame:
+    """Files changed within the hours before as_of, the first per_folder of each folder by name, or all.
 
     The time filter comes before the cap, so that no recent file is lost to an old one.
     """

@@ -67,15 +67,15 @@ def capture_summary(packets: DataFrame, dns: DataFrame | None = None, ports=None
     """
     f = flag_flows(flows(packets), ports, limit)
     hosts = F.approx_count_distinct if approximate else F.count_distinct
-    out = f.agg(
+    rows = f.select("packet_count", "suspicious", "src_ip", F.lit(True).alias("_flow"))
+    if dns is not None:
+        # Answers are rows of the same aggregate, marked as such: no join of two totals.
+        rows = rows.unionByName(dns.select(F.lit(False).alias("_flow")), allowMissingColumns=True)
+    return rows.agg(
         F.coalesce(F.sum("packet_count"), F.lit(0)).alias("total_packets"),
-        F.count("*").alias("total_connections"),
+        F.count_if("_flow").alias("total_connections"),
         F.count_if("suspicious").alias("suspicious_connections"),
-        hosts("src_ip").alias("source_hosts"))
-    queries = packets.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("dns_queries")) \
-        if dns is None else dns.agg(F.count("*").alias("dns_queries"))
-    # Two one-row results side by side.
-    return out.withColumn("_one", F.lit(1)).join(queries.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        hosts("src_ip").alias("source_hosts"), F.count_if(~F.col("_flow")).alias("dns_queries"))
 
 
 def name_flows(flow_rows: DataFrame, dns: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:

@@ -32,13 +32,13 @@ def _finding(rule_id: str, description: Column, evidence: dict[str, Column]) ->
         F.create_map(*pairs).alias("evidence"), F.lit(severity).alias("severity"), F.lit(technique).alias("mitre"))
 
 
-def lolbin_findings(image="image", cmdline="cmdline", parent="parent_image") -> Column:
+def lolbin_findings(image="image", cmdline="cmdline", parent="parent_image", width: int | None = None) -> Column:
     """HYP-001: one finding per living-off-the-land binary named by the image."""
     image, parent = F.lower(F.col(image)), F.lower(F.col(parent))
     names = F.when(contains_any(cmdline, LOLBIN_ARGUMENTS), one_of(image, LOLBINS)) \
              .otherwise(F.array().cast("array<string>"))
     made = _finding("HYP-001", fill(messages.HUNT_LOLBIN, image),
-                    {"image": image, "cmdline": cut(cmdline, 200), "parent": parent})
+                    {"image": image, "cmdline": cut(cmdline, width), "parent": parent})
     return F.transform(names, lambda _: made)
 
 
@@ -63,8 +63,8 @@ def encoded_shell_test(image="image", cmdline="cmdline") -> Column:
     return F.lower(F.col(image)).contains("powershell") & F.col(cmdline).rlike(ENCODED_COMMAND)
 
 
-def encoded_shell_finding(cmdline="cmdline") -> Column:
-    return _finding("HYP-003", F.lit(messages.HUNT_ENCODED_SHELL), {"cmdline": cut(cmdline, 300)})
+def encoded_shell_finding(cmdline="cmdline", width: int | None = None) -> Column:
+    return _finding("HYP-003", F.lit(messages.HUNT_ENCODED_SHELL), {"cmdline": cut(cmdline, width)})
 
 
 def lateral_movement_test(code="event_code", service="service_name", parent="parent_image",
@@ -88,18 +88,19 @@ def task_off_hours_test(code="event_code", ts="ts", start: int = 8, end: int = 1
 
 
 def event_findings(events: DataFrame, compat: bool = False, shell_image="image", shell_cmdline="cmdline",
-                   only: list[str] | None = None) -> DataFrame:
+                   only: list[str] | None = None, widths: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """All hypotheses that look at one event at a time, in a single scan.
 
     events: event_id, ts, host, event_code, image, cmdline, parent_image,
-    target_image, source_image, service_name.
+    target_image, source_image, service_name. widths: characters of the command
+    line kept as evidence of HYP-001 and HYP-003; None keeps all.
     """
     none = F.array()
     single = lambda test, finding: F.when(test, F.array(finding))
     parts = {
-        "HYP-001": lolbin_findings(),
+        "HYP-001": lolbin_findings(width=widths[0]),
         "HYP-002": single(lsass_test(compat=compat), lsass_finding()),
-        "HYP-003": single(encoded_shell_test(shell_image, shell_cmdline), encoded_shell_finding(shell_cmdline)),
+        "HYP-003": single(encoded_shell_test(shell_image, shell_cmdline), encoded_shell_finding(shell_cmdline, widths[1])),
         "HYP-004": single(lateral_movement_test(), _finding(
             "HYP-004", F.lit("Remote execution from another host"),
             {"service": F.col("service_name"), "parent": F.col("parent_image"), "image": F.col("image")})),
@@ -162,6 +163,17 @@ def unusual_logins(logins: DataFrame, user: str = "user_name", ts: str = "ts", m
                                                       [user, "hour"])
 
 
+def unusual_login_findings(rows: DataFrame, user: str = "user_name", ts: str = "ts", host: str = "host") -> DataFrame:
+    """HYP-007: rows of unusual_logins as findings."""
+    _, title, technique, severity = HYPOTHESIS["HYP-007"]
+    return rows.select(
+        F.lit("HYP-007").alias("rule_id"), F.lit(title).alias("title"), F.col(ts).alias("ts"), F.col(host).alias("host"),
+        fill(messages.HUNT_LOGIN_TIME, F.col(user), F.col("hour"), F.col("logins"), F.col("total")).alias("description"),
+        F.create_map(F.lit("user"), F.col(user).cast("string"), F.lit("hour"), F.col("hour").cast("string"),
+                     F.lit("share"), F.round("share", 6).cast("string")).alias("evidence"),
+        F.lit(severity).alias("severity"), F.lit(technique).alias("mitre"), F.col("event_id").cast("bigint").alias("event_id"))
+
+
 def custom_hunt(events: DataFrame, title: str, hunt: Callable[[DataFrame], DataFrame], technique: str = "",
                 severity: str = "medium", as_of: Column | None = None) -> DataFrame:
     """Findings of a user's function over the events: host defaults to unknown,

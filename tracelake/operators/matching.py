@@ -143,9 +143,9 @@ def match_keywords(texts: DataFrame, text: str, ids: list[str], feed: DataFrame,
     return found.join(f, "_word").select(*ids, *feed_ids).distinct()
 
 
-def enrich(indicators: DataFrame, reputation: DataFrame, per_type: int = 10,
+def enrich(indicators: DataFrame, reputation: DataFrame, per_type: int | None = None,
            group: list[str] | None = None) -> DataFrame:
-    """First per_type indicators of each type with their reputation (NULL where unknown)."""
+    """Indicators of each type, the first per_type or all, with their reputation (NULL where unknown)."""
     keys = [*(group or []), "ioc_type"]
     chosen = first_per_group(indicators.select(*keys, "value").distinct(), keys, ["value"], per_type)
     return chosen.join(reputation, ["ioc_type", "value"], "left")

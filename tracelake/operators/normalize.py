@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.content import messages
 from tracelake.content.lookups import (
     BUNDLE_OBSERVABLES, LEVEL_THRESHOLDS, SEVERITY_NUMBER, TELEMETRY_CATEGORY,
     TELEMETRY_DESCRIPTION,
 )
 from tracelake.functions.hashing import digest_kind, sha256_field
-from tracelake.functions.text import filled
+from tracelake.functions.text import cut, fill, filled
 from tracelake.operators.ordered import first_per_group
 
 
@@ -121,42 +122,53 @@ def telemetry_description(code, fields: dict[str, Column]) -> Column:
 
 # ---- outgoing rows --------------------------------------------------------
 
-def case_alerts(alerts: DataFrame) -> DataFrame:
+def case_alerts(alerts: DataFrame, alert_width: int | None = None) -> DataFrame:
     """Alerts as rows of the case system.
 
-    Input columns: alert_id, rule_description, rule_level, rule_groups, agent_ip,
-    srcip, dstip, src_ip, dst_ip, sha256, hash, file_hash (missing ones are NULL).
+    Input columns: alert_id, timestamp, rule_id, rule_description, rule_level,
+    rule_groups, agent_name, agent_ip, srcip, dstip, src_ip, dst_ip, sha256, hash,
+    file_hash, and raw, the whole alert as text (missing ones are NULL).
+    alert_width: characters of raw in the description; None keeps all.
     """
     have = set(alerts.columns)
     get = lambda n: F.col(n) if n in have else F.lit(None).cast("string")
+    known = lambda n, default: F.coalesce(get(n).cast("string"), F.lit(default))
 
     def observable(kind, name, message=None):
         value = F.nullif(get(name), F.lit(""))
         return F.when(value.isNotNull(), F.struct(
             F.lit(kind).alias("data_type"), value.alias("data"), F.lit(message).cast("string").alias("message")))
 
-    found = [observable("ip", "agent_ip", "Source agent IP")]
+    found = [observable("ip", "agent_ip", messages.OBSERVABLE_MESSAGE)]
     found += [observable("ip", n) for n in ("srcip", "dstip", "src_ip", "dst_ip")]
     found += [observable("hash", n) for n in ("sha256", "hash", "file_hash")]
     severity = level_severity("rule_level", default=5, lowest="low")
     groups = F.coalesce(get("rule_groups") if "rule_groups" in have else F.array(), F.array().cast("array<string>"))
+    description = fill(
+        messages.ALERT_TEXT, known("agent_name", "unknown"), known("agent_ip", "unknown"), known("rule_id", "N/A"),
+        known("rule_description", "N/A"), known("rule_level", "5"), F.array_join(groups, ", "), known("timestamp", "N/A"),
+        cut(known("raw", ""), alert_width))
     return alerts.select(
         "alert_id",
-        F.concat(F.lit("[Alert] "), F.coalesce("rule_description", F.lit("Security Alert"))).alias("title"),
+        fill(messages.ALERT_TITLE, known("rule_description", messages.ALERT_TITLE_DEFAULT)).alias("title"),
+        description.alias("description"), F.lit(messages.ALERT_TYPE).alias("type"),
+        F.lit(messages.ALERT_SOURCE).alias("source"),
+        fill(messages.ALERT_REFERENCE, F.col("alert_id")).alias("source_ref"),
         severity.alias("severity_name"),
         severity_number(severity).alias("severity"),
-        F.concat(groups, F.array(F.lit("alert"))).alias("tags"),
+        F.concat(groups, F.array(F.lit(messages.ALERT_TAG))).alias("tags"),
         F.array_compact(F.array(*found)).alias("observables"),
     )
 
 
 def alert_payload(alerts: DataFrame) -> DataFrame:
-    """Flat automation payload, one JSON text per alert."""
+    """Flat automation payload, one JSON text per alert; raw, where given, is the whole alert."""
+    whole = F.col("raw") if "raw" in alerts.columns else F.lit(None).cast("string")
     return alerts.select("alert_id", F.to_json(F.struct(
-        F.lit("alerts").alias("source"), F.col("alert_id"), F.col("timestamp"),
+        F.lit(messages.ALERT_TAG).alias("source"), F.col("alert_id"), F.col("timestamp"),
         F.col("rule_id"), F.col("rule_level"), F.col("rule_description"),
         F.coalesce("rule_groups", F.array().cast("array<string>")).alias("rule_groups"),
-        F.col("agent_id"), F.col("agent_name"), F.col("agent_ip"),
+        F.col("agent_id"), F.col("agent_name"), F.col("agent_ip"), F.try_parse_json(whole).alias("full_alert"),
     ), {"ignoreNullFields": "false"}).alias("payload"))
 
 
@@ -166,11 +178,14 @@ def file_hash(event_hashes, plain_hash, sha256) -> Column:
 
 
 def automation_rows(alerts: DataFrame) -> DataFrame:
-    """Nested automation row: alert, enrichment and case data."""
+    """Nested automation row: pipeline, steps, alert, enrichment and case data."""
     groups = F.coalesce("rule_groups", F.array().cast("array<string>"))
     return alerts.select(
         "alert_id",
-        F.array(*[F.lit(s) for s in ("alert", "reputation_lookup", "case", "notification")]).alias("steps"),
+        F.lit(messages.PIPELINE_NAME).alias("pipeline"),
+        F.array(*[F.lit(s) for s in messages.PIPELINE_STEPS]).alias("steps"),
+        F.struct(F.col("alert_id").alias("id"), "timestamp", "rule_id", "rule_level", "rule_description", "agent_name",
+                 "agent_ip").alias("alert"),
         F.struct(
             file_hash("event_hashes", "hash", "sha256").alias("file_hash"),
             F.coalesce(filled("srcip"), F.col("agent_ip"), F.lit("")).alias("source_ip"),
@@ -178,26 +193,40 @@ def automation_rows(alerts: DataFrame) -> DataFrame:
         ).alias("enrichment"),
         F.struct(
             F.concat(F.lit("["), F.coalesce("rule_level", F.lit(0)).cast("string"), F.lit("] "),
-                     F.coalesce("rule_description", F.lit("Security Alert"))).alias("title"),
+                     F.coalesce("rule_description", F.lit(messages.ALERT_TITLE_DEFAULT))).alias("title"),
             level_severity("rule_level", default=3, lowest="low").alias("severity"),
-            F.concat(groups, F.array(F.lit("alert"), F.lit("automated"))).alias("tags"),
+            F.concat(groups, F.array(*[F.lit(t) for t in messages.PIPELINE_TAGS])).alias("tags"),
         ).alias("case_data"),
     )
 
 
-def lookup_actions(rows: DataFrame, value: str) -> DataFrame:
+def _sent(as_of) -> Column:
+    """Time of an action: given, so that a rerun gives the same row; NULL without one."""
+    return (F.lit(None) if as_of is None else as_of).cast("timestamp_ntz").alias("timestamp")
+
+
+def lookup_actions(rows: DataFrame, value: str, context: Column | None = None, as_of: Column | None = None) -> DataFrame:
     """Reputation lookup request per digest."""
-    return rows.select(F.lit("reputation_lookup").alias("action"), F.col(value).alias("hash"),
-                       digest_kind(value).alias("hash_type"))
+    return rows.select(F.lit(messages.ACTION_LOOKUP).alias("action"), F.col(value).alias("hash"),
+                       digest_kind(value).alias("hash_type"), _sent(as_of),
+                       (F.create_map().cast("map<string,string>") if context is None else context).alias("context"))
+
+
+def case_creation_rows(case_alert_rows: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Case creation request per row of case_alerts."""
+    return case_alert_rows.select(
+        F.lit(messages.ACTION_CASE).alias("action"), "title", F.col("severity_name").alias("severity"), "description",
+        "observables", "tags", _sent(as_of))
 
 
-def notification_rows(rows: DataFrame, recipient, subject, body, priority: str = "normal") -> DataFrame:
-    return rows.select(F.lit("notification").alias("action"), _col(recipient).alias("recipient"),
-                       _col(subject).alias("subject"), _col(body).alias("body"), F.lit(priority).alias("priority"))
+def notification_rows(rows: DataFrame, recipient, subject, body, priority: str = "normal",
+                      as_of: Column | None = None) -> DataFrame:
+    return rows.select(F.lit(messages.ACTION_NOTIFICATION).alias("action"), _col(recipient).alias("recipient"),
+                       _col(subject).alias("subject"), _col(body).alias("body"), F.lit(priority).alias("priority"), _sent(as_of))
 
 
-def bundle_observables(indicators: DataFrame, case: str, per_type: int = 50) -> DataFrame:
-    """First per_type distinct values of each bundle list as case observables."""
+def bundle_observables(indicators: DataFrame, case: str, per_type: int | None = None) -> DataFrame:
+    """Distinct values of each bundle list as case observables: the first per_type, or all."""
     kinds = {"ip": "ips", "domain": "domains", "url": "urls", "hash_md5": "md5s",
              "hash_sha1": "sha1s", "hash_sha256": "sha256s", "email": "emails"}
     chain = None

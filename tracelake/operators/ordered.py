@@ -110,14 +110,14 @@ def with_position(df: DataFrame, keys, order, chunk: Column, name: str = "positi
     return with_running_sum(df, keys, order, F.lit(1).cast("bigint"), chunk, name)
 
 
-def first_per_group(df: DataFrame, keys, order, n: int, name: str = "rank") -> DataFrame:
-    """First n rows per group.
+def first_per_group(df: DataFrame, keys, order, n: int | None, name: str = "rank") -> DataFrame:
+    """First n rows per group with their rank; without an n all rows are ranked.
 
     The rank limit sits directly on the window, so Spark keeps at most n rows per
     group in each task before the shuffle: a hot group never moves whole.
     """
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col(name) <= n)
+    return ranked if n is None else ranked.where(F.col(name) <= n)
 
 
 def count_within(df: DataFrame, keys, ts: str, seconds: int, name: str = "hits") -> DataFrame:

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.content.cases import REPORT_CAPS
 from tracelake.content.hunts import HYPOTHESES
 from tracelake.functions.text import cut
 from tracelake.operators.ordered import first_per_group
@@ -26,7 +25,7 @@ def findings_per_hypothesis(findings: DataFrame) -> DataFrame:
         .select("rule_id", "hypothesis", "technique", F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
-def hunt_report(findings: DataFrame, first: int = 5, width: int = 80) -> DataFrame:
+def hunt_report(findings: DataFrame, first: int | None = None, width: int | None = None) -> DataFrame:
     """Rows (rule_id, rank, text): rank 0 is the heading, then the first findings in time order."""
     heads = findings_per_hypothesis(findings).select(
         "rule_id", F.lit(0).alias("rank"),
@@ -56,35 +55,40 @@ def section(rows: DataFrame, case: str, name, order: list, cap: int | None, fiel
 
 
 def case_report(cases: DataFrame, timeline: DataFrame, indicators: DataFrame, evidence: DataFrame,
-                actions: DataFrame | None = None, caps: dict | None = None) -> DataFrame:
+                actions: DataFrame | None = None, caps: dict | None = None,
+                widths: dict | None = None) -> DataFrame:
     """Report rows of many cases at once.
 
     cases: case_id, title, severity, category. timeline: case_id, ts, severity,
     description, source, host, event_id. indicators: case_id, ioc_type, value.
     evidence: case_id, evidence_id, evidence_type, description, sha256,
     acquired_by. actions: case_id, action_id, action_type, target, success.
+    caps: rows per section (keys as in REPORT_CAPS). widths: characters of
+    timeline, evidence and sha256 texts. What is not named is kept whole.
     """
-    caps = {**REPORT_CAPS, **(caps or {})}
+    caps, widths = caps or {}, widths or {}
     f = F.col
     parts = [
         cases.select("case_id", F.lit("summary").alias("section"), F.lit(1).alias("rank"), F.create_map(
             F.lit("title"), f("title"), F.lit("severity"), F.upper("severity"),
             F.lit("category"), f("category")).alias("fields")),
-        section(timeline, "case_id", "timeline", ["ts", "event_id"], caps["timeline"], {
+        section(timeline, "case_id", "timeline", ["ts", "event_id"], caps.get("timeline"), {
             "timestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "severity": f("severity"),
-            "description": cut("description", 60), "source": f("source"), "host": f("host")}),
-        section(evidence, "case_id", "evidence", ["evidence_id"], caps["evidence"], {
-            "evidence_id": f("evidence_id"), "type": f("evidence_type"), "description": cut("description", 40),
-            "sha256": cut("sha256", 16), "acquired_by": f("acquired_by")}),
+            "description": cut("description", widths.get("timeline")), "source": f("source"), "host": f("host")}),
+        section(evidence, "case_id", "evidence", ["evidence_id"], caps.get("evidence"), {
+            "evidence_id": f("evidence_id"), "type": f("evidence_type"), "description": cut("description", widths.get("evidence")),
+            "sha256": cut("sha256", widths.get("sha256")), "acquired_by": f("acquired_by")}),
     ]
     # One ranking for all indicator types, so the tokens are extracted once.
     kinds = ["ip", "domain", "hash_sha256", "url"]
     distinct = indicators.where(f("ioc_type").isin(kinds)).select("case_id", "ioc_type", "value").distinct()
     listed = section(distinct, "case_id", F.concat(F.lit("indicator_"), f("ioc_type")), ["value"],
-                     max(caps[k] for k in kinds), {"value": f("value")})
+                     max((caps.get(k) or 0 for k in kinds), default=0) if all(caps.get(k) for k in kinds) else None,
+                     {"value": f("value")})
     within = F.lit(False)
     for kind in kinds:
-        within = within | ((f("section") == f"indicator_{kind}") & (f("rank") <= caps[kind]))
+        here = f("section") == f"indicator_{kind}"
+        within = within | (here & (f("rank") <= caps[kind]) if caps.get(kind) else here)
     parts.append(listed.where(within))
     if actions is not None:
         parts.append(section(actions, "case_id", "action", ["action_id"], None, {

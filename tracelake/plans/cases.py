@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.content.cases import PHASES, TASK_TEMPLATES
+from tracelake.content.cases import PHASES, REPORT_CAPS, TASK_TEMPLATES
 from tracelake.content.lookups import NOTIFICATION_DEADLINES
 from tracelake.functions import tokens
 from tracelake.operators import cases as cs
@@ -175,8 +175,9 @@ cases AS (SELECT c_custkey AS case_id, c_name AS lead_analyst, {pick_sql(PHASES,
   FROM customer),
 templates AS (SELECT unnest({[t[0] for t in TASK_TEMPLATES]}) AS phase, unnest({[t[1] for t in TASK_TEMPLATES]}) AS seq,
   unnest([{', '.join(sql_text(t[2]) for t in TASK_TEMPLATES)}]) AS title,
-  unnest({[t[3] for t in TASK_TEMPLATES]}) AS priority),
-tasks AS (SELECT case_id, phase, seq, title, priority, lead_analyst AS assigned_to,
+  unnest({[t[3] for t in TASK_TEMPLATES]}) AS priority,
+  unnest([{', '.join(sql_text(t[4]) for t in TASK_TEMPLATES)}]) AS description),
+tasks AS (SELECT case_id, phase, seq, title, description, priority, lead_analyst AS assigned_to,
   CASE WHEN (case_id + seq) % 3 = 0 THEN 'completed' ELSE 'pending' END AS status
   FROM cases JOIN templates ON current_phase = phase)"""
 
@@ -192,7 +193,7 @@ def case_tables(spark, d):
 
 @query("seeded_tasks", with_sql(CASE_SQL, body="""
 SELECT 'T-' || upper(left(sha256(case_id || chr(31) || phase || chr(31) || seq), 6)) AS task_id, case_id, phase, seq, title,
-  priority, assigned_to FROM tasks"""))
+  description, priority, assigned_to FROM tasks"""))
 def _(spark, d):
     return case_tables(spark, d)[1].drop("status")
 
@@ -242,7 +243,7 @@ def _(spark, d):
         F.col("conv_id").alias("case_id"), F.col("turn").alias("ts"), F.col("role").alias("author"),
         F.col("text").alias("content"), F.col("turn").alias("note_id"))
     found = tokens.token_rows(load(spark, d, "documents").withColumnRenamed("doc_id", "case_id"), "text", ["case_id"])
-    return cs.status_rows(cases, tasks, notes, found)
+    return cs.status_rows(cases, tasks, notes, found, last=5, width=100)
 
 
 @query("reversal_guide", """
@@ -302,7 +303,8 @@ def _(spark, d):
     actions = t.where(F.col("value") > 200).select(
         "case_id", F.col("event_id").alias("action_id"), F.col("event_type").alias("action_type"),
         F.col("host").alias("target"), F.lit(True).alias("success"))
-    r = reports.case_report(cases, tl, found, evidence_items(spark, d), actions)
+    r = reports.case_report(cases, tl, found, evidence_items(spark, d), actions, REPORT_CAPS,
+                            {"timeline": 60, "evidence": 40, "sha256": 16})
     g = lambda k: F.try_element_at("fields", F.lit(k))
     text = (F.when(F.col("section") == "summary", g("title"))
             .when(F.col("section") == "timeline", F.concat_ws(" ", g("timestamp"), g("description"), g("host")))

@@ -258,7 +258,7 @@ SELECT folder, path, mtime, CAST(rank AS INTEGER) AS rank FROM (SELECT folder, p
   WHERE folder IN ('/tmp', '/home/a/Downloads') AND mtime > TIMESTAMP '2024-01-30') WHERE rank <= 50"""))
 def _(spark, d):
     r = fs.recent_files(files(spark, d), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), 24,
-                        ["/tmp/", "/home/a/Downloads/"])
+                        ["/tmp/", "/home/a/Downloads/"], per_folder=50)
     return r.select("folder", "path", "mtime", "rank")
 
 

@@ -75,12 +75,16 @@ def _(spark, d):
     return named.select("src_ip", "dst_ip", "dst_port", "protocol", "first_seen", "dns_name")
 
 
-@query("flow_export", with_sql(PACKETS_SQL, body=f"""
+@query("flow_export", with_sql(PACKETS_SQL, DNS_SQL, """
+answers AS (SELECT src_ip, dst_ip, ts, max(query_name) AS dns_name FROM dns GROUP BY ALL)""", body=f"""
 SELECT src_ip AS "Src IP", dst_ip AS "Dst IP", dst_port AS "Dst Port", protocol AS "Protocol",
   packet_count AS "Packets", bytes_total AS "Bytes", first_seen AS "First Seen", last_seen AS "Last Seen",
-  '' AS "DNS Name", {REASON} IS NOT NULL AS "Suspicious", coalesce({REASON}, '') AS "Reason" FROM flows"""))
+  coalesce(dns_name, '') AS "DNS Name", {REASON} IS NOT NULL AS "Suspicious", coalesce({REASON}, '') AS "Reason"
+FROM (SELECT f.*, a.dns_name FROM flows f ASOF LEFT JOIN answers a
+  ON f.src_ip = a.src_ip AND f.dst_ip = a.dst_ip AND f.first_seen >= a.ts)"""))
 def _(spark, d):
-    return fl.flow_export(fl.flag_flows(fl.flows(packets(spark, d)), limit=LIMIT_BYTES))
+    named = fl.name_flows(fl.flows(packets(spark, d)), dns_answers(spark, d), chunk_seconds=30 * 86_400)
+    return fl.flow_export(fl.flag_flows(named, limit=LIMIT_BYTES))
 
 
 @query("egress_over_limit", with_sql(PACKETS_SQL, DNS_SQL, body="""

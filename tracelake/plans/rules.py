@@ -11,6 +11,7 @@ from tracelake.operators import hunts, reports
 from tracelake.operators.ordered import count_within
 from tracelake.operators.timeline import conform, technique_name, technique_phases
 from tracelake.plans.registry import query
+from tracelake.plans.text import DGA_SQL, dns_queries
 from tracelake.plans.views import EVENT_FIELDS, TELEMETRY_SQL, load, sql_text, telemetry, with_sql
 from tracelake.rules.alerts import alert_rule, frequency_hits, scan_alerts, shipped_alert_rules
 from tracelake.rules.policy import collected
@@ -45,6 +46,24 @@ SELECT event_id, host, 'HYP-005' AS rule_id, 'Scheduled task created outside bus
 FROM telemetry WHERE event_code = 4698 AND (dayofweek(ts) IN (0, 6) OR hour(ts) < 8 OR hour(ts) >= 18)"""
 ALL_HUNTS = " UNION ALL ".join([LOLBIN_SQL, LSASS_SQL, SHELL_SQL, LATERAL_SQL, TASK_SQL])
 SHORT = ["event_id", "host", "rule_id", "description"]
+# All seven: the tests of single events, generated names as of a day, and logins at unusual hours.
+SEVEN_SQL = f"""
+SELECT event_id, host, rule_id, description, ts FROM ({ALL_HUNTS}) JOIN (SELECT event_id, ts FROM telemetry) USING (event_id)
+UNION ALL SELECT CAST(NULL AS BIGINT), 'network', 'HYP-006', 'Potential DGA domain: ' || query_name || ' (entropy=' ||
+  format('{{:.2f}}', entropy) || ', queries=' || queries || ')', TIMESTAMP '2024-01-31' FROM ({DGA_SQL})
+UNION ALL SELECT event_id, 'host-' || user_id, 'HYP-007',
+  'Login of ' || user_id || ' at hour ' || hour || ', ' || logins || ' of ' || total || ' logins', ts
+FROM (SELECT event_id, user_id, ts, CAST(hour(ts) AS INTEGER) AS hour, count(*) OVER (PARTITION BY user_id, hour(ts)) AS logins,
+  count(*) OVER (PARTITION BY user_id) AS total FROM events) WHERE logins <= 0.1 * total AND total >= 10"""
+
+
+def seven(spark, d):
+    names = hunts.generated_names(dns_queries(spark, d), min_label=5, min_entropy=2.0, min_queries=2)
+    logins = load(spark, d, "events").withColumn("host", F.concat(F.lit("host-"), F.col("user_id").cast("string")))
+    return hunts.all_findings(
+        hunts.event_findings(telemetry(spark, d), widths=(200, 300)),
+        hunts.generated_name_findings(names, "query_name", F.lit("2024-01-31").cast("timestamp_ntz")),
+        hunts.unusual_login_findings(hunts.unusual_logins(logins, "user_id", max_share=0.1, min_history=10), "user_id"))
 
 
 def _hunt(spark, d, rule):
@@ -62,31 +81,35 @@ def _(spark, d):
     return hunts.event_findings(telemetry(spark, d), compat=True, only=["HYP-002"]).select("event_id", "host")
 
 
-@query("hunt_all", with_sql(TELEMETRY_SQL, body=ALL_HUNTS))
+@query("hunt_all", with_sql(TELEMETRY_SQL, f"f AS ({SEVEN_SQL})", body=f"""
+SELECT event_id, host, rule_id, description, ts, title, severity, mitre, CASE rule_id WHEN 'HYP-006' THEN 3 WHEN 'HYP-007' THEN 3
+  WHEN 'HYP-001' THEN 3 WHEN 'HYP-002' THEN 2 WHEN 'HYP-004' THEN 3 ELSE 1 END AS facts FROM f JOIN (
+  SELECT unnest({[h[0] for h in HYPOTHESES]}) AS rule_id, unnest({[h[1] for h in HYPOTHESES]}) AS title,
+    unnest({[h[2] for h in HYPOTHESES]}) AS mitre, unnest({[h[3] for h in HYPOTHESES]}) AS severity) USING (rule_id)"""))
 def _(spark, d):
-    return hunts.event_findings(telemetry(spark, d)).select(*SHORT)
+    return seven(spark, d).select(*SHORT, "ts", "title", "severity", "mitre", F.size("evidence").alias("facts"))
 
 
-@query("findings_per_hypothesis", with_sql(TELEMETRY_SQL, f"f AS ({ALL_HUNTS})", body=f"""
+@query("findings_per_hypothesis", with_sql(TELEMETRY_SQL, f"f AS ({SEVEN_SQL})", body=f"""
 SELECT h.rule_id, h.technique, coalesce(n, 0) AS findings FROM (
   SELECT unnest({[h[0] for h in HYPOTHESES]}) AS rule_id, unnest({[h[2] for h in HYPOTHESES]}) AS technique) h
 LEFT JOIN (SELECT rule_id, count(*) AS n FROM f GROUP BY ALL) USING (rule_id)"""))
 def _(spark, d):
-    f = hunts.event_findings(telemetry(spark, d))
+    f = seven(spark, d)
     return reports.findings_per_hypothesis(f).select("rule_id", "technique", "findings")
 
 
-@query("hunt_report", with_sql(TELEMETRY_SQL, f"f AS ({ALL_HUNTS})", body=f"""
+@query("hunt_report", with_sql(TELEMETRY_SQL, f"f AS ({SEVEN_SQL})", body=f"""
 SELECT rule_id, CAST(rank AS INTEGER) AS rank, upper_severity || host || ': ' || left(description, 80) AS text FROM (
-  SELECT f.*, CASE rule_id WHEN 'HYP-002' THEN '[CRITICAL] ' WHEN 'HYP-005' THEN '[MEDIUM] ' ELSE '[HIGH] ' END
+  SELECT f.*, CASE rule_id WHEN 'HYP-002' THEN '[CRITICAL] ' WHEN 'HYP-005' THEN '[MEDIUM] ' WHEN 'HYP-007' THEN '[MEDIUM] ' ELSE '[HIGH] ' END
     AS upper_severity, row_number() OVER (PARTITION BY rule_id ORDER BY ts, event_id, description) AS rank
-  FROM f JOIN (SELECT event_id, ts FROM telemetry) USING (event_id)) WHERE rank <= 5
+  FROM f) WHERE rank <= 5
 UNION ALL SELECT h.rule_id, 0, '[' || h.rule_id || '] ' || h.title || ' | ' || h.technique || ' | findings: ' || coalesce(n, 0)
 FROM (SELECT unnest({[h[0] for h in HYPOTHESES]}) AS rule_id, unnest({[h[1] for h in HYPOTHESES]}) AS title,
   unnest({[h[2] for h in HYPOTHESES]}) AS technique) h
 LEFT JOIN (SELECT rule_id, count(*) AS n FROM f GROUP BY ALL) USING (rule_id)"""))
 def _(spark, d):
-    return reports.hunt_report(hunts.event_findings(telemetry(spark, d)))
+    return reports.hunt_report(seven(spark, d), first=5, width=80)
 
 
 @query("custom_hunt", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.content.lookups import FILE_MAGIC, SAMPLE_MAGIC, SUSPICIOUS_STRINGS
+from tracelake.content.lookups import FILE_MAGIC, PACKER_SEARCH_BYTES, SAMPLE_MAGIC, SUSPICIOUS_STRINGS
 from tracelake.functions import binary, hashing, text, tokens
 from tracelake.operators import matching, reputation, samples
 from tracelake.operators.hunts import generated_name_findings, generated_names, query_counts
@@ -103,7 +103,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY source, ioc_type ORDER BY value)
             WHERE ioc_type NOT IN ('cve', 'registry_key')))
 WHERE rank <= 50"""))
 def _(spark, d):
-    return bundle_observables(tokens.token_rows(load(spark, d, "documents"), "text", ["source"]), "source")
+    return bundle_observables(tokens.token_rows(load(spark, d, "documents"), "text", ["source"]), "source", per_type=50)
 
 
 # A case is a language: the page texts and the page addresses are its captures.
@@ -200,12 +200,11 @@ def _(spark, d):
 SELECT d.doc_id, d.value, d.ioc_type, f.page_id FROM (
   SELECT doc_id, unnest([md5(text), sha1(text), sha256(text)]) AS value,
     unnest(['hash_md5','hash_sha1','hash_sha256']) AS ioc_type FROM documents) d
-JOIN (SELECT doc_id AS page_id, md5(text) AS value, 'hash_md5' AS ioc_type FROM documents
-      WHERE lang = 'en') f USING (ioc_type, value)""")
+JOIN (SELECT doc_id AS page_id, md5(text) AS value, 'hash_md5' AS ioc_type FROM documents) f USING (ioc_type, value)""")
 def _(spark, d):
     docs = load(spark, d, "documents")
     hashes = docs.select("doc_id", F.explode(F.array(*hashing.digests("text").values())).alias("digest"))
-    feed = docs.where(F.col("lang") == "en").select(
+    feed = docs.select(
         F.col("doc_id").alias("page_id"), F.md5("text").alias("value"), F.lit("hash_md5").alias("ioc_type"))
     return matching.match_digests(hashes, "digest", feed).select("doc_id", "value", "ioc_type", "page_id")
 
@@ -243,13 +242,13 @@ def _(spark, d):
 
 
 @query("hash_kind_lookup", """
-SELECT 'reputation_lookup' AS action, value AS hash, CASE length(value) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1'
+SELECT 'virustotal_lookup' AS action, value AS hash, CASE length(value) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1'
   WHEN 64 THEN 'sha256' ELSE 'unknown' END AS hash_type
 FROM (SELECT unnest([md5(html), sha1(html), sha256(html), url]) AS value FROM pages)""")
 def _(spark, d):
     p = load(spark, d, "pages")
     values = F.explode(F.array(*hashing.digests("html").values(), F.col("url")))
-    return lookup_actions(p.select(values.alias("value")), "value")
+    return lookup_actions(p.select(values.alias("value")), "value").select("action", "hash", "hash_type")
 
 
 @query("url_keys", """
@@ -344,7 +343,7 @@ SELECT doc_id, CASE WHEN contains(h, hex('UPX!'::BLOB)) THEN 'UPX Packer' WHEN c
   THEN 'MPRESS Packer' WHEN contains(h, hex('NSP0'::BLOB)) THEN 'NSIS Packer' WHEN contains(h, hex('PEC2'::BLOB))
   THEN 'PECompact' END AS packer FROM (SELECT doc_id, hex(content[1:2048]) AS h FROM files)"""))
 def _(spark, d):
-    return files(spark, d).select("doc_id", binary.packer("content").alias("packer"))
+    return files(spark, d).select("doc_id", binary.packer("content", PACKER_SEARCH_BYTES).alias("packer"))
 
 
 @query("byte_entropy", """
@@ -375,7 +374,7 @@ s AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(body
 SELECT doc_id, left(s, 200) AS value, {REASON_SQL} AS reason FROM s WHERE {REASON_SQL} IS NOT NULL"""))
 def _(spark, d):
     body = files(spark, d).select("doc_id", binary.ascii_strings(F.encode("body", "UTF-8")).alias("s"))
-    return body.select("doc_id", F.explode(text.suspicious_strings("s")).alias("t")).select("doc_id", "t.*")
+    return body.select("doc_id", F.explode(text.suspicious_strings("s", 200)).alias("t")).select("doc_id", "t.*")
 
 
 @query("signature_offsets", with_sql(FILES_SQL, "p AS (SELECT doc_id, string_split(text, 'th') AS g FROM documents)",
@@ -483,8 +482,8 @@ def _(spark, d):
     strings = F.transform(F.regexp_extract_all("body", F.lit(r"[\x20-\x7e]{6,}"), F.lit(0)), lambda s: F.trim(s))
     r = f.select("doc_id", "content", F.array_distinct(strings).alias("s"))
     joined = F.array_join("s", "\n")
-    r = r.select("doc_id", binary.packer("content").alias("packer"), binary.byte_entropy("content").alias("entropy"),
-                 F.size(text.suspicious_strings("s")).alias("bad"), joined.alias("joined"))
+    r = r.select("doc_id", binary.packer("content", PACKER_SEARCH_BYTES).alias("packer"), binary.byte_entropy("content").alias("entropy"),
+                 F.size(text.suspicious_strings("s", 200)).alias("bad"), joined.alias("joined"))
     network = (F.size(tokens.ipv4("joined")) + F.size(tokens.domains("joined")) + F.size(tokens.urls("joined"))) > 0
     score = samples.threat_score_without_content("entropy", F.col("packer"), F.col("bad"), network)
     return r.select(F.col("doc_id").alias("sample_id"), score.cast("int").alias("threat_score"))
@@ -535,7 +534,7 @@ FROM (SELECT d.doc_id, l.quality IS NOT NULL AS found, toxic, CAST(toxic * (doc_
       FROM documents d LEFT JOIN labels l USING (doc_id))""")
 def _(spark, d):
     r = label_reports(spark, d).withColumn("key", F.struct("doc_id", "hash"))
-    out = reputation.file_reputation(r, "key")
+    out = reputation.file_reputation(r, "key", names=10)
     return out.select("key.doc_id", "found", "is_malicious", "detections", "total_engines", "detection_ratio",
                       F.array_join("threat_names", "|").alias("threat_names"))
 
@@ -578,7 +577,7 @@ SELECT user_id, event_id, CAST(rank AS INTEGER) AS rank FROM (
   SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank FROM events)
 WHERE rank <= 50""")
 def _(spark, d):
-    return reputation.behaviours(load(spark, d, "events"), ["user_id"], ["ts", "event_id"]) \
+    return reputation.behaviours(load(spark, d, "events"), ["user_id"], ["ts", "event_id"], 50) \
         .select("user_id", "event_id", "rank")
 
 

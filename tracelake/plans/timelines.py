@@ -94,7 +94,8 @@ def _(spark, d):
 SELECT alert_id, agent_id, rule_level, ts FROM alerts WHERE rule_level >= 6
   AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' ORDER BY ts DESC, alert_id DESC LIMIT 500"""))
 def _(spark, d):
-    return al.query_alerts(alerts(spark, d), level_min=6, start="2024-01-05 00:00:00", end="2024-01-25 00:00:00") \
+    return al.query_alerts(alerts(spark, d), level_min=6, start="2024-01-05 00:00:00", end="2024-01-25 00:00:00",
+                           limit=500) \
         .select("alert_id", "agent_id", "rule_level", "ts")
 
 
@@ -102,7 +103,7 @@ def _(spark, d):
 SELECT alert_id, rule_level, ts FROM alerts WHERE rule_level >= 5 AND agent_id = 7
 ORDER BY ts DESC, alert_id DESC LIMIT 500"""))
 def _(spark, d):
-    return al.query_alerts(alerts(spark, d), level_min=5, agent_id=7).select("alert_id", "rule_level", "ts")
+    return al.query_alerts(alerts(spark, d), level_min=5, agent_id=7, limit=500).select("alert_id", "rule_level", "ts")
 
 
 OBSERVED = """list_filter([agent_ip, nullif(srcip, ''), nullif(dstip, ''), nullif(sha256, ''), nullif(hash, '')],
@@ -110,41 +111,64 @@ OBSERVED = """list_filter([agent_ip, nullif(srcip, ''), nullif(dstip, ''), nulli
 
 
 @query("case_alerts", with_sql(ALERTS_SQL, body=f"""
-SELECT alert_id, '[Alert] ' || rule_description AS title, array_to_string([rule_description, 'alert'], ',') AS tags,
-  array_to_string({OBSERVED}, ',') AS observables FROM alerts"""))
+SELECT alert_id, '[Wazuh] ' || rule_description AS title, 'wazuh' AS type, 'Wazuh' AS source,
+  'WAZUH-' || alert_id AS source_ref, array_to_string([rule_description, 'wazuh'], ',') AS tags,
+  array_to_string({OBSERVED}, ',') AS observables, severity AS severity_name,
+  CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS severity,
+  chr(10) || '**Wazuh Alert**' || chr(10) || chr(10) || '- **Agent**: ' || agent_name || ' (' || agent_ip || ')' || chr(10)
+  || '- **Rule ID**: ' || coalesce(rule_id, 'N/A') || chr(10) || '- **Rule Description**: ' || rule_description || chr(10)
+  || '- **Level**: ' || coalesce(rule_level, 5) || chr(10) || '- **Groups**: ' || rule_description || chr(10)
+  || '- **Timestamp**: ' || timestamp || chr(10) || chr(10) || '**Full Alert**:' || chr(10) || '```json' || chr(10)
+  || left(raw, 2000) || chr(10) || '```' || chr(10) AS description
+FROM (SELECT *, CASE WHEN coalesce(rule_level, 5) >= 12 THEN 'critical' WHEN coalesce(rule_level, 5) >= 9 THEN 'high'
+  WHEN coalesce(rule_level, 5) >= 6 THEN 'medium' ELSE 'low' END AS severity FROM alerts)"""))
 def _(spark, d):
-    rows = nz.case_alerts(alerts(spark, d))
-    return rows.select("alert_id", "title", F.array_join("tags", ",").alias("tags"),
+    rows = nz.case_alerts(alerts(spark, d), alert_width=2000)
+    return rows.select("alert_id", "title", "type", "source", "source_ref", "severity_name", "severity", "description",
+                       F.array_join("tags", ",").alias("tags"),
                        F.array_join(F.transform("observables", lambda o: o["data"]), ",").alias("observables"))
 
 
 @query("automation_rows", with_sql(ALERTS_SQL, body=f"""
-SELECT alert_id, CASE WHEN contains(h, 'SHA256=') THEN regexp_extract(h, 'SHA256=([0-9a-fA-F]{{64}})', 1) ELSE h END
+SELECT alert_id, 'full_soc_automation' AS pipeline, 'wazuh_alert,virustotal_lookup,thehive_case,email_notification' AS steps,
+  rule_description || ',wazuh,automated' AS tags, rule_id, timestamp, agent_name,
+  CASE WHEN contains(h, 'SHA256=') THEN regexp_extract(h, 'SHA256=([0-9a-fA-F]{{64}})', 1) ELSE h END
   AS file_hash, coalesce(nullif(srcip, ''), agent_ip, '') AS source_ip, coalesce(dstip, '') AS destination_ip,
   '[' || coalesce(rule_level, 0) || '] ' || rule_description AS title,
   {SQL_SEVERITY.format('coalesce(rule_level, 3)').replace("'info'", "'low'")} AS severity
 FROM (SELECT *, coalesce(nullif(event_hashes, ''), nullif(hash, ''), nullif(sha256, ''), '') AS h FROM alerts)"""))
 def _(spark, d):
     rows = nz.automation_rows(alerts(spark, d))
-    return rows.select("alert_id", "enrichment.*", "case_data.title", "case_data.severity")
+    return rows.select("alert_id", "pipeline", F.array_join("steps", ",").alias("steps"), "alert.rule_id", "alert.timestamp",
+                       "alert.agent_name", "enrichment.*", "case_data.title", "case_data.severity",
+                       F.array_join("case_data.tags", ",").alias("tags"))
 
 
 @query("alert_payloads", with_sql(ALERTS_SQL, body="""
-SELECT alert_id, rule_id, rule_level, rule_description, agent_name, agent_ip FROM alerts"""))
+SELECT alert_id, 'wazuh' AS source, timestamp, rule_id, rule_level, rule_description, agent_name, agent_ip,
+  CAST(k AS VARCHAR) AS inside FROM alerts"""))
 def _(spark, d):
     rows = nz.alert_payload(alerts(spark, d))
     get = lambda n: F.get_json_object("payload", f"$.{n}").alias(n)
-    return rows.select("alert_id", get("rule_id"), F.get_json_object("payload", "$.rule_level").cast("int")
+    return rows.select("alert_id", get("source"), get("timestamp"), F.get_json_object("payload", "$.full_alert.k").alias("inside"),
+                       get("rule_id"), F.get_json_object("payload", "$.rule_level").cast("int")
                        .alias("rule_level"), get("rule_description"), get("agent_name"), get("agent_ip"))
 
 
 @query("notification_rows", with_sql(ALERTS_SQL, body="""
-SELECT 'notification' AS action, 'soc@example.org' AS recipient, 'Alert ' || alert_id AS subject,
-  rule_description AS body, 'normal' AS priority FROM alerts"""))
+SELECT 'send_email' AS action, 'soc@example.org' AS recipient, 'Alert ' || alert_id AS subject,
+  rule_description AS body, 'normal' AS priority, ts AS timestamp FROM alerts"""))
 def _(spark, d):
     return nz.notification_rows(
         alerts(spark, d), F.lit("soc@example.org"),
-        F.concat(F.lit("Alert "), F.col("alert_id").cast("string")), "rule_description")
+        F.concat(F.lit("Alert "), F.col("alert_id").cast("string")), "rule_description", as_of=F.col("ts"))
+
+
+@query("case_creation_rows", with_sql(ALERTS_SQL, body=f"""
+SELECT 'create_thehive_case' AS action, '[Wazuh] ' || rule_description AS title, len({OBSERVED}) AS observables FROM alerts"""))
+def _(spark, d):
+    rows = nz.case_creation_rows(nz.case_alerts(alerts(spark, d)))
+    return rows.select("action", "title", F.size("observables").cast("bigint").alias("observables"))
 
 
 @query("agent_summary", """

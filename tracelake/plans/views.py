@@ -13,26 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.content.messages import ALERT_SOURCE
 from tracelake.session import apply_settings
 
 
-# Tables whose rows cost much more to process than to read.
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table = apply_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(table) if name in TEXT_TABLES else table
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan has fewer splits than there are cores.
-
-    A small file is one row group, hence one task, however much work its rows are.
-    A table with at least as many splits as cores is left as it is read.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return apply_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---- one value list, two spellings ----------------------------------------
@@ -122,7 +108,7 @@ KINDS = ["signup", "purchase", "view", "click", "error"]
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Endpoint events: events rows, shaped by their type and property."""
-    e = spread(load(spark, sf_dir, "events"))
+    e = load(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.array_position(F.array(*[F.lit(x) for x in KINDS]), F.col("event_type")) - 1
     base = e.select(
@@ -276,7 +262,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(k, F.lit(4)) == 0, F.concat(F.lit("MD5=0,SHA256="), sha, F.lit(",IMPHASH=0")))
         .when(F.pmod(k, F.lit(4)) == 1, F.md5("props")).when(F.pmod(k, F.lit(4)) == 2, "").alias("event_hashes"),
         F.when(F.pmod(k, F.lit(2)) == 0, F.md5("props")).alias("hash"),
-        F.when(F.pmod(k, F.lit(7)) == 0, sha).alias("sha256"))
+        F.when(F.pmod(k, F.lit(7)) == 0, sha).alias("sha256"), F.col("props").alias("raw"))
 
 
 ALERTS_SQL = """
@@ -290,7 +276,8 @@ SELECT event_id AS alert_id, ts, k, CAST(k AS VARCHAR) AS rule_id,
   CASE k % 5 WHEN 0 THEN '203.0.113.' || k END AS dstip,
   CASE k % 4 WHEN 0 THEN 'MD5=0,SHA256=' || sha256(props) || ',IMPHASH=0' WHEN 1 THEN md5(props) WHEN 2 THEN '' END
     AS event_hashes,
-  CASE k % 2 WHEN 0 THEN md5(props) END AS hash, CASE k % 7 WHEN 0 THEN sha256(props) END AS sha256
+  CASE k % 2 WHEN 0 THEN md5(props) END AS hash, CASE k % 7 WHEN 0 THEN sha256(props) END AS sha256, props AS raw,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') || rtrim(rtrim(strftime(ts, '.%f'), '0'), '.') AS timestamp
 FROM alerts0)"""
 
 
@@ -310,7 +297,7 @@ SELECT ts, {SQL_CATEGORY} AS category, 'event ' || event_code AS description, 'S
   CAST(event_id AS VARCHAR) AS event_id, 'info' AS severity
 FROM telemetry
 UNION ALL
-SELECT ts, 'alert', rule_description, 'Alerts', agent_name, CAST(alert_id AS VARCHAR),
+SELECT ts, 'alert', rule_description, 'Wazuh', agent_name, CAST(alert_id AS VARCHAR),
   {SQL_SEVERITY.format('coalesce(rule_level, 3)')}
 FROM alerts
 UNION ALL
@@ -328,7 +315,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
                 description=F.concat(F.lit("event "), F.col("event_code").cast("string")), source=F.lit("Sysmon"),
                 severity=F.lit("info"))
     a = conform(alerts(spark, sf_dir), category=F.lit("alert"), description=F.col("rule_description"),
-                source=F.lit("Alerts"), host=F.col("agent_name"), event_id=F.col("alert_id"),
+                source=F.lit(ALERT_SOURCE), host=F.col("agent_name"), event_id=F.col("alert_id"),
                 severity=level_severity("rule_level", default=3))
     o = load(spark, sf_dir, "orders")
     n = conform(o, ts=F.col("o_orderdate"), category=F.lit("analyst_note"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,16 +37,14 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of the cluster.
+    """Checkpoint to the folder that the cluster shares, spark.checkpoint.dir.
 
-    The folder comes from spark.checkpoint.dir. Only where that is unset, as in
-    tests, a folder of our own is used.
+    There is no fallback: a folder of one machine would lose the rows of the others.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            folder = tempfile.mkdtemp(prefix="tracelake-checkpoint-")
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=False)

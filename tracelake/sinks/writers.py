@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.text import cut
 from tracelake.operators.evidence import evidence_log, load_file_header, load_file_lines
 from tracelake.operators.files import mac_ordered
 from tracelake.operators.flows import flow_export
@@ -25,18 +26,18 @@ def timeline_json(timeline: DataFrame, path: str, mode: str = "error") -> None:
     summary(timeline).write.mode(mode).json(f"{path}/summary")
 
 
-def hit_rows(hits: DataFrame) -> DataFrame:
+def hit_rows(hits: DataFrame, width: int | None = None) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return hits.select(
         text("hit_time").alias("Hit Time"), text("host").alias("Host"), F.col("value").alias("IOC Value"),
         F.col("ioc_type").alias("IOC Type"), text("severity").alias("Severity"),
         F.col("confidence").alias("Confidence"), text("source").alias("Source"),
         F.regexp_replace("ioc_type", "^hash_", "").alias("Matched Field"),
-        F.left(text("description"), F.lit(100)).alias("Description"))
+        cut(text("description"), width).alias("Description"))
 
 
-def hits_csv(hits: DataFrame, path: str, mode: str = "error") -> None:
-    _csv(hit_rows(hits), path, mode)
+def hits_csv(hits: DataFrame, path: str, mode: str = "error", width: int | None = None) -> None:
+    _csv(hit_rows(hits, width), path, mode)
 
 
 def flows_csv(flagged: DataFrame, path: str, mode: str = "error") -> None:
@@ -66,8 +67,8 @@ def custody_table(custody: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def report_table(rows: DataFrame, path: str, mode: str = "error") -> None:
-    """Report rows, one folder per case."""
-    rows.write.mode(mode).partitionBy("case_id").parquet(path)
+    """Report rows, one folder per case. Rows of a case come together first, so a case is one file, not one per task."""
+    rows.repartition("case_id").write.mode(mode).partitionBy("case_id").parquet(path)
 
 
 def json_table(rows: DataFrame, path: str, mode: str = "append") -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.content import messages
 from tracelake.content.lookups import WINDOWS_AUTH_IDS, WINDOWS_PROCESS_IDS
 from tracelake.functions.text import cut, filled
 from tracelake.functions.times import log_time, timeline_time
@@ -60,9 +61,9 @@ ALERT_SCHEMA = (
 
 
 def parse_alert_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Alert NDJSON lines (batch or stream) with the declared schema; lines that are no JSON are skipped."""
+    """Alert NDJSON lines (batch or stream) with the declared schema, and raw, the whole line; lines that are no JSON are skipped."""
     parsed = F.from_json(column, f"{ALERT_SCHEMA}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
-    rows = lines.where(F.trim(column) != "").select(parsed.alias("a")).select("a.*")
+    rows = lines.where(F.trim(column) != "").select(parsed.alias("a"), F.col(column).alias("raw")).select("a.*", "raw")
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
@@ -82,7 +83,7 @@ def flat_alerts(alerts: DataFrame) -> DataFrame:
         F.col("data.srcip").alias("srcip"), F.col("data.dstip").alias("dstip"),
         F.col("data.src_ip").alias("src_ip"), F.col("data.dst_ip").alias("dst_ip"),
         F.col("data.sha256").alias("sha256"), F.col("data.hash").alias("hash"),
-        F.col("data.file_hash").alias("file_hash"),
+        F.col("data.file_hash").alias("file_hash"), "raw",
         F.try_element_at("data.win.eventdata", F.lit("hashes")).alias("event_hashes"))
 
 
@@ -91,11 +92,11 @@ def alert_timeline(alerts: DataFrame, technique: Column | None = None) -> DataFr
     ts = timeline_time(F.coalesce(filled("timestamp"), filled("`@timestamp`")))
     rows = alerts.withColumn("ts", ts).where(F.col("ts").isNotNull())
     return conform(
-        rows, category=F.lit("alert"), description=F.coalesce("rule.description", F.lit("Alert")),
-        source=F.lit("Alerts"), host=F.coalesce("agent.name", F.lit("unknown")), event_id=F.col("rule.id"),
+        rows, category=F.lit("alert"), description=F.coalesce("rule.description", F.lit(messages.ALERT_DESCRIPTION_DEFAULT)),
+        source=F.lit(messages.ALERT_SOURCE), host=F.coalesce("agent.name", F.lit("unknown")), event_id=F.col("rule.id"),
         rule_name=F.col("rule.description"), severity=level_severity("rule.level", default=3),
         file_path=F.col("syscheck.path"), mitre=technique if technique is not None else F.get("rule.mitre.id", 0),
-        raw=F.to_json(F.struct("rule", "agent", "syscheck", "data")))
+        raw=F.col("raw"))
 
 
 # ---- SRC-04: endpoint telemetry -------------------------------------------
@@ -132,7 +133,7 @@ def telemetry_timeline(rows: DataFrame) -> DataFrame:
 
 # ---- SRC-05, SRC-06: Windows events ---------------------------------------
 
-def windows_timeline(events: DataFrame) -> DataFrame:
+def windows_timeline(events: DataFrame, data_width: int | None = None) -> DataFrame:
     """Windows event JSON (VARIANT events) as timeline rows. TimeCreated may be an object or a text."""
     text = lambda p: F.try_variant_get("event", p, "string")
     ts = timeline_time(F.coalesce(text("$.System.TimeCreated.SystemTime"), text("$.System.TimeCreated")))
@@ -143,7 +144,7 @@ def windows_timeline(events: DataFrame) -> DataFrame:
                 .otherwise("service")
     return conform(
         rows, category=category,
-        description=F.concat(F.lit("EventID "), code.cast("string"), F.lit(": "), cut(data, 100)),
+        description=F.concat(F.lit("EventID "), code.cast("string"), F.lit(": "), cut(data, data_width)),
         source=F.lit("Windows Event Log"), host=F.coalesce(text("$.System.Computer"), F.lit("unknown")),
         event_id=code, raw=F.to_json("event"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from tracelake.functions.text import cut
 from pyspark.sql import types as T
 
 # ---- SRC-14: decoded packets ----------------------------------------------
@@ -175,7 +177,7 @@ def read_sandbox(spark: SparkSession, path: str, dialect: str) -> DataFrame:
                       *[F.coalesce(cells.get(n, null(t)), null(t)).alias(n) for n, t in shape.items()])
 
 
-def sandbox_calls(raw_reports: DataFrame) -> DataFrame:
+def sandbox_calls(raw_reports: DataFrame, detail_width: int | None = None) -> DataFrame:
     """Behaviour rows of the first dialect: one per call, with its place in the process."""
     procs = raw_reports.select("report_id", F.posexplode("behavior.processes").alias("process_no", "p"))
     calls = procs.select("report_id", "process_no", "p.process_name", "p.pid",
@@ -184,7 +186,7 @@ def sandbox_calls(raw_reports: DataFrame) -> DataFrame:
         "report_id", "process_no", "call_no", F.coalesce("process_name", F.lit("")).alias("process"),
         F.coalesce("pid", F.lit(0)).alias("pid"), F.coalesce("c.category", F.lit("other")).alias("category"),
         F.coalesce("c.api", F.lit("")).alias("action"),
-        F.left(F.coalesce(F.to_json("c.arguments"), F.lit("{}")), F.lit(100)).alias("detail"),
+        cut(F.coalesce(F.to_json("c.arguments"), F.lit("{}")), detail_width).alias("detail"),
         F.coalesce("c.time", F.lit("")).alias("timestamp"))
 
 
