@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import written
-from tracelake.llm.tokens import ID, tokenized
+from tracelake.llm.tokens import ID, encoded
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -188,7 +188,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: in
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in encoded(batches, tokenizer, end_id):
             rows, piece, start, size, parts = [], [], [], [], []
             for row, ids in enumerate(batch.column(1).to_pylist()):
                 n = len(ids) // ID.itemsize
@@ -203,30 +203,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: in
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(size, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
-    return tokenized(docs, tokenizer, end_id).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
-
-
-def _ranked(pieces: DataFrame) -> DataFrame:
-    """pieces with part, the task that saw a row, and rank, its place among the task's rows of that length."""
-    kept = pieces.drop("part", "rank", "sequence_id", "offset")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "part int, rank long"])
-    at = kept.columns.index("length")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        part, seen = TaskContext.get().partitionId(), Counter()
-        for batch in batches:
-            ranks = []
-            for x in batch.column(at).to_pylist():
-                ranks.append(seen[x])
-                seen[x] += 1
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(ranks, pa.int64())],
-                [*batch.schema.names, "part", "rank"])
-
-    return kept.mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 def placements(patterns: list[tuple[int, Pattern]]) -> dict[int, np.ndarray]:
@@ -246,14 +223,17 @@ def placements(patterns: list[tuple[int, Pattern]]) -> dict[int, np.ndarray]:
 
 def packed(pieces: DataFrame, capacity: int = 1024, nodes: int = 3_000) -> DataFrame:
     """pieces with sequence_id and offset; within a sequence the pieces lie end to end from 0."""
-    rows = written(_ranked(pieces), "pieces")
+    kept = pieces.drop("part", "rank", "sequence_id", "offset")
+    # A row's task and its number within the task are fixed by writing them.
+    rows = written(kept.withColumn("part", F.spark_partition_id()).withColumn("rank", F.monotonically_increasing_id()), "pieces")
     counts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     table = placements(bin_completion(histogram, capacity, nodes))
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    names = pieces.drop("part", "rank", "sequence_id", "offset").columns
-    ready = rows.join(before, ["length", "part"]).select(*names, (F.col("before") + F.col("rank")).alias("rank"))
+    names = kept.columns
+    place = F.row_number().over(Window.partitionBy("length", "part").orderBy("rank")) - 1
+    ready = rows.withColumn("rank", place).join(before, ["length", "part"]).select(*names, (F.col("before") + F.col("rank")).cast("bigint").alias("rank"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.drop("rank").schema), "sequence_id long, offset long"])
     at = names.index("length")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import if_small, partitions, shared_folder
-from tracelake.llm.tokens import ID, tokenized, vocabulary_size
+from tracelake.llm.tokens import ID, encoded, vocabulary_size
 
 MAGIC = b"TLP1"
 HEAD = "<4sB3xIIQ"
@@ -44,8 +44,9 @@ def pack(ids: np.ndarray, bits: int, block_ids: int = BLOCK_IDS) -> bytes:
         raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
     blocks = []
     for at in range(0, len(ids), block_ids):
-        wide = np.unpackbits(ids[at : at + block_ids].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
-        blocks.append(np.packbits(wide[:, 32 - bits :]).tobytes())
+        octets = ids[at : at + block_ids].astype(">u4").view(np.uint8).reshape(-1, 4)
+        # A width of whole bytes needs no shifting of bits.
+        blocks.append((np.packbits(np.unpackbits(octets, axis=1)[:, 32 - bits :]) if bits % 8 else octets[:, 4 - bits // 8 :]).tobytes())
     offsets = np.cumsum([0, *map(len, blocks)]).astype("<u8")
     return struct.pack(HEAD, MAGIC, bits, block_ids, len(blocks), len(ids)) + offsets.tobytes() + b"".join(blocks)
 
@@ -64,9 +65,14 @@ def unpack(data: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
     # Blocks before the last are full and end at whole bytes, so neighbours unpack as one run.
     held = min((last + 1) * block_ids, n) - first * block_ids
     raw = np.frombuffer(data, np.uint8, int(offsets[last + 1] - offsets[first]), base + int(offsets[first]))
-    wide = np.zeros((held, 32), np.uint8)
-    wide[:, 32 - bits :] = np.unpackbits(raw, count=held * bits).reshape(held, bits)
-    ids = np.packbits(wide, axis=1).view(">u4").ravel().astype(ID)
+    if bits % 8:
+        wide = np.zeros((held, 32), np.uint8)
+        wide[:, 32 - bits :] = np.unpackbits(raw, count=held * bits).reshape(held, bits)
+        octets = np.packbits(wide, axis=1)
+    else:
+        octets = np.zeros((held, 4), np.uint8)
+        octets[:, 4 - bits // 8 :] = raw.reshape(held, bits // 8)
+    ids = octets.view(">u4").ravel().astype(ID)
     return ids[start - first * block_ids : stop - first * block_ids]
 
 
@@ -110,9 +116,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
     bits = width(vocabulary_size(tokenizer))
     order = ["doc_id", F.xxhash64("text")]
     spread = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(partitions(spark), *order)
-    ids = tokenized(spread.sortWithinPartitions(*order), tokenizer, end_id)
-    segments = ids.mapInArrow(
-        lambda batches: _segments(batches, bits, segment_ids),
+    segments = spread.sortWithinPartitions(*order).mapInArrow(
+        lambda batches: _segments(encoded(batches, tokenizer, end_id), bits, segment_ids),
         "shard int, segment int, before long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, data binary")
     segments.write.option("compression", "zstd").parquet(path)
     return path

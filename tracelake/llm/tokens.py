@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
+import sys
 from array import array
 from collections.abc import Iterator
 
@@ -22,6 +24,8 @@ PAIR = re.compile(r"\s\s")
 BEFORE_RUN = re.compile(r"(?<=\S)(?= )")
 BATCH = 128
 MARKS = ".,;:!?#*%$&|"
+# White space besides the space and the line end, and the mark that this memory uses itself.
+ODD = [*(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace() and chr(c) not in " \n"), "\0"]
 
 
 def byte_characters() -> dict[int, str]:
@@ -31,6 +35,20 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Words(dict):
+    """Ids of words after a space; those not met yet come from the encoder."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encoder._word(word, " ")
+        if len(word) <= self.encoder.longest and "\n" not in word:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. remembered: words kept at most; then the memory starts anew."""
 
@@ -44,7 +62,7 @@ class Encoder:
         cutter = kind.get("pre_tokenizer") or {}
         self.by_word = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not kind.get("normalizer")
         self.remembered, self.longest = remembered, longest
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self)
         self.byte_text = byte_characters()
         self.line = self._whole("\n") if self.by_word else b""
 
@@ -65,8 +83,7 @@ class Encoder:
             return self._word(left, space) + self.line + self._word(right, "")
         body = word.rstrip(MARKS)
         if body.isalpha():
-            known = self.words.get(body) if space else None
-            return (known or self._letters(space + body)) + self._marks(word[len(body) :])
+            return (self.words[body] if space else self._letters(body)) + self._marks(word[len(body) :])
         return self._whole(space + word)
 
     def _marks(self, marks: str) -> bytes:
@@ -78,28 +95,17 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, ID).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        words, out = self.words, []
+        out = []
         for text in texts:
-            if PAIR.search(text) or "\0" in text:  # only the first space of a run of white space is a safe place to cut
+            if "  " in text or " \n" in text or text.endswith(" ") or any(c in text for c in ODD):
+                # Only the first space of a run of white space is a safe place to cut.
                 first, *rest = BEFORE_RUN.split(text)
                 out.append(b"".join([self._whole(first), *map(self._whole, rest)]))
                 continue
             first, *rest = text.split(" ")
-            if len(words) > self.remembered:
-                words.clear()
-            try:
-                ids = b"".join(map(words.__getitem__, rest))
-            except KeyError:
-                long = []
-                for x in rest:
-                    if x not in words:
-                        words[x] = self._word(x, " ")
-                        if len(x) > self.longest:
-                            long.append(x)
-                ids = b"".join(map(words.__getitem__, rest))
-                for x in long:
-                    del words[x]
-            out.append(self._word(first, "") + ids)
+            if len(self.words) > self.remembered:
+                self.words.clear()
+            out.append(self._word(first, "") + b"".join(map(self.words.__getitem__, rest)))
         return out
 
 
@@ -114,6 +120,23 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
+def encoded(batches: Iterator, tokenizer: str, end_id: int) -> Iterator:
+    """Batches (doc_id, text) -> batches (doc_id, ids), in the worker.
+
+    Operators put what follows into the same function: a further step of its own
+    would get workers of its own, each with another memory of words.
+    """
+    import pyarrow as pa
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    known, end = encoder(tokenizer), np.array([end_id], ID).tobytes()
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            part = batch.slice(at, BATCH)
+            ids = known.encode([x or "" for x in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, ids): ids of the whole text and end_id, as little-endian unsigned 32-bit bytes.
 
@@ -121,19 +144,4 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     partitions and order.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], ID).tobytes()
-
-    def run(batches: Iterator) -> Iterator:
-        import os
-
-        import pyarrow as pa
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known = encoder(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                ids = known.encode([x or "" for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: encoded(batches, tokenizer, end_id), f"doc_id {kind}, ids binary")
