@@ -136,7 +136,8 @@ def test_carving_across_chunks(spark, chunk):
 def test_recent_files_cap_after_the_time_filter(spark):
     rows = [(f"/tmp/old{i:03d}", at(-200_000)) for i in range(60)] + [(f"/tmp/z{i:03d}", at(-10)) for i in range(60)]
     f = spark.createDataFrame(rows, "path string, mtime timestamp_ntz")
-    got = files.recent_files(f, F.lit(T0), 24, ["/TMP"]).collect()
+    got = files.recent_files(f, F.lit(T0), 24, ["/TMP"], 50).collect()
+    assert files.recent_files(f, F.lit(T0), 24, ["/TMP"]).count() == 60
     assert len(got) == 50 and all(r.path.startswith("/tmp/z") for r in got)
 
 
@@ -236,7 +237,8 @@ def test_case_workflow(spark):
     assert got == {"c1": "containment", "c2": "closed"}
     notes = spark.createDataFrame([("c1", at(i), f"n{i}", "kim", "x" * 200) for i in range(6)],
                                   "case_id string, ts timestamp_ntz, note_id string, author string, content string")
-    assert [r.note_id for r in cases.last_notes(notes).orderBy("rank").collect()] == ["n5", "n4", "n3", "n2", "n1"]
+    assert [r.note_id for r in cases.last_notes(notes, 5).orderBy("rank").collect()] == ["n5", "n4", "n3", "n2", "n1"]
+    assert cases.last_notes(notes).count() == 6
     ind = spark.createDataFrame([("c1", "a"), ("c1", "a"), ("c1", "b")], "case_id string, value string")
     rows = cases.status_rows(c, tasks, notes, ind).where("case_id = 'c1'").collect()
     assert [r.text for r in rows if r.section == "summary"] == ["IOCs: 2, Open Tasks: 5"]

@@ -267,3 +267,36 @@ def test_one_scan_for_all_rules_without_python(spark, tmp_path):
     assert plan.count("FileScan parquet") == 1
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
     assert "analyst" not in plan and "task_content" in plan
+
+
+SELECTORS = {"sel_a": "a = 1", "sel_b": "b = 1", "other": "c = 1"}
+
+
+@pytest.mark.parametrize("condition, sql", [
+    ("sel_a and not other", "(a = 1 and not c = 1)"), ("1 of sel_*", "((a = 1 or b = 1))"), ("all of them", "((a = 1 and b = 1 and c = 1))"),
+    ("(sel_a or sel_b) and other", "(( a = 1 or b = 1 ) and c = 1)"), ("unknown", "(false)"),
+])
+def test_sigma_conditions(condition, sql):
+    assert sigma._condition(condition, SELECTORS).replace("( ", "(").replace(" )", ")") == sql.replace("( ", "(").replace(" )", ")")
+
+
+@pytest.mark.parametrize("condition", ["1 of", "1 of none*", "sel_a and", "(sel_a", "sel_a sel_b", "sel_a; drop", "1", "", "sel_a | count() > 5"])
+def test_bad_sigma_conditions_are_named(condition):
+    with pytest.raises(ValueError):
+        sigma._condition(condition, SELECTORS)
+
+
+def test_one_bad_rule_leaves_the_others(write):
+    good = "id: g\ntitle: t\ndetection:\n  s:\n    Image: x\n  condition: 1 of them\n"
+    bad = "id: b\ntitle: t\ndetection:\n  s:\n    Image: x\n  condition: 1 of\n"
+    rules, problems = sigma.load_sigma(write("r.yml", f"{good}---\n{bad}"))
+    assert [r.rule_id for r in rules] == ["g"] and len(problems) == 1 and ": b: " in problems[0]
+
+
+def test_broken_xml_is_named(write):
+    path = write("broken.xml", "<a><b>")
+    for load in (policy.load_policy, load_alert_rules):
+        with pytest.raises(ValueError, match="broken.xml"):
+            load(path)
+    with pytest.raises(ValueError, match="unknown condition"):
+        policy.kept([1], [("Image", "nope", "x")], [])

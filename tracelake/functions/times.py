@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------------------
-# Accepted formats, in order.
-# ---------------------------------------------------------------------------
-TIMELINE_FORMATS = [
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
-    "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy hh:mm:ss a",
-]
+# Fixed value.
 SYSLOG_FORMAT = "yyyy MMM d HH:mm:ss"
 
 

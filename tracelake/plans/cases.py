@@ -60,16 +60,16 @@ def _(spark, d):
 @query("snapshot_drift", """
 SELECT coalesce(b.p_partkey, a.l_partkey) AS key, CASE WHEN b.p_partkey IS NULL THEN 'added' WHEN a.l_partkey IS NULL
   THEN 'removed' WHEN b.h = a.h THEN 'unchanged' ELSE 'changed' END AS drift
-FROM (SELECT p_partkey, md5(CAST(p_partkey % 7 AS VARCHAR)) AS h FROM part WHERE p_size > 5) b
+FROM (SELECT p_partkey, md5(CAST(p_partkey % 7 AS VARCHAR)) AS h FROM part) b
 FULL JOIN (SELECT l_partkey, md5(CAST(l_partkey % 7 + CASE WHEN max(l_quantity) >= 50 THEN 1 ELSE 0 END AS VARCHAR)) AS h
-  FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) a ON b.p_partkey = a.l_partkey""")
+  FROM lineitem GROUP BY l_partkey) a ON b.p_partkey = a.l_partkey""")
 def _(spark, d):
     part, li = load(spark, d, "part"), load(spark, d, "lineitem")
     seven = lambda c: F.pmod(c, F.lit(7))
-    before = part.where(F.col("p_size") > 5).select(
+    before = part.select(
         F.col("p_partkey").alias("key"), F.md5(seven("p_partkey").cast("string")).alias("h"))
     busy = F.when(F.col("q") >= 50, 1).otherwise(0)
-    after = li.where(F.col("l_returnflag") == "R").groupBy("l_partkey").agg(F.max("l_quantity").alias("q")).select(
+    after = li.groupBy("l_partkey").agg(F.max("l_quantity").alias("q")).select(
         F.col("l_partkey").alias("key"), F.md5((seven("l_partkey") + busy).cast("string")).alias("h"))
     return ev.drift(before, after, "key", "h").select("key", "drift")
 
@@ -265,10 +265,9 @@ def _(spark, d):
 @query("notification_deadlines", f"""
 SELECT o_orderkey, regime, notify, o_orderdate + to_hours(hours) AS deadline FROM orders, (
   SELECT unnest({[r[0] for r in NOTIFICATION_DEADLINES]}) AS regime, unnest({[r[1] for r in NOTIFICATION_DEADLINES]}) AS hours,
-  unnest({[r[2] for r in NOTIFICATION_DEADLINES]}) AS notify) r WHERE o_totalprice > 450000""")
+  unnest({[r[2] for r in NOTIFICATION_DEADLINES]}) AS notify) r""")
 def _(spark, d):
-    o = load(spark, d, "orders").where(F.col("o_totalprice") > 450000)
-    return cs.notification_deadlines(o, "o_orderkey", "o_orderdate")
+    return cs.notification_deadlines(load(spark, d, "orders"), "o_orderkey", "o_orderdate")
 
 
 # ---- reports --------------------------------------------------------------
@@ -290,7 +289,7 @@ UNION ALL SELECT case_id, 'indicator_' || ioc_type, CAST(rank AS INTEGER), value
 WHERE (ioc_type IN ('ip', 'domain', 'hash_sha256') AND rank <= 20) OR (ioc_type = 'url' AND rank <= 10)
 UNION ALL SELECT case_id, 'evidence', CAST(rank AS INTEGER), 'doc ' || doc_id || ' ' || left(sha256, 16) FROM ranked_ev
 WHERE rank <= 20
-UNION ALL SELECT 'src' || (user_id % 20), 'action', NULL, event_type || ' ' || host FROM telemetry WHERE value > 200"""))
+UNION ALL SELECT 'src' || (user_id % 20), 'action', NULL, event_type || ' ' || host FROM telemetry"""))
 def _(spark, d):
     docs = load(spark, d, "documents")
     t = telemetry(spark, d).withColumn("case_id", F.concat(F.lit("src"), F.pmod("user_id", F.lit(20)).cast("string")))
@@ -300,7 +299,7 @@ def _(spark, d):
     cases = docs.select(F.col("source").alias("case_id")).distinct().select(
         "case_id", F.concat(F.lit("case "), F.col("case_id")).alias("title"), F.lit("high").alias("severity"),
         F.lit("malware").alias("category"))
-    actions = t.where(F.col("value") > 200).select(
+    actions = t.select(
         "case_id", F.col("event_id").alias("action_id"), F.col("event_type").alias("action_type"),
         F.col("host").alias("target"), F.lit(True).alias("success"))
     r = reports.case_report(cases, tl, found, evidence_items(spark, d), actions, REPORT_CAPS,

@@ -20,7 +20,7 @@ proc AS (SELECT event_id, host, ts AS create_time, k AS pid, (k * 7) % 100 AS pp
   {pick_sql(NAMES, f'k % {len(NAMES)}')} AS name FROM snap),
 sock AS (SELECT event_id, host, k AS pid, '198.51.100.' || k || ':' ||
   {pick_sql([443, 80, 4444, 8080, 22, 53, 9001], 'k % 7')} AS remote FROM snap WHERE event_type = 'click'),
-sess AS (SELECT host, event_id FROM snap WHERE event_type = 'signup' AND k < 20)"""
+sess AS (SELECT host, event_id FROM snap WHERE event_type = 'signup')"""
 
 
 def snapshots(spark, d):
@@ -35,7 +35,7 @@ def snapshots(spark, d):
                       pick([443, 80, 4444, 8080, 22, 53, 9001], F.pmod("k", F.lit(7))).cast("string"))
     sock = snap.where(F.col("event_type") == "click").select(
         "event_id", "host", F.col("k").alias("pid"), remote.alias("remote"))
-    sess = snap.where((F.col("event_type") == "signup") & (F.col("k") < 20)).select("host", "event_id")
+    sess = snap.where(F.col("event_type") == "signup").select("host", "event_id")
     return proc, sock, sess
 
 
@@ -80,10 +80,10 @@ def _(spark, d):
 
 @query("sockets_with_process", with_sql(SNAP_SQL, body="""
 SELECT s.event_id, s.host, s.pid, s.remote, coalesce(p.name, 'N/A') AS process FROM sock s
-LEFT JOIN (SELECT host, pid, max(name) AS name FROM proc WHERE name <> 'svchost.exe' GROUP BY ALL) p USING (host, pid)"""))
+LEFT JOIN (SELECT host, pid, max(name) AS name FROM proc GROUP BY ALL) p USING (host, pid)"""))
 def _(spark, d):
     proc, sock, _ = snapshots(spark, d)
-    return hosts.sockets_with_process(sock, proc.where(F.col("name") != "svchost.exe")) \
+    return hosts.sockets_with_process(sock, proc) \
         .select("event_id", "host", "pid", "remote", "process")
 
 
@@ -282,7 +282,10 @@ def _(spark, d):
 @query("carved_markers", with_sql(FILES_SQL, """
 heads AS (SELECT unnest(['4D5A', '7F454C46', '504B0304', '25504446', 'D0CF11E0', '89504E47', 'FFD8FF', '1F8B',
   '377ABCAF', '52617221']) AS signature)""", body="""
-SELECT signature, count(*) AS files FROM files, heads WHERE starts_with(head, signature) GROUP BY signature"""))
+SELECT signature, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(at_head) AS BIGINT) AS heads FROM (
+  SELECT signature, starts_with(hex(content), signature)::INT AS at_head,
+    len(list_filter(range(1, length(hex(content)), 2), lambda i: substr(hex(content), i, length(signature)) = signature)) AS hits
+  FROM files, heads WHERE contains(hex(content), signature)) GROUP BY signature HAVING sum(hits) > 0"""))
 def _(spark, d):
     found = fs.carve(files(spark, d).select("path", "content"))
-    return found.where(F.col("offset") == 0).groupBy("signature").agg(F.count("*").alias("files"))
+    return found.groupBy("signature").agg(F.count("*").alias("hits"), F.count_if(F.col("offset") == 0).alias("heads"))

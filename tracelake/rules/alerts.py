@@ -42,9 +42,13 @@ def shipped_alert_rules() -> list[Rule]:
 
 
 def load_alert_rules(path: str, fields=None) -> tuple[list[Rule], list[tuple]]:
-    """Rules of an alert-rule XML file: plain rules, and frequency rules as rows."""
+    """Rules of an alert-rule XML file: plain rules, and frequency rules as rows. A broken file raises ValueError with its name."""
+    try:
+        root = ElementTree.parse(path).getroot()
+    except ElementTree.ParseError as error:
+        raise ValueError(f"{path}: {error}") from error
     plain, frequent = [], []
-    for node in ElementTree.parse(path).getroot().iter("rule"):
+    for node in root.iter("rule"):
         rule_id, level = node.get("id"), int(node.get("level"))
         technique = node.findtext("mitre/id")
         title, groups = node.findtext("description") or "", node.findtext("group") or ""

@@ -18,6 +18,8 @@ def kept(codes, include, exclude, fields=None, columns=None) -> str:
     fields = fields or POLICY_FIELDS
 
     def test(field, operator, value):
+        if operator not in TESTS:
+            raise ValueError(f"unknown condition {operator!r} of field {field!r}; known: {', '.join(sorted(TESTS))}")
         column = fields.get(field)
         return TESTS[operator](column if columns is None or column in columns else None, value)
 
@@ -48,10 +50,17 @@ def collected(events: DataFrame, policy=None, fields=None) -> DataFrame:
 EVENT_CODES = {kind: body[0] for kind, body in COLLECTION_POLICY.items()}
 
 
+def _root(path: str) -> ElementTree.Element:
+    try:
+        return ElementTree.parse(path).getroot()
+    except ElementTree.ParseError as error:
+        raise ValueError(f"{path}: {error}") from error
+
+
 def load_policy(path: str) -> dict[str, tuple]:
-    """Policy of a telemetry configuration XML file."""
+    """Policy of a telemetry configuration XML file. A broken file raises ValueError with its name."""
     out: dict[str, list] = {}
-    for group in ElementTree.parse(path).getroot().iter("RuleGroup"):
+    for group in _root(path).iter("RuleGroup"):
         for node in group:
             if node.tag not in EVENT_CODES:
                 continue

@@ -12,6 +12,7 @@ field names with a modifier never match, and a condition is cut at the letters
 
 from __future__ import annotations
 
+import fnmatch
 import re
 from pathlib import Path
 
@@ -85,12 +86,66 @@ def _selector_compat(selector, fields: Fields) -> str:
     return "false"
 
 
-def _condition(condition: str, parts: dict[str, str]) -> str:
-    def name(match: re.Match) -> str:
-        word = match.group(0)
-        return word.lower() if word.lower() in OPERATORS else parts.get(word, "false")
+def _amount(count: str, pattern: str, parts: dict[str, str]) -> str:
+    """`1 of sel*`, `all of them`: so many of the selectors whose names fit."""
+    if pattern.lower() == "them":
+        chosen = [p for n, p in parts.items() if not n.startswith("_")]
+    else:
+        chosen = [p for n, p in parts.items() if fnmatch.fnmatchcase(n, pattern)]
+    if not chosen:
+        raise ValueError(f"no selector fits {pattern!r}")
+    if count == "all":
+        return all_of(chosen)
+    if int(count) == 1:
+        return any_of(chosen)
+    return "(" + " + ".join(f"int(coalesce({p}, false))" for p in chosen) + f" >= {int(count)})"
+
 
-    return "(" + re.sub(r"[A-Za-z_][A-Za-z0-9_]*", name, condition) + ")"
+def _condition(condition: str, parts: dict[str, str]) -> str:
+    """SQL of a condition: selector names, and, or, not, parentheses, N of a pattern, all of a pattern.
+
+    Anything else raises ValueError, so that one bad rule cannot spoil the SQL of a scan.
+    """
+    tokens = re.findall(r"[A-Za-z0-9_*?-]+|[()]|\S", condition)
+    at, out = 0, []
+
+    def take() -> str:
+        nonlocal at
+        if at == len(tokens):
+            raise ValueError(f"condition ends too early: {condition!r}")
+        at += 1
+        return tokens[at - 1]
+
+    def operand() -> None:
+        word = take()
+        low = word.lower()
+        if low == "not":
+            out.append("not")
+            operand()
+        elif word == "(":
+            out.append("(")
+            chain()
+            if take() != ")":
+                raise ValueError(f"parenthesis left open: {condition!r}")
+            out.append(")")
+        elif (low == "all" or low.isdigit()) and at < len(tokens) and tokens[at].lower() == "of":
+            take()
+            out.append(_amount(low, take(), parts))
+        elif re.fullmatch(r"[A-Za-z_][A-Za-z0-9_-]*", word) and low not in OPERATORS:
+            out.append(parts.get(word, "false"))
+        else:
+            raise ValueError(f"unexpected {word!r} in condition {condition!r}")
+
+    def chain() -> None:
+        operand()
+        while at < len(tokens) and tokens[at].lower() in ("and", "or"):
+            out.append(take().lower())
+            operand()
+
+    chain()
+    if at < len(tokens):
+        raise ValueError(f"unexpected {tokens[at]!r} in condition {condition!r}")
+    return "(" + " ".join(out) + ")"
 
 
 def _condition_compat(condition: str, parts: dict[str, str]) -> str:
@@ -138,7 +193,10 @@ def load_sigma(path: str, fields: Fields | None = None, compat: bool = False,
         try:
             for doc in yaml.safe_load_all(file.read_text(encoding="utf-8")):
                 if isinstance(doc, dict) and "detection" in doc:
-                    rules.append(sigma_rule(doc, fields, compat))
+                    try:
+                        rules.append(sigma_rule(doc, fields, compat))
+                    except (ValueError, TypeError, AttributeError) as error:
+                        problems.append(f"{file}: {doc.get('id', doc.get('title', 'a rule'))}: {error}")
         except yaml.YAMLError as error:
             problems.append(f"{file}: {error}")
     return rules, problems
