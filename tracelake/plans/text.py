@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.content.lookups import FILE_MAGIC, PACKER_SEARCH_BYTES, SAMPLE_MAGIC, SUSPICIOUS_STRINGS
-from tracelake.functions import binary, hashing, text, tokens
+from tracelake.functions import binary, hashing, text, times, tokens
 from tracelake.operators import matching, reputation, samples
 from tracelake.operators.hunts import generated_name_findings, generated_names, query_counts
 from tracelake.operators.normalize import bundle_observables, lookup_actions
@@ -13,6 +13,7 @@ from tracelake.operators.ordered import first_per_group
 from tracelake.plans.registry import query
 from tracelake.plans.views import FILES_SQL, files, load, sql_text, with_sql
 from tracelake.rules.signatures import scan_content, scan_summary
+from tracelake.sources import feeds
 
 # ---- oracle pieces --------------------------------------------------------
 
@@ -591,3 +592,99 @@ def _(spark, d):
         .select("source", "doc_id", "name", "rank")
 
 
+
+
+# ---- feeds ----------------------------------------------------------------
+
+@query("feed_rows", f"""
+SELECT lower({HOST_SQL}) AS value, 'domain' AS ioc_type, 'list' AS source, CASE WHEN page_id % 3 = 0 THEN 50 ELSE page_id % 100 END AS confidence,
+  'medium' AS severity FROM pages WHERE page_id % 5 <> 0""")
+def _(spark, d):
+    """Rows of a list with other column names; a bad confidence drops a row, a missing one counts as 50."""
+    p = load(spark, d, "pages")
+    number = F.when(F.pmod("page_id", F.lit(5)) == 0, "high").when(F.pmod("page_id", F.lit(3)) == 0, " ") \
+        .otherwise(F.pmod("page_id", F.lit(100)).cast("string"))
+    rows = p.select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("Indicator"), F.lit("Domain ").alias("Kind"), number.alias("confidence"),
+                    F.lit("list").alias("source"))
+    out = feeds.feed_from_rows(rows, {"value": "Indicator", "type": "Kind"})
+    return out.select("value", "ioc_type", "source", F.col("confidence").cast("bigint").alias("confidence"), "severity")
+
+
+def _export_lines(spark, d):
+    """One event export per page, as JSON text: its host, its host with a port, and a type that is not known."""
+    p = load(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"))
+    attribute = lambda kind, value, confidence: F.struct(
+        F.lit(kind).alias("type"), value.alias("value"), F.lit("c").alias("comment"), confidence.cast("string").alias("confidence"))
+    return p.select(F.to_json(F.struct(F.struct(
+        F.concat(F.lit("event "), F.col("page_id").cast("string")).alias("info"), F.array(
+            attribute("domain", F.upper("host"), F.pmod("page_id", F.lit(4)) * 25), attribute("hostname", F.col("host"), F.lit(None)),
+            attribute("domain|ip", F.concat("host", F.lit("|203.0.113.9")), F.lit(80)), attribute("mutex", F.col("host"), F.lit(90)),
+        ).alias("Attribute")).alias("Event"))).alias("value"))
+
+
+EXPORT_SQL = f"""
+SELECT 'event ' || page_id AS source, {HOST_SQL} AS value, 'domain' AS ioc_type,
+  unnest([CASE WHEN page_id % 4 = 0 THEN 75 ELSE page_id % 4 * 25 END, 75, 80]) AS confidence FROM pages"""
+
+
+@query("feed_event_export", EXPORT_SQL)
+def _(spark, d):
+    out = feeds.event_export_feed(feeds.parsed_rows(_export_lines(spark, d), feeds.EXPORT_SCHEMA))
+    return out.select("source", "value", "ioc_type", F.col("confidence").cast("bigint").alias("confidence"))
+
+
+def _pulse_lines(spark, d):
+    p = load(spark, d, "pages")
+    item = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("indicator"), F.lit("60").alias("confidence"))
+    return p.select(F.to_json(F.struct(F.lit("pulse").alias("name"), F.array(
+        item("URL", F.upper("url")), item("FileHash-MD5", F.md5("html")), item("YARA", F.col("url"))).alias("indicators"))).alias("value"))
+
+
+@query("feed_pulse", """
+SELECT 'pulse' AS source, unnest([lower(url), md5(html)]) AS value, unnest(['url', 'hash_md5']) AS ioc_type, 60 AS confidence FROM pages""")
+def _(spark, d):
+    return feeds.pulse_feed(feeds.parsed_rows(_pulse_lines(spark, d), feeds.PULSE_SCHEMA)).select("source", "value", "ioc_type", "confidence")
+
+
+@query("feed_union_best", f"""
+SELECT value, ioc_type, max(confidence) AS confidence FROM ({EXPORT_SQL} UNION ALL
+  SELECT 'pulse', unnest([lower(url), md5(html)]), unnest(['url', 'hash_md5']), 60 FROM pages) GROUP BY ALL""")
+def _(spark, d):
+    """Two feeds as one, the most trusted row of each indicator."""
+    both = feeds.union_feeds(feeds.event_export_feed(feeds.parsed_rows(_export_lines(spark, d), feeds.EXPORT_SCHEMA)),
+                             feeds.pulse_feed(feeds.parsed_rows(_pulse_lines(spark, d), feeds.PULSE_SCHEMA)), distinct=True)
+    return both.select("value", "ioc_type", F.col("confidence").cast("bigint").alias("confidence"))
+
+
+# ---- formats and tags -----------------------------------------------------
+
+@query("timeline_times", """
+SELECT event_id, style, ts AS at FROM events, (SELECT unnest([0, 1, 2]) AS style)
+UNION ALL SELECT event_id, 3, CAST(NULL AS TIMESTAMP) FROM events""")
+def _(spark, d):
+    """The same time in three formats, and a text that is none."""
+    shapes = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXX"]
+    ts = F.col("ts").cast("timestamp")
+    texts = F.array(*[F.date_format(ts, s) for s in shapes], F.concat(F.lit("at "), ts.cast("string")))
+    rows = load(spark, d, "events").select("event_id", F.posexplode(texts).alias("style", "text"))
+    return rows.select("event_id", "style", times.timeline_time("text").cast("timestamp_ntz").alias("at"))
+
+
+@query("wide_strings", """
+SELECT page_id, url AS found FROM pages""")
+def _(spark, d):
+    """Two-byte strings between zero bytes."""
+    p = load(spark, d, "pages")
+    content = F.concat(F.unhex(F.lit("000000")), F.encode("url", "UTF-16LE"), F.unhex(F.lit("00000000")))
+    return p.select("page_id", F.explode(binary.wide_strings(content)).alias("found"))
+
+
+@query("technique_tags", """
+SELECT event_id, CASE WHEN k % 3 = 0 THEN NULL ELSE 'T1' || (100 + k) || '.001' END AS technique
+FROM (SELECT event_id, CAST(props ->> '$.k' AS INT) AS k FROM events)""")
+def _(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    tags = F.array(F.lit("attack.execution"), F.when(F.pmod(k, F.lit(3)) == 0, F.lit("car.2013")).otherwise(
+        F.concat(F.lit("attack.t1"), (k + 100).cast("string"), F.lit(".001"))), F.lit("attack.t9999"))
+    last = F.when(F.pmod(k, F.lit(3)) == 0, F.slice(tags, 1, 2)).otherwise(tags)
+    return load(spark, d, "events").select("event_id", text.technique_tag(last).alias("technique"))

@@ -18,7 +18,11 @@ from tracelake.session import apply_settings
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return apply_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. The session setting tracelake.text.partitions, unset by default, deals the rows of text
+    tables out over so many tasks: for local runs on small tables whose file is one row group, hence one task."""
+    table = apply_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = spark.conf.get("tracelake.text.partitions", None) if name in ("documents", "pages", "conversations", "events") else None
+    return table if tasks is None else table.repartition(int(tasks))
 
 
 # ---- one value list, two spellings ----------------------------------------
