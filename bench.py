@@ -83,6 +83,8 @@ def main() -> None:
 
     spark = build_session(f"local[{CPUS}]", int(CPUS), "tracelake-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    # The given tables are one row group each: without this, work on texts would be one task.
+    spark.conf.set("tracelake.text.partitions", CPUS)
     registry.load_all()
     counts = {t: spark.read.parquet(f"{SF_DIR}/{t}.parquet").count() for ts in HEADLINE.values() for t in ts}
     work = {name: (registry.QUERIES[name], tables) for name, tables in HEADLINE.items()}

@@ -92,54 +92,71 @@ def _own_key(words: DataFrame, keys: Column) -> DataFrame:
     """(_word, _key): a key that no other keyword has, the longest one; else its longest key.
 
     A phrase that opens a third of the feed would pair every text that holds it
-    with all of them; a key of the keyword's own part does not. Semi and anti joins
-    keep the size estimate at that of the feed, so a small feed is still broadcast.
+    with all of them; a key of the keyword's own part does not.
     """
     spread = words.select("_word", F.explode(keys).alias("_key"))
-    single = spread.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") == 1)
-    longest = F.max_by("_key", F.struct(F.length("_key"), "_key")).alias("_key")
-    own = spread.join(single, "_key", "left_semi").groupBy("_word").agg(longest)
-    return own.unionByName(spread.join(own, "_word", "left_anti").groupBy("_word").agg(longest))
+    shared = spread.groupBy("_key").agg(F.count("*").alias("_n"))
+    best = F.max_by("_key", F.struct(F.col("_n") == 1, F.length("_key"), "_key")).alias("_key")
+    return spread.join(shared, "_key").groupBy("_word").agg(best)
+
+
+def _bitmap(keys: DataFrame, bits: int) -> Column:
+    """Which of `bits` hash places the keys take, as one array of 64-bit numbers: bits / 8 bytes, however many keys."""
+    place = F.pmod(F.xxhash64("_key"), F.lit(bits))
+    numbers = keys.groupBy(F.shiftright(place, 6).cast("int").alias("_at")) \
+                  .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int"))).alias("_bits"))
+    # Every place as a row, those without a key included, in order.
+    spark = keys.sparkSession
+    every = spark.range(bits // 64).select(F.col("id").cast("int").alias("_at"), F.lit(0).cast("bigint").alias("_bits"))
+    filled = numbers.unionByName(every).groupBy("_at").agg(F.bit_or("_bits").alias("_bits"))
+    return filled.select(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_bits"))), lambda p: p["_bits"])).scalar()
+
+
+def _taken(key: Column, bitmap: Column, bits: int) -> Column:
+    """Whether the bitmap has the key's place: false only for keys that are not in it."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    number = F.element_at(bitmap, (F.shiftright(place, 6) + 1).cast("int"))
+    return F.call_function("shiftright", number, place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
 
 def match_keywords(texts: DataFrame, text: str, ids: list[str], feed: DataFrame, keyword: str,
-                   feed_ids: list[str], anchor_words: int = 3, short_length: int = 8) -> DataFrame:
+                   feed_ids: list[str], anchor_words: int = 3, short_length: int = 8, bits: int = 1 << 20) -> DataFrame:
     """Rows whose text contains a keyword of a large feed, case ignored: (ids, feed_ids).
 
     contains() has no join key, so one is made. A keyword with enough inner words
     (words that have a separator on both sides inside the keyword) must show the
     same words in a row in any text that contains it; one such run is the key.
     Other keywords use a run of their characters. A key that no other keyword has is
-    taken where there is one. Candidates are
-    then checked with contains(), so the result is exact, and no row is compared
-    with every keyword. ids must identify a text.
+    taken where there is one. Runs of a text are dropped before any shuffle unless a bitmap of
+    the feed's keys has their place, so only texts with a likely key are shuffled. Candidates are then checked with contains(), so
+    the result is exact. bits, a power of two: size of the bitmap; about twice the number of
+    keys or more keeps it sharp. ids must identify a text.
     """
     t = texts.select(*ids, F.lower(F.col(text)).alias("_text")).where(F.length("_text") > 0)
     f = feed.select(*feed_ids, F.lower(F.col(keyword)).alias("_word")).where(F.length("_word") > 0)
     words = f.select("_word").distinct().withColumn("_inner", _inner_words(F.col("_word")))
     by_words = F.size("_inner") >= anchor_words
-
-    long_keys = _own_key(words.where(by_words), _grams(F.col("_inner"), anchor_words))
-    grams = F.explode(_grams(_words(F.col("_text")), anchor_words)).alias("_key")
-    candidates = t.select(*ids, grams).join(long_keys, "_key").drop("_key")
-
     whole_or_cuts = F.when(F.length("_word") <= short_length, F.array("_word")).otherwise(
         F.array_distinct(F.regexp_extract_all("_word", F.lit("(?s)(?=(.{%d}))" % short_length), F.lit(1))))
-    short_keys = _own_key(words.where(~by_words), whole_or_cuts)
-    # At most short_length numbers: without short keywords no piece is made at all.
+    runs_of_word = F.when(by_words, _grams(F.col("_inner"), anchor_words)).otherwise(whole_or_cuts)
+    keys = _own_key(words, runs_of_word)
+
+    # At most short_length numbers: without short keywords no run of characters is made at all.
     short = words.where(~by_words).select(F.least(F.length("_word"), F.lit(short_length)).alias("_n"))
     lengths = short.select(F.collect_set("_n")).scalar()
-    pieces = F.array_distinct(F.flatten(F.transform(
+    pieces = F.flatten(F.transform(
         F.col("_lengths"),
         # All runs of n characters, found by one pass of a look-ahead.
         lambda n: F.regexp_extract_all(F.col("_text"), F.concat(
-            F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1)))))
-    candidates = candidates.unionByName(
-        t.withColumn("_lengths", lengths).select(*ids, F.explode(pieces).alias("_key"))
-        .join(short_keys, "_key").drop("_key"))
-
-    # The text itself joins only once candidates are few; it is never repeated per key.
-    found = candidates.distinct().join(t, ids).where(F.contains("_text", "_word")).select(*ids, "_word")
+            F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1))))
+    runs = F.array_union(_grams(_words(F.col("_text")), anchor_words), pieces)
+    made = t.withColumn("_lengths", lengths).withColumn("_runs", runs).drop("_lengths")
+    # The text stays beside its runs: it is copied for the runs that pass the bitmap only.
+    # The bitmap has all runs of the keywords, of which the chosen keys are some: it needs no join.
+    bitmap = _bitmap(words.select(F.explode(runs_of_word).alias("_key")), bits)
+    # explode_outer, since for explode Spark would compute the runs again in a filter on their number.
+    likely = made.select(*ids, "_text", F.explode_outer("_runs").alias("_key")).where(_taken(F.col("_key"), bitmap, bits))
+    found = likely.join(keys, "_key").where(F.contains("_text", "_word")).select(*ids, "_word")
     return found.join(f, "_word").select(*ids, *feed_ids).distinct()
 
 
@@ -151,44 +168,44 @@ def enrich(indicators: DataFrame, reputation: DataFrame, per_type: int | None =
     return chosen.join(reputation, ["ioc_type", "value"], "left")
 
 
-LONG_DOMAIN = 255
+DOT_WINDOW = 24
 
 
-def _domain_pieces(url) -> Column:
-    """Every part of a URL that could be a domain of at most LONG_DOMAIN characters.
+def _dot_windows(url, width: int = DOT_WINDOW) -> Column:
+    """For each dot of a URL, what stands around it: 1 to width characters before, the dot, two characters after.
 
-    Only runs of domain characters that hold a dot are cut, so a common URL gives a
-    few hundred pieces, most of which the shape test drops.
+    A URL that holds a domain holds the window of the domain's last dot, so windows
+    are join keys; their number grows with the dots of a URL, not with its length.
     """
-    runs = F.filter(find_all(url, "[A-Za-z0-9.-]+"), lambda r: F.contains(r, F.lit(".")) & (F.length(r) >= 4))
-    cuts = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length(r) - 3),
-        lambda i: F.transform(F.sequence(i + 3, F.least(F.length(r), i + (LONG_DOMAIN - 1))),
-                              lambda j: F.substring(r, i, j - i + 1))))))
-    return F.array_distinct(F.filter(cuts, lambda c: c.rlike(r"^[A-Za-z0-9].*\.[A-Za-z]{2,}$")))
+    runs = F.filter(find_all(url, "[A-Za-z0-9.-]+"), lambda r: F.contains(r, F.lit(".")))
+
+    def windows(n: int) -> Column:
+        # A look-ahead from each start finds dots that lie n characters further on.
+        pattern = F.lit(r"(?=([A-Za-z0-9.-]{%d}\.[A-Za-z]{2}))" % n)
+        return F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, pattern, F.lit(1))))
+
+    return F.array_distinct(F.concat(*[windows(n) for n in range(1, width + 1)]))
+
+
+def _last_dot(domain, width: int = DOT_WINDOW) -> Column:
+    """The window of a domain's last dot."""
+    return F.regexp_extract(domain, r"([A-Za-z0-9.-]{1,%d}\.[A-Za-z]{2})[A-Za-z]*$" % width, 1)
 
 
 def case_tokens(rows: DataFrame, text: str, case: str, exclude_private: bool = True) -> DataFrame:
     """Distinct tokens of each case, as if its texts were one: (case, ioc_type, value).
 
     A domain is left out when it is part of a URL anywhere in the case, not only in
-    its own row. Domains meet the pieces of the URLs by equality on (case, value): a
-    case of any size is spread over its values, and no domain is paired with URLs
-    that do not hold it. Longer domains, which hardly exist, take the keyword join.
+    its own row. Domains meet URLs by equality of the case and of the window around the
+    domain's last dot, and contains() decides: a case of any size is spread over its
+    windows, and the anti join stops at a domain's first URL.
     """
     others = [k for k in BUNDLE_TYPES if k != "domains"]
     plain = token_rows(rows, text, [case], kinds=others, exclude_private=exclude_private).distinct()
     raw = rows.select(case, F.explode(F.array_distinct(find_all(text, DOMAIN))).alias("_domain")).distinct()
     addresses = rows.select(case, F.explode(F.array_distinct(urls(text))).alias("_url")).distinct()
-    pieces = addresses.select(case, F.explode(_domain_pieces("_url")).alias("_domain"))
-
-    is_long = F.length("_domain") > LONG_DOMAIN
-    keyed = addresses.select(F.struct(F.col(case).alias("_case"), "_url").alias("_url_id"), "_url")
-    met = match_keywords(keyed, "_url", ["_url_id"], raw.where(is_long).select("_domain").distinct(), "_domain", ["_domain"])
-    # The keyword join ignores case; the exact test does not.
-    inside_long = met.where(F.contains(F.col("_url_id._url"), F.col("_domain"))) \
-                     .select(F.col("_url_id._case").alias(case), "_domain")
-
-    alone = raw.join(pieces.unionByName(inside_long), [case, "_domain"], "left_anti")
+    windows = addresses.select(F.col(case).alias("_case"), "_url", F.explode(_dot_windows("_url")).alias("_key"))
+    inside = (F.col(case) == F.col("_case")) & (_last_dot("_domain") == F.col("_key")) & F.contains("_url", "_domain")
+    alone = raw.join(windows, inside, "left_anti")
     return plain.unionByName(alone.select(
         case, F.lit("domain").alias("ioc_type"), F.lower("_domain").alias("value")).distinct())
