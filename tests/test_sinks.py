@@ -48,7 +48,7 @@ def test_hits_and_reports(spark, tmp_path):
     hit = spark.createDataFrame([("t", "h", "v", "hash_sha256", "high", 80, "s", "d" * 150)],
                                 "hit_time string, host string, value string, ioc_type string, severity string, "
                                 "confidence int, source string, description string")
-    writers.hits_csv(hit, f"{tmp_path}/hits")
+    writers.hits_csv(hit, f"{tmp_path}/hits", width=100)
     row = spark.read.option("header", True).csv(f"{tmp_path}/hits").first()
     assert row["Matched Field"] == "sha256" and len(row["Description"]) == 100
     findings = reports.findings_section(hit, "host", "x", {"value": F.col("value")})
