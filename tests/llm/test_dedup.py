@@ -127,3 +127,12 @@ def test_near_groups(edge, empty):
     kept = simhash.drop_near_copies(edge)
     assert kept.columns == edge.columns and {2, 9, 14, 6, 7}.isdisjoint({r.doc_id for r in kept.collect()})
     assert simhash.near_groups(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
+
+
+def test_unique_texts_without_an_id_stay(spark, edge):
+    """Rows of other components do not compete, whatever ids they have."""
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_copies(edge).collect()]
+    assert (None, "no id here") in kept and (None, None) not in kept
+    rows = [(None, "one text without an id"), (None, "quite another story of the sea"), (4, "the first text of number four"), (4, "something else of that number"), (4, "something else of that number")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(simhash.drop_near_copies(docs).collect(), key=str) == sorted(set(rows), key=str)

@@ -188,12 +188,17 @@ def components(edges: DataFrame) -> DataFrame:
         edges = step
 
 
-def near_groups(docs: DataFrame, within: int = 3, shingle: int = 3) -> DataFrame:
-    """(doc_id, bits, component_id), one row per row of docs; component_id is the smallest doc_id reachable."""
+def _rooted(docs: DataFrame, within: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs with their fingerprints, written; (bits, least, root), one row per fingerprint)."""
     rows = written(fingerprints(docs, shingle), "prints")
     prints = written(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
     tree = components(links(prints, within))
-    named = prints.join(tree, prints["bits"] == tree["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+    return rows, prints.join(tree, prints["bits"] == tree["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+
+
+def near_groups(docs: DataFrame, within: int = 3, shingle: int = 3) -> DataFrame:
+    """(doc_id, bits, component_id), one row per row of docs; component_id is the smallest doc_id reachable."""
+    rows, named = _rooted(docs, within, shingle)
     # Both sides of this join have one row per fingerprint at most.
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(names, "root").select("bits", "component_id")
@@ -201,10 +206,11 @@ def near_groups(docs: DataFrame, within: int = 3, shingle: int = 3) -> DataFrame
 
 
 def drop_near_copies(docs: DataFrame, within: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component, that of the smallest id."""
-    rows = near_groups(docs, within, shingle)
-    stays = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("_stays")).distinct()
-    kept = docs.withColumn("_stays", F.struct("doc_id")).join(stays, "_stays", "left_semi")
-    return kept.dropDuplicates(["_stays"]).select(*docs.columns)
-
-
+    """The rows of docs that stay, with all their columns: of each component, that of the smallest id (nulls last, then by text)."""
+    # The place of a row is fixed once it is written; a struct keeps the columns of docs apart from ours.
+    kept = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    prints, named = _rooted(kept.select(F.col("row").alias("doc_id"), "doc.text"), within, shingle)
+    rank = F.struct(F.col("doc.doc_id").isNull(), "doc.doc_id", F.sha2(F.coalesce("doc.text", F.lit("")), 256), "row")
+    ranked = prints.withColumnRenamed("doc_id", "row").join(kept.select("row", rank.alias("rank")), "row")
+    stays = ranked.join(named.select("bits", "root"), "bits").groupBy("root").agg(F.min("rank")["row"].alias("row")).select("row")
+    return kept.join(stays, "row", "left_semi").select("doc.*")
