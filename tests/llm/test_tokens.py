@@ -29,6 +29,13 @@ def test_words_give_the_ids_of_whole_texts(text):
     assert np.frombuffer(ENCODER.encode([text])[0], tokens.ID).tolist() == ids_of(text, 0)[:-1]
 
 
+@pytest.mark.parametrize("end", ["", "\n", " end", "\n\nend"])
+@pytest.mark.parametrize("start", ["", "\n", "start "])
+def test_many_lines_without_a_space(start, end):
+    text = start + "\n".join(["word", "x1", "Ä.", "5,", "字"] * 1000) + end
+    assert np.frombuffer(ENCODER.encode([text])[0], tokens.ID).tolist() == ids_of(text, 0)[:-1]
+
+
 def test_other_tokenizers_get_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     text = "Some  Words, here."

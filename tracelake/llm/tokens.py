@@ -78,9 +78,11 @@ class Encoder:
         """Ids of a word after space, cut where its letters end and at a line end."""
         if word.isalpha():
             return self._letters(space + word)
-        left, line, right = word.partition("\n")
-        if line and left and right and not PAIR.search(word):
-            return self._word(left, space) + self.line + self._word(right, "")
+        if "\n" in word[1:-1] and word[0] != "\n" and not PAIR.search(word):
+            first, *rest = word.split("\n")
+            if not rest[-1]:  # a line end that ends the word stays with its last line
+                rest[-2:] = [rest[-2] + "\n"]
+            return self.line.join([self._word(first, space), *(self._word(part, "") for part in rest)])
         body = word.rstrip(MARKS)
         if body.isalpha():
             return (self.words[body] if space else self._letters(body)) + self._marks(word[len(body) :])
