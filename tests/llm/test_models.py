@@ -170,3 +170,22 @@ def test_messages_give_exact_marginals():
 ])
 def test_blocks(page, blocks):
     assert [b for _, b in html_text.parse(page)[1]] == blocks
+
+
+@pytest.mark.parametrize("page, blocks", [
+    ("<html><head><title>t</title><body><article><p>a</article>", ["a"]), ("<head><meta charset=utf-8><link rel=x><style>p{}</style><p>a<p>b", ["a", "b"]),
+    ("<html><head><title>t</title>\n text<p>a", ["text", "a"]), ("<head><title>t</title></head><body>a", ["a"]), ("<body><p>a</p><head><p>b</p>", ["a", "b"]),
+    ("<p>a <math><mi>x</mi></math> b <svg><path d=''/><text>c</text></svg> <object>d</object> e", ["a x b c d e"]),
+    ("<head><template><p>x</p></template><script>'<p>'</script>\n</head>a", ["a"]),
+])
+def test_open_head_ends_where_a_browser_ends_it(page, blocks):
+    assert [b for _, b in html_text.parse(page)[1]] == blocks
+
+
+def test_page_without_end_of_head_has_its_article():
+    line = "A sentence of the text, as long as it needs to be, and then some more words. "
+    written = [html_text.parse(p)[0] for p in html_text._example_pages()]
+    x, parent, _, kinds = html_text._forest(written)
+    y = np.concatenate([html_text.labels_of(n) for n in written])
+    model = html_text.fit_tree(x, y, np.ones(len(y)), parent, kinds)
+    assert html_text.texts(model, [f"<html><head><title>t</title><body><article><h1>T</h1><p>{line * 3}</p></article></body></html>"]) == [f"T\n{(line * 3).strip()}"]

@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 # The elements of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style title textarea noscript template iframe object svg math select head".split())
+HIDDEN = frozenset("script style title textarea noscript template iframe select head".split())
+# Tags that may stand in a head; any other, and text, ends it, and a later head tag counts for nothing.
+HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 RAW = frozenset("script style title textarea noscript template iframe".split())
 BLOCK = frozenset((
     "html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot "
@@ -102,7 +104,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         links -= sum(tag == "a" for tag, _ in open_[at:])
         del open_[at:]
 
-    at, skip = 0, None
+    def end_head():
+        nonlocal past_head
+        past_head = True
+        for i in range(len(open_) - 1, 0, -1):
+            if open_[i][0] == "head":
+                del open_[i:]
+                break
+
+    at, skip, past_head = 0, None, False
     while True:
         found = TAG.search(page, at)
         if skip and found:  # inside a raw element only its end counts
@@ -115,6 +125,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             at = found.end()
             continue
         piece = page[at : found.start()] if found else page[at:]
+        if not past_head and not skip and piece.strip():
+            end_head()
         if piece and not skip and not nodes[open_[-1][1]].hidden:
             text.append(piece)
             if links:
@@ -126,6 +138,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if not tag:
             continue
         if found[1]:
+            past_head = past_head or tag == "head"
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i][0] == tag:
                     close(i)
@@ -133,6 +146,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag not in BLOCK and open_[i][0] in SCOPE:
                     break
             continue
+        if tag == "head" and past_head:
+            continue
+        if not past_head and tag not in HEAD:
+            end_head()
         if tag in RAW:
             if not found[3].endswith("/"):
                 skip = tag
