@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, mixing, packing, quality, similar
+from tracelake.llm import exact_dedup, mixing, packing, quality, simhash
 from tracelake.llm.common import read, written
 from tracelake.llm.queries import tokenizer
 
@@ -28,8 +28,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word similarity of 0.8 or more, that of the smallest id."""
-    return similar.drop_similar(docs, words=5, at_least="0.8")
+    """Of documents whose fingerprints of three-word shingles link within three bits, that of the smallest id."""
+    return simhash.drop_near_copies(docs, within=3, shingle=3)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
