@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -18,10 +19,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder in the warehouse, which is shared as well; in a local session, whose executors are
+    threads of the driver, a temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="tracelake-shared-")
+        if re.match(r"local(\[|$)", spark.sparkContext.master):
+            folder = tempfile.mkdtemp(prefix="tracelake-shared-")
+        else:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tracelake-shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 

@@ -241,7 +241,7 @@ class TreeModel:
 
     def marginals(self, x: np.ndarray, parent: np.ndarray, depth: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """Content marginal of every node of a forest; parent is -1 at roots."""
-        g = x @ np.array(self.weights)
+        g = (x * np.array(self.weights)).sum(1)  # row by row, so that a node's score does not hang on its batch
         belief = np.stack([-np.logaddexp(0, g), -np.logaddexp(0, -g)], 1)
         sent = np.zeros_like(belief)
         levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]

@@ -90,7 +90,9 @@ class Scorer:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(_standard(x, np.array(self.centre), np.array(self.scale)) @ np.array(self.weights) + self.bias)
+        # Summed row by row: a matrix product rounds by a row's place in its batch, and equal texts must score alike.
+        z = _standard(x, np.array(self.centre), np.array(self.scale))
+        return sigmoid((z * np.array(self.weights)).sum(1) + self.bias)
 
 
 def sigmoid(g: np.ndarray) -> np.ndarray:
@@ -151,34 +153,34 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def _feature_rows(docs: DataFrame) -> np.ndarray:
-    """Features of a bounded sample, on the driver."""
+def _feature_rows(docs: DataFrame, rows: int) -> np.ndarray:
+    """Features of so many rows of docs at most, on the driver. They are made where the texts are read; only numbers move."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            rows = [features(x or "") for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
+            x = [features(t or "") for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64()))], ["x"])
 
-    rows = docs.select("text").mapInArrow(run, "x array<double>").collect()
-    return np.array([r["x"] for r in rows], np.float64).reshape(-1, len(NAMES))
+    found = docs.select("text").mapInArrow(run, "x array<double>").limit(rows).collect()
+    return np.array([r["x"] for r in found], np.float64).reshape(-1, len(NAMES))
 
 
 def _sampled(df: DataFrame, rows: int, seed: int) -> DataFrame:
-    """About rows of df by hash of doc_id, twice as many at most."""
+    """About rows of df by hash of doc_id."""
     share = min(1.0, rows / max(df.count(), 1))
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(2 * rows)
+    return df.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
 
 
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Scorer:
     """labels (doc_id, quality)."""
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     good = known.filter((F.col("quality") == 1) & ~held_out(F.col("doc_id"), fit.folds)).select("doc_id")
-    chosen = F.broadcast(_sampled(good, fit.rows, fit.seed))  # 2 x fit.rows ids at most
+    chosen = F.broadcast(_sampled(good, fit.rows, fit.seed).limit(2 * fit.rows))  # 2 x fit.rows ids at most
     texts = docs.select("doc_id", "text")
-    positive = _feature_rows(texts.join(chosen, "doc_id", "left_semi"))
-    unlabelled = _feature_rows(_sampled(texts.filter(~held_out(F.col("doc_id"), fit.folds)), fit.rows, fit.seed + 1))
+    positive = _feature_rows(texts.join(chosen, "doc_id", "left_semi"), 2 * fit.rows)
+    unlabelled = _feature_rows(_sampled(texts.filter(~held_out(F.col("doc_id"), fit.folds)), fit.rows, fit.seed + 1), 2 * fit.rows)
     return fit_scorer(positive, unlabelled, fit)
 
 
