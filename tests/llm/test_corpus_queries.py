@@ -27,7 +27,7 @@ def test_query(spark, name):
 def test_all_are_registered():
     import __spark_entry__ as entry
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)}
     assert "pipeline" in entry.queries() and set(ORACLES) == set(entry.oracle_sql()) & set(QUERIES)
 
 
