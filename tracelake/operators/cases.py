@@ -9,7 +9,7 @@ from tracelake.content.cases import CASE_CATEGORIES, CASE_SEVERITIES, PHASES, TA
 from tracelake.content.lookups import NOTIFICATION_DEADLINES
 from tracelake.functions.hashing import stable_id
 from tracelake.functions.text import cut
-from tracelake.operators.ordered import first_per_group, time_chunk, with_next, with_position
+from tracelake.operators.ordered import Sizes, first_per_group, with_next, with_position
 
 
 def valid_cases(cases: DataFrame) -> DataFrame:
@@ -46,11 +46,10 @@ def last_notes(notes: DataFrame, n: int | None = None, order=("ts", "note_id"))
     return first_per_group(notes, ["case_id"], [F.desc(c) for c in order], n)
 
 
-def phase_durations(log: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def phase_durations(log: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Seconds each case stayed in the phase of each log row (NULL for the last)."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    out = with_next(log.withColumn("_at", at), ["case_id"], ["ts", "phase"], F.col("_at"),
-                    time_chunk("ts", chunk_seconds), "_then")
+    out = with_next(log.withColumn("_at", at), ["case_id"], ["ts", "phase"], F.col("_at"), "_then", sizes)
     seconds = ((F.col("_then") - F.col("_at")) / 1_000_000).cast("bigint")
     return out.withColumn("seconds", seconds).drop("_at", "_then")
 
@@ -76,10 +75,10 @@ def status_rows(cases: DataFrame, tasks: DataFrame, notes: DataFrame, indicators
     return head.unionByName(todo).unionByName(said)
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], chunk: Column, prefix: str, start: int = 1,
-             width: int = 4, name: str = "action_id") -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[str], prefix: str, start: int = 1,
+             width: int = 4, name: str = "action_id", sizes: Sizes | None = None) -> DataFrame:
     """PREFIX-0001 style ids in order within the keys."""
-    out = with_position(rows, keys, order, chunk, "_n")
+    out = with_position(rows, keys, order, "_n", sizes)
     number = (F.col("_n") + (start - 1)).cast("string")
     padded = F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)
     return out.withColumn(name, F.concat(F.lit(f"{prefix}-"), padded)).drop("_n")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.hashing import digest, stable_id
-from tracelake.operators.ordered import line_chunk, with_position, with_previous
+from tracelake.operators.ordered import Ordered, Sizes
 
 FIELD_SEPARATOR = "þ"
 TEXT_QUALIFIER = "ÿ"
@@ -63,13 +63,11 @@ def custody_rows(evidence: DataFrame) -> DataFrame:
                    .select("evidence_id", "case_id", (F.col("seq") + 1).alias("seq"), "e.*")
 
 
-def custody_check(custody: DataFrame, order: str = "seq") -> DataFrame:
+def custody_check(custody: DataFrame, order: str = "seq", sizes: Sizes | None = None) -> DataFrame:
     """Each custody event with what is wrong with its place: the log must open with
     'acquired' and never go back in time."""
-    chunk = line_chunk(order)
     at = F.col("timestamp").cast("timestamp")
-    c = with_position(custody, ["evidence_id"], [order], chunk, "place")
-    c = with_previous(c, ["evidence_id"], [order], at, chunk, "previous_ts")
+    c = Ordered(custody, ["evidence_id"], [order], sizes).position("place").previous(at, "previous_ts").rows()
     issue = (F.when((F.col("place") == 1) & (F.col("action") != "acquired"), "not acquired first")
              .when((F.col("place") > 1) & (F.col("action") == "acquired"), "acquired again")
              .when(at < F.col("previous_ts"), "out of order"))

@@ -10,7 +10,7 @@ from tracelake.content.lookups import BEACON_INTERVALS, FLOW_PORTS, LARGE_FLOW_B
 from tracelake.functions.text import fill
 from tracelake.functions.times import micros
 from tracelake.functions.tokens import is_private
-from tracelake.operators.ordered import as_of, time_chunk, with_previous
+from tracelake.operators.ordered import Sizes, as_of, with_previous
 
 FLOW_KEYS = ["src_ip", "dst_ip", "dst_port", "protocol"]
 
@@ -78,25 +78,25 @@ def capture_summary(packets: DataFrame, dns: DataFrame | None = None, ports=None
         hosts("src_ip").alias("source_hosts"), F.count_if(~F.col("_flow")).alias("dns_queries"))
 
 
-def name_flows(flow_rows: DataFrame, dns: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def name_flows(flow_rows: DataFrame, dns: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Flows with the name whose latest answer, at or before the first packet, gave the address.
 
     dns: ts, query_name, response_ips array, src_ip.
     """
     answers = dns.select("ts", "query_name", F.explode("response_ips").alias("dst_ip"), "src_ip")
     one = answers.groupBy("src_ip", "dst_ip", "ts").agg(F.max("query_name").alias("dns_name"))
-    return as_of(flow_rows, one, ["src_ip", "dst_ip"], "first_seen", "ts", "dns_name", chunk_seconds)
+    return as_of(flow_rows, one, ["src_ip", "dst_ip"], "first_seen", "ts", "dns_name", sizes=sizes)
 
 
 def interval_profile(events: DataFrame, keys: list[str], ts: str, order: list[str],
-                     expected=None, tolerance: float = 0.1, chunk_seconds: int = 3_600) -> DataFrame:
+                     expected=None, tolerance: float = 0.1, sizes: Sizes | None = None) -> DataFrame:
     """Inter-arrival profile per key: events, mean, deviation, and hits of expected intervals.
 
-    Keys are cut into time spans for the lag, then folded per span and per key.
+    The lag is taken in chunks of the order, then all is folded per key.
     """
     expected = expected or BEACON_INTERVALS
     d = events.withColumn("_at", micros(ts))
-    d = with_previous(d, keys, order, F.col("_at"), time_chunk(ts, chunk_seconds), "_before")
+    d = with_previous(d, keys, order, F.col("_at"), "_before", sizes)
     d = d.withColumn("_gap", (F.col("_at") - F.col("_before")) / F.lit(1_000_000.0))
     near = [F.count_if(F.abs(F.col("_gap") - s) <= s * tolerance).alias(f"near_{s}") for s in expected]
     return d.groupBy(*keys).agg(

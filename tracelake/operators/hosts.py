@@ -9,7 +9,7 @@ from tracelake.content import messages
 from tracelake.content.lookups import SOCKET_PORTS, SUSPICIOUS_PROCESSES
 from tracelake.functions.paths import address_port
 from tracelake.functions.text import fill
-from tracelake.operators.ordered import as_of
+from tracelake.operators.ordered import Sizes, as_of
 
 
 def suspicious_process(name) -> Column:
@@ -30,7 +30,7 @@ def sockets_with_process(sockets: DataFrame, processes: DataFrame) -> DataFrame:
     return sockets.join(names, ["host", "pid"], "left").withColumn("process", F.coalesce("process", F.lit("N/A")))
 
 
-def process_tree(processes: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def process_tree(processes: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Each process with its parent: the latest process of that id, on that host, started no later.
 
     Ids are reused, so the parent is found as of the start time, without pairing
@@ -38,7 +38,7 @@ def process_tree(processes: DataFrame, chunk_seconds: int = 86_400) -> DataFrame
     """
     starts = processes.groupBy("host", F.col("pid").alias("ppid"), F.col("create_time").alias("_started")) \
                       .agg(F.max("name").alias("parent_name"))
-    return as_of(processes, starts, ["host", "ppid"], "create_time", "_started", "parent_name", chunk_seconds)
+    return as_of(processes, starts, ["host", "ppid"], "create_time", "_started", "parent_name", sizes=sizes)
 
 
 def host_risk(processes: DataFrame, sockets: DataFrame, sessions: DataFrame,

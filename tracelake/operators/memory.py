@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.paths import address_host, address_port, number_or_hex
-from tracelake.operators.ordered import line_chunk, with_last_known, with_running_sum
+from tracelake.operators.ordered import with_last_known, with_running_sum
 
 
 def _split(lines: DataFrame, least: int) -> DataFrame:
@@ -50,8 +50,7 @@ def dll_rows(lines: DataFrame) -> DataFrame:
     """
     header = F.col("line").rlike(r"^[0-9]+\s+\S+") & ~F.col("line").startswith("0x")
     pid = F.when(header, F.regexp_extract("line", r"^([0-9]+)", 1).try_cast("int"))
-    known = with_last_known(lines.withColumn("_header", header), ["image_id"], ["line_no"], pid,
-                            line_chunk("line_no"), "pid")
+    known = with_last_known(lines.withColumn("_header", header), ["image_id"], ["line_no"], pid, "pid")
     rows = _split(known.where(~F.col("_header")), 4).where(F.get("_p", 0).startswith("0x"))
     size = number_or_hex(F.get("_p", 1))
     return rows.where(size.isNotNull()).select(
@@ -67,8 +66,7 @@ def marked_records(lines: DataFrame, keys: list[str], order: str, marker) -> Dat
     marker belong to no record and are left out.
     """
     rows = lines.withColumn("is_header", marker)
-    numbered = with_running_sum(rows, keys, [order], F.col("is_header").cast("bigint"),
-                                line_chunk(order), "record")
+    numbered = with_running_sum(rows, keys, [order], F.col("is_header").cast("bigint"), "record")
     return numbered.where(F.col("record") > 0)
 
 

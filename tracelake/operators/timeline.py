@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.content.lookups import TECHNIQUE_NAMES
 from tracelake.functions.text import parent_technique
-from tracelake.operators.ordered import time_chunk, with_position
+from tracelake.operators.ordered import Sizes, with_position
 
 COLUMNS = {
     "ts": "timestamp", "category": "string", "description": "string", "source": "string",
@@ -78,13 +78,13 @@ def summary(timeline: DataFrame, approximate_hosts: bool = False) -> DataFrame:
     return out
 
 
-def technique_phases(timeline: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def technique_phases(timeline: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Events of each technique, numbered in time order.
 
     Long form instead of one list per technique: the group may be of any size.
     """
     hits = timeline.where(F.col("mitre").isNotNull() & (F.col("mitre") != ""))
-    numbered = with_position(hits, ["mitre"], ORDER, time_chunk("ts", chunk_seconds), "seq")
+    numbered = with_position(hits, ["mitre"], ORDER, "seq", sizes)
     return numbered.select("mitre", "seq", "ts", "description", "host")
 
 

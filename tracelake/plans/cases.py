@@ -224,7 +224,7 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
 def _(spark, d):
     o = load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("case_id"), F.col("o_orderdate").alias("ts"),
                                         F.col("o_orderkey").alias("phase"))
-    return cs.phase_durations(o, chunk_seconds=180 * 86_400).select("o_orderkey", "case_id", "seconds")
+    return cs.phase_durations(o).select("o_orderkey", "case_id", "seconds")
 
 
 @query("case_status", with_sql(CASE_SQL, DOC_TOKENS, body="""

@@ -9,7 +9,7 @@ from tracelake.operators import flows as fl
 from tracelake.operators.alerts import newest
 from tracelake.operators.hunts import login_baseline, off_hours, unusual_logins
 from tracelake.operators.ordered import (
-    count_within, line_chunk, sessions, time_chunk, with_last_known, with_position, with_running_sum,
+    count_within, sessions, with_last_known, with_position, with_running_sum,
 )
 from tracelake.plans.registry import query
 from tracelake.plans.views import (
@@ -76,7 +76,7 @@ answers AS (SELECT src_ip, dst_ip, ts, max(query_name) AS dns_name FROM dns GROU
 SELECT f.src_ip, f.dst_ip, f.dst_port, f.protocol, f.first_seen, a.dns_name
 FROM flows f ASOF LEFT JOIN answers a ON f.src_ip = a.src_ip AND f.dst_ip = a.dst_ip AND f.first_seen >= a.ts"""))
 def _(spark, d):
-    named = fl.name_flows(fl.flows(packets(spark, d)), dns_answers(spark, d), chunk_seconds=30 * 86_400)
+    named = fl.name_flows(fl.flows(packets(spark, d)), dns_answers(spark, d))
     return named.select("src_ip", "dst_ip", "dst_port", "protocol", "first_seen", "dns_name")
 
 
@@ -88,7 +88,7 @@ SELECT src_ip AS "Src IP", dst_ip AS "Dst IP", dst_port AS "Dst Port", protocol
 FROM (SELECT f.*, a.dns_name FROM flows f ASOF LEFT JOIN answers a
   ON f.src_ip = a.src_ip AND f.dst_ip = a.dst_ip AND f.first_seen >= a.ts)"""))
 def _(spark, d):
-    named = fl.name_flows(fl.flows(packets(spark, d)), dns_answers(spark, d), chunk_seconds=30 * 86_400)
+    named = fl.name_flows(fl.flows(packets(spark, d)), dns_answers(spark, d))
     return fl.flow_export(fl.flag_flows(named, limit=LIMIT_BYTES))
 
 
@@ -113,7 +113,7 @@ profile AS (SELECT user_id, count(*) AS events, avg(gap) AS mean_gap, stddev_pop
 
 def user_profile(spark, d):
     return fl.interval_profile(load(spark, d, "events"), ["user_id"], "ts", ["ts", "event_id"],
-                               expected=[3600, 7200], tolerance=0.5, chunk_seconds=86_400)
+                               expected=[3600, 7200], tolerance=0.5)
 
 
 @query("interval_profile", with_sql(PROFILE_SQL, body="""
@@ -186,7 +186,7 @@ SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_
 def _(spark, d):
     e = load(spark, d, "events")
     mark = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    return with_last_known(e, ["user_id"], ["ts", "event_id"], mark, time_chunk("ts", 86_400), "last_signup") \
+    return with_last_known(e, ["user_id"], ["ts", "event_id"], mark, "last_signup") \
         .select("event_id", "user_id", "last_signup")
 
 
@@ -195,8 +195,7 @@ SELECT conv_id, turn, record FROM (SELECT conv_id, turn, CAST(sum(CASE role WHEN
   (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS record FROM conversations) WHERE record > 0""")
 def _(spark, d):
     c = load(spark, d, "conversations")
-    rows = with_running_sum(c, ["conv_id"], ["turn"], (F.col("role") == "user").cast("bigint"),
-                            line_chunk("turn", 2), "record")
+    rows = with_running_sum(c, ["conv_id"], ["turn"], (F.col("role") == "user").cast("bigint"), "record")
     return rows.where(F.col("record") > 0).select("conv_id", "turn", "record")
 
 
@@ -207,13 +206,13 @@ def _(spark, d):
     from tracelake.operators.cases import numbered
 
     e = load(spark, d, "events")
-    return numbered(e, [], ["ts", "event_id"], time_chunk("ts", 86_400), "CONTAIN").select("event_id", "action_id")
+    return numbered(e, [], ["ts", "event_id"], "CONTAIN").select("event_id", "action_id")
 
 
 @query("row_positions", """
 SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position FROM events""")
 def _(spark, d):
-    return with_position(load(spark, d, "events"), ["event_type"], ["ts", "event_id"], time_chunk("ts", 43_200)) \
+    return with_position(load(spark, d, "events"), ["event_type"], ["ts", "event_id"]) \
         .select("event_id", "position")
 
 
