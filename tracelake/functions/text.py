@@ -125,6 +125,46 @@ def event_text(event) -> Column:
     return F.lower(F.to_json(_col(event)))
 
 
+# A key as part of a path: quoted unless it is a plain name.
+PLAIN_KEY = r"^[A-Za-z_][A-Za-z0-9_]*$"
+
+
+def event_leaves(event, levels: int = 8) -> Column:
+    """All values of a VARIANT event: array of (path, text), text as it is in the event, not its JSON spelling.
+
+    Keys that may hold a token (a dot, a dash before a digit, 32 hex digits) come as well, under the path of their
+    value and a ~. What lies deeper than levels comes as one JSON text under the path of its top, so nothing is left out.
+    """
+    nothing = F.lit(None).cast("string")
+    leaf = lambda path, value, text: F.struct(path.alias("path"), value.alias("value"), text.alias("text"))
+
+    done = F.lit(None).cast("variant")
+
+    def inside(x: Column) -> Column:
+        value, path = x["value"], x["path"]
+
+        def entry(e: Column) -> Column:
+            name = F.when(e["key"].rlike(PLAIN_KEY), e["key"]).otherwise(F.concat(F.lit('"'), e["key"], F.lit('"')))
+            at = F.concat(path, F.lit("."), name)
+            own = F.array(leaf(at, e["value"], nothing))
+            key = F.array(leaf(F.concat(at, F.lit("~")), done, e["key"]))
+            return F.when(e["key"].rlike(r"\.|-\d|[0-9a-fA-F]{32}"), F.concat(own, key)).otherwise(own)
+
+        items = lambda: F.transform(value.cast("array<variant>"), lambda v, i: leaf(
+            F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), v, nothing))
+        # The kind is asked first: a cast that fails costs more than all the rest.
+        return F.when(value.isNull(), F.array(x)).otherwise(let(F.left(F.schema_of_variant(value), F.lit(6)), lambda kind: (
+            F.when(kind == "OBJECT", F.flatten(F.transform(F.map_entries(value.cast("map<string,variant>")), entry)))
+            .when(kind == "ARRAY<", items())
+            .otherwise(F.array(leaf(path, done, value.cast("string")))))))
+
+    found = F.array(leaf(F.lit("$"), _col(event), nothing))
+    for _ in range(levels):
+        found = F.flatten(F.transform(found, inside))
+    flat = F.transform(found, lambda x: F.struct(x["path"].alias("path"), F.coalesce(x["text"], F.to_json(x["value"])).alias("text")))
+    return F.filter(flat, lambda x: x["text"].isNotNull())
+
+
 def fill(template: str, *values: Column) -> Column:
     """The template with its {} marks replaced by the values, in order; NULL if a value is."""
     pieces = template.split("{}")

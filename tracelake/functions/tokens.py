@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.binding import let
+from tracelake.functions.text import event_leaves
 
 # ---------------------------------------------------------------------------
 # Token patterns and private ranges.
@@ -165,3 +166,12 @@ def event_token_rows(df: DataFrame, text: str, ids: list[str], distinct: bool =
     tagged = [_tagged(kind, F.array_distinct(found) if distinct else found) for kind, found in plan]
     pairs = F.explode(F.flatten(F.array(*tagged)))
     return df.select(*ids, pairs.alias("t")).select(*ids, "t.ioc_type", "t.value")
+
+
+def event_path_tokens(df: DataFrame, event: str, ids: list[str], extended: bool = True, levels: int = 8) -> DataFrame:
+    """(ids, path, ioc_type, value): tokens of all values of VARIANT events, and where in the event each stands.
+
+    Values are searched one by one, so a token never runs into the JSON around it. All work stays inside the row.
+    """
+    leaves = df.select(*ids, F.explode(event_leaves(event, levels)).alias("leaf")).select(*ids, "leaf.path", "leaf.text")
+    return event_token_rows(leaves, "text", [*ids, "path"], extended=extended)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tracelake.content.lookups import INDICATOR_TYPES
 from tracelake.functions.binding import let
-from tracelake.functions.tokens import BUNDLE_TYPES, DOMAIN, event_token_rows, find_all, token_rows, urls
+from tracelake.functions.tokens import (
+    BUNDLE_TYPES, DOMAIN, event_path_tokens, event_token_rows, find_all, token_rows, urls,
+)
+from tracelake.functions.times import micros
 from tracelake.operators.ordered import first_per_group
 
 
@@ -41,6 +44,38 @@ def match_events(events: DataFrame, text: str, ids: list[str], feed: DataFrame,
     return match_tokens(tokens, feed, salts)
 
 
+def match_valid(tokens: DataFrame, feed: DataFrame, ts: str = "ts", seconds: int = 86_400) -> DataFrame:
+    """Token rows (ioc_type, value, ts, ...) with the feed entries that are valid at their time: first_seen <= ts < expires.
+
+    feed: ioc_type, value, first_seen, expires, ...; a NULL bound is open. An entry with both bounds is joined by the time
+    buckets it covers, so a value that was listed many times meets only what is near in time, and the events
+    of a frequent value spread over their buckets. Choose seconds so that an entry covers few buckets.
+    """
+    at, bucket = micros(ts), lambda c: F.floor(c / F.lit(seconds * 1_000_000))
+    rows = tokens.withColumn("_at", at)
+    versions = feed.withColumns({"_from": micros("first_seen"), "_until": micros("expires")}).drop("first_seen", "expires")
+    bounded = F.col("_from").isNotNull() & F.col("_until").isNotNull()
+    closed = versions.where(bounded & (F.col("_from") < F.col("_until"))).withColumn(
+        "_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_until") - 1))))
+    inside = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_until"))
+    near = rows.withColumn("_bucket", bucket(F.col("_at"))).join(closed, ["ioc_type", "value", "_bucket"]).where(inside).drop("_bucket")
+    open_inside = F.coalesce(F.col("_at") >= F.col("_from"), F.lit(True)) & F.coalesce(F.col("_at") < F.col("_until"), F.lit(True))
+    known = rows.where(F.col("_at").isNotNull())
+    return near.unionByName(known.join(versions.where(~bounded), ["ioc_type", "value"]).where(open_inside)).drop("_at", "_from", "_until")
+
+
+def match_event_paths(events: DataFrame, event: str, ids: list[str], feed: DataFrame, ts: str | None = None,
+                      levels: int = 8, salts: int = 1, seconds: int = 86_400) -> DataFrame:
+    """(ids, path, ioc_type, value, feed columns): what whole VARIANT events share with a feed, on all eight types of tokens.
+
+    With ts, a feed entry counts while it is valid at the event's time.
+    """
+    if ts is None:
+        return match_tokens(event_path_tokens(events, event, ids, levels=levels), feed, salts)
+    tokens = event_path_tokens(events, event, list(dict.fromkeys([*ids, ts])), levels=levels)
+    return match_valid(tokens, feed, ts, seconds)
+
+
 def match_digests(hashes: DataFrame, column: str, feed: DataFrame) -> DataFrame:
     """Digest list against a feed; the type follows from the length."""
     value = F.lower(F.col(column))

@@ -189,6 +189,87 @@ def _(spark, d):
     return t.groupBy("ioc_type", "value").agg(F.count("*").alias("documents")).where(F.col("documents") > 1)
 
 
+# ---- whole events: tokens with their paths, and a feed whose entries expire ----
+
+EVENT_PARTS = [
+    '{"id":', "event_id", ',"user":{"mail":"User', "user_id", '@mail.example.org","ip":"203.0.113.', "user_id % 250",
+    '"},"files":[{"md5":"', "md5(concat('m', user_id))", '"},{"sha1":"', "sha1(concat('s', user_id))", '","deep":{"sha256":"', "{sha256}",
+    '"}}],"note":"see CVE-2024-', "1000 + user_id", ' at http://h', "user_id", ".example.net/p/", "event_id % 5",
+    ' \\nand x.","props":', "props", ',"h', "user_id", '.example.com":{"seen":[', "user_id", ',"x', "event_id % 7", '.example.com",null]}}',
+]
+
+
+def _event_json(sha256: str) -> str:
+    """The JSON text of an event, as an expression that both engines read."""
+    parts = [p.format(sha256=sha256) if p == "{sha256}" else p for p in EVENT_PARTS]
+    return "concat(" + ", ".join(sql_text(p) if i % 2 == 0 else p for i, p in enumerate(parts)) + ")"
+
+
+EVENT_FEED = [
+    ("email", "concat('user', u, '@mail.example.org')"), ("ip", "concat('203.0.113.', u % 250)"), ("domain", "concat('h', u, '.example.com')"),
+    ("url", "concat('http://h', u, '.example.net/p/3')"), ("hash_md5", "md5(concat('m', u))"), ("hash_sha1", "sha1(concat('s', u))"),
+    ("hash_sha256", "{sha256}"), ("cve", "concat('cve-2024-', 1000 + u)"),
+]
+EVENT_TOKENS = f"""
+ev AS (SELECT event_id, ts, {_event_json("sha256(concat('t', user_id))")} AS j FROM events),
+tree AS (SELECT e.event_id, e.ts, t.fullkey, t.key, t.type, t.atom FROM ev e, json_tree(e.j) t),
+leaf AS (SELECT event_id, ts, fullkey AS path, lower(json_extract_string(atom, '$')) AS text FROM tree WHERE atom IS NOT NULL
+  UNION ALL SELECT event_id, ts, fullkey || '~', lower(key) FROM tree WHERE contains(key, '.')),
+tok AS (SELECT event_id, ts, path, ioc_type, unnest(list_distinct(found)) AS value FROM (
+  SELECT *, unnest(['ip', 'domain', 'hash_sha256', 'url', 'email', 'cve', 'hash_md5', 'hash_sha1']) AS ioc_type,
+    unnest([{", ".join(found(p, "text") for p in (tokens.EVENT_IP, tokens.EVENT_DOMAIN, tokens.EVENT_SHA256, tokens.URL, tokens.EMAIL, tokens.CVE, tokens.MD5, tokens.SHA1))}]) AS found FROM leaf))"""
+EVENT_FEED_SQL = """
+feed AS (SELECT DISTINCT ioc_type, value, u AS weight, first_seen, expires FROM (
+  SELECT u, TIMESTAMP '2024-01-05' + to_days(CAST(u % 10 AS INT)) AS first_seen,
+    CASE WHEN u % 2 = 0 THEN TIMESTAMP '2024-01-08' + to_days(CAST(u % 10 AS INT)) END AS expires,
+    unnest([""" + ", ".join(sql_text(k) for k, _ in EVENT_FEED) + """]) AS ioc_type,
+    unnest([""" + ", ".join(e.format(sha256="sha256(concat('t', u))") for _, e in EVENT_FEED) + """]) AS value
+  FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id % 3 <> 1)))"""
+
+
+def json_events(spark, d):
+    """events rows as nested JSON events."""
+    text = F.expr(_event_json("sha2(concat('t', user_id), 256)").replace("\\", "\\\\"))  # Spark reads a backslash in a literal as an escape
+    return load(spark, d, "events").select("event_id", "ts", F.parse_json(text).alias("event"))
+
+
+def event_feed(spark, d):
+    """Entries of all eight types for most users; those of even users expire three days after they were first seen."""
+    users = load(spark, d, "events").where("user_id % 3 <> 1").select(F.col("user_id").alias("u")).distinct()
+    entry = lambda k, e: F.struct(F.lit(k).alias("ioc_type"), F.expr(e.format(sha256="sha2(concat('t', u), 256)")).alias("value"))
+    day = lambda start: F.lit(start).cast("timestamp_ntz") + F.expr("make_dt_interval(cast(u % 10 as int))")
+    rows = users.select("u", F.explode(F.array(*[entry(k, e) for k, e in EVENT_FEED])).alias("e"))
+    return rows.select("e.ioc_type", "e.value", F.col("u").alias("weight"), day("2024-01-05 00:00:00").alias("first_seen"),
+                       F.when(F.col("u") % 2 == 0, day("2024-01-08 00:00:00")).alias("expires"))
+
+
+@query("event_path_tokens", with_sql(EVENT_TOKENS, body="SELECT event_id, path, ioc_type, value FROM tok"))
+def _(spark, d):
+    return tokens.event_path_tokens(json_events(spark, d), "event", ["event_id"])
+
+
+@query("ioc_match_event_paths", with_sql(EVENT_TOKENS, EVENT_FEED_SQL, body="""
+SELECT event_id, path, ioc_type, value, weight FROM tok JOIN feed USING (ioc_type, value)"""))
+def _(spark, d):
+    hits = matching.match_event_paths(json_events(spark, d), "event", ["event_id"], event_feed(spark, d))
+    return hits.select("event_id", "path", "ioc_type", "value", "weight")
+
+
+@query("ioc_match_valid", with_sql(EVENT_TOKENS, EVENT_FEED_SQL, body="""
+SELECT event_id, path, ioc_type, value, weight FROM tok JOIN feed USING (ioc_type, value)
+WHERE ts >= first_seen AND (expires IS NULL OR ts < expires)"""))
+def _(spark, d):
+    hits = matching.match_event_paths(json_events(spark, d), "event", ["event_id"], event_feed(spark, d), ts="ts")
+    return hits.select("event_id", "path", "ioc_type", "value", "weight")
+
+
+@query("event_text_search", with_sql(EVENT_TOKENS, body="""
+SELECT event_id FROM ev WHERE contains(lower(j), 'user7') AND contains(lower(j), 'x3.example.com')"""))
+def _(spark, d):
+    whole = text.event_text("event")
+    return json_events(spark, d).where(whole.contains("user7") & whole.contains("x3.example.com")).select("event_id")
+
+
 @query("ioc_stats_by_type", with_sql(DOC_TOKENS, body="""
 SELECT ioc_type, coalesce(n, 0) AS n FROM
  (SELECT unnest(['ip','domain','hash_md5','hash_sha1','hash_sha256','url','email','cve']) AS ioc_type)

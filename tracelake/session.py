@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +39,21 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, and below the warehouse where that is unset.
+
+    Only in a local session, whose executors are threads of the driver, it may be a temporary folder. It
+    stays until the shared folder is cleared.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None and re.match(r"local(\[|$)", spark.sparkContext.master):
+        shared = tempfile.mkdtemp(prefix="tracelake-")
+        spark.sparkContext.setCheckpointDir(shared)
+    if shared is None:
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/tracelake-{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the folder that the cluster shares, spark.checkpoint.dir.
 
