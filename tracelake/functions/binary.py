@@ -117,10 +117,23 @@ def content_chunks(df: DataFrame, path: str, content: str, size: int = 1 << 20,
     starts = F.explode(F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)), F.lit(size)))
     out = df.where(length > 0).select(F.col(path), F.col(content), starts.alias("base"))
     return out.select(
-        path, F.col("base").cast("bigint").alias("base"), F.lit(size).alias("own_bytes"),
+        path, F.col("base").cast("bigint").alias("base"),
+        F.least(F.lit(size), F.octet_length(content) - F.col("base")).cast("bigint").alias("own_bytes"),
         F.substring(F.col(content), F.col("base") + 1, F.lit(size + overlap)).alias("chunk"))
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def byte_counts(content: pd.Series, own_bytes: pd.Series) -> pd.Series:
+    """256 counts: how often each byte value occurs in the first own_bytes bytes."""
+
+    def one(raw, own) -> list | None:
+        if raw is None:
+            return None
+        return np.bincount(np.frombuffer(raw, dtype=np.uint8)[: int(own)], minlength=256).tolist()
+
+    return pd.Series([one(r, n) for r, n in zip(content, own_bytes)])
+
+
 @F.pandas_udf(T.DoubleType())
 def byte_entropy(content: pd.Series) -> pd.Series:
     """Shannon entropy in bits per byte, 0 to 8; 0 for empty content."""

@@ -161,7 +161,10 @@ def event_leaves(event, levels: int = 8) -> Column:
     found = F.array(leaf(F.lit("$"), _col(event), nothing))
     for _ in range(levels):
         found = F.flatten(F.transform(found, inside))
-    flat = F.transform(found, lambda x: F.struct(x["path"].alias("path"), F.coalesce(x["text"], F.to_json(x["value"])).alias("text")))
+    # In the JSON of what is too deep, an escape such as \\n must not run into the token behind it.
+    rest = lambda v: F.when(F.left(F.schema_of_variant(v), F.lit(6)).isin("OBJECT", "ARRAY<"), F.regexp_replace(F.to_json(v), r'\\[nrtbf"/]', " ")) \
+        .otherwise(F.try_variant_get(v, "$", "string"))
+    flat = F.transform(found, lambda x: F.struct(x["path"].alias("path"), F.coalesce(x["text"], rest(x["value"])).alias("text")))
     return F.filter(flat, lambda x: x["text"].isNotNull())
 
 

@@ -9,7 +9,7 @@ from tracelake.content import messages
 from tracelake.content.lookups import (
     DOUBLE_EXTENSION, EXECUTABLE_EXTENSIONS, FILE_MAGIC, LONG_NAME, SCRIPT_EXTENSIONS, TEMP_PATH,
 )
-from tracelake.functions.binary import content_chunks, file_kind, signature_offsets
+from tracelake.functions.binary import byte_counts, content_chunks, file_kind, signature_offsets
 from tracelake.functions.hashing import digest
 from tracelake.functions.paths import file_name, folder, is_hidden, octal_mode, suffix
 from tracelake.functions.text import fill
@@ -105,9 +105,20 @@ def carve(files: DataFrame, signatures=None, chunk: int = 1 << 20) -> DataFrame:
 
     Images are read as chunks of bounded size, with a few bytes of overlap.
     """
+    return carve_ranges(content_chunks(files, "path", "content", chunk, overlap_of(signatures)), signatures)
+
+
+def overlap_of(signatures=None) -> int:
+    """Bytes that a chunk must hold of the next one, so that no signature is cut."""
+    return max(len(s) // 2 for s, _ in signatures or FILE_MAGIC) - 1
+
+
+def carve_ranges(parts: DataFrame, signatures=None) -> DataFrame:
+    """The same over chunks (path, base, own_bytes, chunk) with an overlap, as sources.ranges reads them from files of any size.
+
+    A signature whose end is also its start (such as 6161) is counted without overlap inside a chunk only.
+    """
     table = signatures or FILE_MAGIC
-    longest = max(len(s) // 2 for s, _ in table)
-    parts = content_chunks(files, "path", "content", chunk, longest - 1)
     found = F.array(*[
         F.struct(F.lit(s).alias("signature"), F.lit(label).alias("label"),
                  signature_offsets("chunk", s).alias("offsets")) for s, label in table])
@@ -117,6 +128,20 @@ def carve(files: DataFrame, signatures=None, chunk: int = 1 << 20) -> DataFrame:
                .select("path", "signature", "label", (F.col("base") + F.col("at")).alias("offset"))
 
 
+def range_histogram(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, byte, n): how often each byte value occurs in the chunks' own bytes; 256 rows per key at most."""
+    counts = parts.select(*keys, F.posexplode(byte_counts("chunk", "own_bytes")).alias("byte", "n")).where("n > 0")
+    return counts.groupBy(*keys, "byte").agg(F.sum("n").alias("n"))
+
+
+def range_entropy(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, size, entropy): Shannon entropy in bits per byte of all bytes of a key, from sums over chunks."""
+    n = F.col("n").cast("double")
+    sums = range_histogram(parts, keys).groupBy(*keys).agg(F.sum("n").alias("size"), F.sum(n * F.log2(n)).alias("_s"))
+    size = F.col("size").cast("double")
+    return sums.withColumn("entropy", F.greatest(F.log2(size) - F.col("_s") / size, F.lit(0.0))).drop("_s")
+
+
 def carved_slices(files: DataFrame, offsets: DataFrame, size: int = 10 * 1024 * 1024) -> DataFrame:
     """The bytes from each offset on, up to size."""
     return offsets.join(files.select("path", "content"), "path").withColumn(

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from tracelake.plans import cases, hosts, network, rules, text, timelines  # noqa: F401
+    from tracelake.plans import cases, hosts, network, rules, stored, streams, text, timelines  # noqa: F401

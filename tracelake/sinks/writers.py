@@ -10,10 +10,13 @@ from tracelake.operators.evidence import evidence_log, load_file_header, load_fi
 from tracelake.operators.files import mac_ordered
 from tracelake.operators.flows import flow_export
 from tracelake.operators.timeline import export_rows, ordered, summary
+from tracelake.sources.ranges import store_of
 
 
 def _csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    # Spark's writer trims texts unless it is told not to.
+    df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def timeline_csv(timeline: DataFrame, path: str, mode: str = "error") -> None:
@@ -71,6 +74,30 @@ def report_table(rows: DataFrame, path: str, mode: str = "error") -> None:
     rows.repartition("case_id").write.mode(mode).partitionBy("case_id").parquet(path)
 
 
+def text_files(rows: DataFrame, root: str, name: str = "name", text: str = "text") -> DataFrame:
+    """Write the text of each row to root/name, in the tasks that hold the rows; returns (name, bytes) of what was written.
+
+    For documents that must be a file of their own: reports, registries, bundles. A repeated task writes the same
+    file again. Files are opened with pyarrow's file systems; the returned rows are what triggers the writing.
+    """
+    def write(batches):
+        import pyarrow as pa
+
+        store, inner = store_of(root)
+        for batch in batches:
+            sizes = []
+            for at, content in zip(*(c.to_pylist() for c in batch.columns)):
+                target = f"{inner}/{at}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                raw = (content or "").encode()
+                with store.open_output_stream(target) as out:
+                    out.write(raw)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["name", "bytes"])
+
+    return rows.select(F.col(name).alias("name"), F.col(text).alias("text")).mapInArrow(write, "name string, bytes long")
+
+
 def json_table(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Append-only JSON log: scan results, evidence registry, cases, actions."""
     rows.write.mode(mode).json(path)
