@@ -189,3 +189,38 @@ def test_page_without_end_of_head_has_its_article():
     y = np.concatenate([html_text.labels_of(n) for n in written])
     model = html_text.fit_tree(x, y, np.ones(len(y)), parent, kinds)
     assert html_text.texts(model, [f"<html><head><title>t</title><body><article><h1>T</h1><p>{line * 3}</p></article></body></html>"]) == [f"T\n{(line * 3).strip()}"]
+
+
+@pytest.mark.parametrize("page, blocks", [
+    ("<p title=it's>First para one.</p><p>It isn't lost</p><p>third</p>", ["First para one.", "It isn't lost", "third"]),
+    ("<p>a</p><!-->kept?<p>b</p><p>c --> d", ["a", "kept?", "b", "c --> d"]), ("<p>a<!--->b", ["ab"]), ("<p>a<!-- <p>b", ["a"]),
+    ("<p title=\"x>y\" class='a>b'>a</p>b", ["a", "b"]), ("<a href=a=\"b>c</a>", ["c"]), ("<p title=\"open>a</p><p>b</p>", ["a", "b"]),
+    ("<p title=\"open>a</p><p class=\"x\">b</p>", ["b"]), ("a < b <3 c<", ["a < b <3 c<"]), ("<p>a<p", ["a<p"]), ("<p a='x'y'z>t</p>", ["t"]),
+    ("<b><i>x</b>y</i><p>z", ["xy", "z"]), ("<div><b>a</div><p>c</b>d", ["a", "cd"]), ("<ul><li>a<ul><li>b</ul><li>c</ul>", ["a", "b", "c"]),
+    ("<p x=><q y = 'a>b'>t", ["t"]),
+])
+def test_malformed_markup_keeps_its_text(page, blocks):
+    assert [b for _, b in html_text.parse(page)[1]] == blocks
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 300_000, "<b>" * 60_000 + "<p>x</p>" * 60_000, "<p" + " a='1" * 150_000, "<" * 1_000_000, "<!--" * 200_000, "<!" * 400_000, "<div>" * 150_000,
+    "<i><div>" + "<b>" * 60_000 + "</i>" * 60_000, "<ul><li><ul>" + "<b>" * 50_000 + "<li>" * 50_000, '<p a="' * 120_000, "<p a='x\" b=\"" * 60_000, "</p>" * 200_000,
+    "<title>" * 100_000, "<td>" * 100_000, "<p a=\"x\" <b c='" * 50_000 + ">",
+])
+def test_a_megabyte_of_malformed_markup(page):
+    import time
+
+    start = time.process_time()
+    nodes, blocks = html_text.parse(page)
+    assert time.process_time() - start < 12  # seconds on a slow machine; quadratic work takes minutes
+    assert max(n.depth for n in nodes) <= html_text.DEEP + 1
+
+
+def test_deep_pages_are_scored():
+    line = "A sentence of the text, as long as it needs to be, and then some more words. "
+    written = [html_text.parse(p)[0] for p in html_text._example_pages()]
+    x, parent, _, kinds = html_text._forest(written)
+    y = np.concatenate([html_text.labels_of(n) for n in written])
+    model = html_text.fit_tree(x, y, np.ones(len(y)), parent, kinds)
+    assert len(html_text.texts(model, ["<div>" * 50_000 + f"<article><p>{line * 3}</p></article>"])) == 1

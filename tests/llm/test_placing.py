@@ -4,7 +4,9 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.llm import mixing, sharding, url_filter
 from tracelake.llm.queries import URL_RULES
@@ -175,3 +177,16 @@ def test_reputation_shrinks_and_blocks(spark):
     got = {r.host: r for r in url_filter.judged(df, spark.createDataFrame(bad, "page_id long, bad boolean")).collect()}
     assert got["h3.site.net"].verdict == "block" and got["h39.site.net"].verdict == "allow" and got["new.site.net"].verdict == "allow"
     assert got["h1.site.net"].bad_rate < got["new.site.net"].bad_rate < got["h39.site.net"].bad_rate < got["h3.site.net"].bad_rate
+
+
+def test_mix_weighs_letters_of_every_script(spark):
+    """Texts of equal quality in several scripts are taken alike, and their keys spread over the buckets."""
+    texts = {"latin": "alpha beta gamma", "cyrillic": "\u0430\u043b\u044c\u0444\u0430 \u0431\u0435\u0442\u0430 \u0433\u0430\u043c\u043c\u0430", "greek": "\u03b1\u03bb\u03c6\u03b1 \u03b2\u03b7\u03c4\u03b1 \u03b3\u03b1\u03bc",
+             "han": "\u4e2d\u6587\u5b57 \u6587\u5b57\u4e2d \u5b57\u4e2d\u6587", "arabic": "\u0627\u0644\u0641 \u0628\u0627\u0621 \u062c\u064a\u0645"}
+    rows = [(i * 10 + k, f"{t} {t} {t}", "x", name) for i in range(300) for k, (name, t) in enumerate(texts.items())] + [(5000 + i, "x", "x", "other") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, script string").withColumn("source", F.when(F.col("script") == "other", "a").otherwise("b"))
+    got = mixing.mix_table(docs, mixing.Mix(weights=(5, 2, 1), bucket_rows=50)).join(docs.select("doc_id", "script"), "doc_id").collect()
+    copies = {n: np.mean([r.copies for r in got if r.script == n]) for n in texts}
+    assert max(copies.values()) - min(copies.values()) < 0.15, copies
+    base = mixing._keyed(docs, mixing.Mix()).withColumn("bucket", mixing._bucket(F.lit(30)))
+    assert max(r["count"] for r in base.groupBy("bucket").count().collect()) < 150

@@ -17,6 +17,7 @@ of any length are read whole. Repeated rows are rows of their own. Only page_id,
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,7 +55,10 @@ HINTS = (
     frozenset("article content post entry story text body main".split()),
 )
 NOT_CONTENT = 7  # hints before this one point away from content
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>=]")
+SPACE, UNQUOTED = re.compile(r"\s*"), re.compile(r"[^\s>]*")
+DEEP = 512  # elements nested deeper hang beside their parents, as browsers have them
 NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*))""", re.I)
 LETTERS = re.compile(r"[a-z]+")
 
@@ -72,6 +76,57 @@ class Node:
         self.start, self.label = 0, None
 
 
+class Markup:
+    """Finds the tags, comments and declarations of a page, each place visited once or so whatever is malformed."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.ended = page, True, page.rfind(">") + 1
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, tag or "" for a comment, attributes) of the first markup from at on."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                empty = next((len(c) for c in ("<!-->", "<!--->") if page.startswith(c, start)), 0)
+                end = page.find("-->", start + 4)
+                return start, start + empty if empty else len(page) if end < 0 else end + 3, False, "", ""
+            if start >= self.ended:
+                return None  # no > ahead: the rest is text
+            if page[start + 1 : start + 2] in ("!", "?"):
+                return start, page.find(">", start) + 1, False, "", ""
+            name = NAME.match(page, start + 1)
+            if name is not None:
+                end = self._end(name.end())
+                if end:
+                    return start, end, bool(name[1]), name[2].lower(), page[name.end() : end - 1]
+                # Its quotes reach the end of the page: from here on they count for nothing.
+                self.quotes = False
+                continue
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """Place after the > that ends the tag whose name ends at at. A quote counts at the start of a value only, and when it is closed."""
+        if not self.quotes:
+            return self.page.find(">", at) + 1
+        while (found := STOP.search(self.page, at)) is not None:
+            if found[0] == ">":
+                return found.end()
+            at = SPACE.match(self.page, found.end()).end()
+            quote = self.page[at : at + 1]
+            if quote in self.last and quote and self.last[quote] > at:
+                at = self.page.find(quote, at + 1) + 1
+            else:
+                at = UNQUOTED.match(self.page, at).end()
+        return 0
+
+
+def _above(scopes: list[int], at: int) -> Iterator[int]:
+    """Places of open elements that bound a scope, from the innermost down to above at."""
+    return itertools.takewhile(lambda k: k > at, reversed(scopes))
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements as nodes, parents first, and blocks (node, text) in page order."""
     nodes, blocks = [Node("html", -1, 0, False)], []
@@ -97,90 +152,98 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             total += len(block)
         linked = 0
 
+    where: dict[str, list[int]] = {}  # places of a tag among the open elements
+    scopes: list[int] = []
+
     def close(at: int):
         nonlocal links
         if any(tag in BLOCK for tag, _ in open_[at:]):
             flush()
-        links -= sum(tag == "a" for tag, _ in open_[at:])
+        for tag, _ in open_[at:]:
+            where[tag].pop()
+            links -= tag == "a"
         del open_[at:]
+        while scopes and scopes[-1] >= at:
+            scopes.pop()
+
+    def place(tag: str) -> int:
+        """Of the innermost open element of that tag; 0 without one."""
+        return where[tag][-1] if where.get(tag) else 0
 
     def end_head():
         nonlocal past_head
         past_head = True
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i][0] == "head":
-                del open_[i:]
-                break
+        if i := place("head"):
+            close(i)
 
+    markup = Markup(page)
     at, skip, past_head = 0, None, False
     while True:
-        found = TAG.search(page, at)
-        if skip and found:  # inside a raw element only its end counts
+        if skip:  # inside a raw element only its end counts
             end = re.compile(rf"</{re.escape(skip)}[\s/>]", re.I).search(page, at)
-            if end is None:
-                break
-            found, skip = TAG.search(page, end.start()), None
+            found, skip = end and markup.after(end.start()), None
             if found is None:
                 break
-            at = found.end()
+            at = found[1]
             continue
-        piece = page[at : found.start()] if found else page[at:]
-        if not past_head and not skip and piece.strip():
+        found = markup.after(at)
+        piece = page[at : found[0]] if found else page[at:]
+        if not past_head and piece.strip():
             end_head()
-        if piece and not skip and not nodes[open_[-1][1]].hidden:
+        if piece and not nodes[open_[-1][1]].hidden:
             text.append(piece)
             if links:
                 linked += len(piece.strip())
         if found is None:
             break
-        at = found.end()
-        tag = (found[2] or "").lower()
+        _, at, closes, tag, attributes = found
         if not tag:
             continue
-        if found[1]:
+        if closes:
             past_head = past_head or tag == "head"
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == tag:
-                    close(i)
-                    break
-                if tag not in BLOCK and open_[i][0] in SCOPE:
-                    break
+            i = place(tag)
+            if i and (tag in BLOCK or not scopes or scopes[-1] <= i):
+                close(i)
             continue
         if tag == "head" and past_head:
             continue
         if not past_head and tag not in HEAD:
             end_head()
         if tag in RAW:
-            if not found[3].endswith("/"):
+            if not attributes.endswith("/"):
                 skip = tag
             text.append(" ")
             continue
         if tag in BLOCK:
-            for ended in ENDS.get(tag, ()) or (("p",) if tag != "html" else ()):
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i][0] == ended:
-                        close(i)
-                        break
-                    if open_[i][0] in SCOPE and open_[i][0] not in ENDS.get(tag, ()):
-                        break
+            ends = ENDS.get(tag, ())
+            for ended in ends or (("p",) if tag != "html" else ()):
+                i = place(ended)
+                if i and all(open_[k][0] in ends for k in _above(scopes, i)):
+                    close(i)
             flush()
-            if tag in ("html", "body") and any(x == tag for x, _ in open_[1:]):
+            if tag in ("html", "body") and place(tag):
                 continue
         if tag in VOID:
             text.append(" ")
             continue
         owner = open_[-1][1]
         if tag in BLOCK or tag in HIDDEN:
-            node = Node(tag, owner, nodes[owner].depth + 1, nodes[owner].hidden or tag in HIDDEN)
+            hidden = nodes[owner].hidden or tag in HIDDEN
+            if nodes[owner].depth >= DEEP:
+                owner = nodes[owner].parent
+            node = Node(tag, owner, nodes[owner].depth + 1, hidden)
             node.start = total
-            if found[3]:
-                names = set(LETTERS.findall(" ".join("".join(x) for x in NAMED.findall(found[3])).lower()))
+            if attributes:
+                names = set(LETTERS.findall(" ".join("".join(x) for x in NAMED.findall(attributes)).lower()))
                 node.hints = tuple(i for i, h in enumerate(HINTS) if names & h)
-                if "data-content=" in found[3]:  # the label of a page written for training
-                    node.label = 'data-content="1"' in found[3]
+                if "data-content=" in attributes:  # the label of a page written for training
+                    node.label = 'data-content="1"' in attributes
             nodes.append(node)
             owner = len(nodes) - 1
         links += tag == "a"
+        where.setdefault(tag, []).append(len(open_))
+        if tag in SCOPE:
+            scopes.append(len(open_))
         open_.append((tag, owner))
     flush()
     for n in reversed(nodes[1:]):
@@ -244,7 +307,8 @@ class TreeModel:
         g = (x * np.array(self.weights)).sum(1)  # row by row, so that a node's score does not hang on its batch
         belief = np.stack([-np.logaddexp(0, g), -np.logaddexp(0, -g)], 1)
         sent = np.zeros_like(belief)
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+        order = np.argsort(depth, kind="stable")
+        levels = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))
         for rows in levels[:0:-1]:  # upward: leaves first
             sent[rows] = np.logaddexp.reduce(belief[rows][:, None, :] + self.share[kinds[rows]], axis=2)
             np.add.at(belief, parent[rows], sent[rows])

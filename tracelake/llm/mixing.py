@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import WORD, if_small, written
 
-LETTERS = "[^A-Za-zÀ-ɏ]"
+LETTERS = r"[^\p{L}]"  # letters of every script
 
 
 @dataclass(frozen=True)
@@ -77,10 +77,18 @@ def _targets(base: DataFrame, mix: Mix) -> DataFrame:
     return s.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def _bucket(buckets: Column) -> Column:
+    """Place of a key's order of size: keys of any weight spread, since the buckets are narrow on the scale of logarithms.
+
+    A key of weight w is exponential with rate w, so its logarithm lies within a few units of -log(w), wherever that is.
+    """
+    return F.floor(F.log("key") * buckets / 4)
+
+
 def _cuts(base: DataFrame, mix: Mix) -> DataFrame:
     """(source, source_size, target, epochs, cut): cut is the last key taken in the epoch that is not whole."""
     buckets = max(16, base.count() // mix.bucket_rows)
-    base = base.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
+    base = base.withColumn("bucket", _bucket(F.lit(buckets)))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
@@ -101,7 +109,7 @@ def _cuts(base: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _copies(base: DataFrame, cuts: DataFrame) -> DataFrame:
-    bucket = F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets"))
+    bucket = _bucket(F.col("buckets"))
     inside = F.struct("key", "doc_id", "size") <= F.col("within")
     taken = F.coalesce((bucket < F.col("ends")) | ((bucket == F.col("ends")) & F.coalesce(inside, F.lit(False))), F.lit(False))
     return base.join(if_small(cuts), "source").withColumn("copies", (F.col("epochs") + taken.cast("int")).cast("int"))

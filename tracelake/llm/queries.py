@@ -133,7 +133,7 @@ OP9_SQL = r"""
 WITH t AS (
     SELECT doc_id, source, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS size,
            -ln((('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, md5(x))), 1, 12))::BIGINT + 0.5) / 281474976710656.0)
-           / ((length(regexp_replace(x, '[^A-Za-zÀ-ɏ]', '', 'g')) + 1) / (length(x) + 1)) AS key
+           / ((length(regexp_replace(x, '[^\p{L}]', '', 'g')) + 1) / (length(x) + 1)) AS key
     FROM (SELECT *, coalesce(text, '') AS x FROM documents)),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM t GROUP BY source),
 s1 AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight,
