@@ -19,6 +19,8 @@ from tracelake.content.hunts import (
 )
 from tracelake.functions.paths import file_name
 from tracelake.functions.text import contains_any, cut, fill, first_label, one_of, text_entropy
+from tracelake.operators.ordered import Ordered, Sizes
+
 
 HYPOTHESIS = {h[0]: h for h in HYPOTHESES}
 FINDING = ["rule_id", "title", "ts", "host", "description", "evidence", "severity", "mitre", "event_id"]
@@ -163,6 +165,19 @@ def unusual_logins(logins: DataFrame, user: str = "user_name", ts: str = "ts", m
                                                       [user, "hour"])
 
 
+def unusual_logins_so_far(logins: DataFrame, user: str = "user_name", ts: str = "ts", order: list[str] = ("event_id",), max_share: float = 0.02,
+                          min_history: int = 20, sizes: Sizes | None = None) -> DataFrame:
+    """HYP-007 as the logins come: each is judged by the user's earlier ones only, never by itself or by what came later.
+
+    logins and total count earlier rows: at that hour, and in all. order breaks ties of ts. A user's histogram of 24 hours
+    goes from chunk to chunk, so an account that makes a third of all logins is spread over many tasks.
+    """
+    rows = logins.where(F.col(ts).isNotNull()).withColumn("hour", F.hour(ts))
+    seen = Ordered(rows, [user], [ts, *order], sizes).count_same(F.col("hour"), "logins").position("total").rows()
+    seen = seen.withColumns({"logins": F.col("logins") - 1, "total": F.col("total") - 1})
+    return seen.withColumn("share", F.try_divide("logins", "total")).where((F.col("total") >= min_history) & (F.col("share") <= max_share))
+
+
 def unusual_login_findings(rows: DataFrame, user: str = "user_name", ts: str = "ts", host: str = "host") -> DataFrame:
     """HYP-007: rows of unusual_logins as findings."""
     _, title, technique, severity = HYPOTHESIS["HYP-007"]

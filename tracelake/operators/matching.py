@@ -25,13 +25,47 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int, ho
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def match_tokens(tokens: DataFrame, feed: DataFrame, salts: int = 1) -> DataFrame:
+def heavy_keys(rows: DataFrame, on: list[str], share: float = 1 / 64) -> dict[int, int]:
+    """hash -> salts of the keys that hold more than a share of the rows, found by one sketch pass; 1 / share of them at most.
+
+    salts: how often the share goes into the key's rows, so that many tasks get no more than a share each.
+    """
+    if not 0 < share <= 1:
+        raise ValueError("share lies above 0 and at most 1")
+    most = -(-1 // share)
+    key = F.xxhash64(*on).alias("_key")
+    # A sketch with many counters beyond the wanted keys misses none that is so frequent.
+    found = rows.select(key).agg(F.expr(f"approx_top_k(_key, {int(most)}, {int(min(1_000_000, 64 * most))})").alias("top"), F.count("*").alias("n")).first()
+    limit = share * found["n"]
+    return {r["item"]: int(-(-r["count"] // limit)) for r in found["top"] if r["count"] > limit}
+
+
+def heavy_join(left: DataFrame, right: DataFrame, on: list[str], share: float = 1 / 64, how: str = "inner") -> DataFrame:
+    """Equi-join in which only the keys that are heavy on the left are spread over tasks, each over as many as it needs.
+
+    The rows of right with such a key are repeated; all others move once. Rows of left that are equal in all columns
+    stay together, so keep an id in them. how may be inner or left.
+    """
+    heavy = heavy_keys(left, on, share)
+    if not heavy:
+        return left.join(right, on, how)
+    known = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair])
+    salts = F.coalesce(F.try_element_at(known, F.xxhash64(*on)), F.lit(1))
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(F.lit(7), *left.columns), salts).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def match_tokens(tokens: DataFrame, feed: DataFrame, salts: int | None = 1) -> DataFrame:
     """Token rows (ids, ioc_type, value) that a feed lists.
 
     No broadcast is forced: Spark broadcasts the feed when its measured size is
     below the limit of the session, and joins by shuffle otherwise. For a feed
-    beyond that limit set salts, so that one hot indicator is spread.
+    beyond that limit set salts, so that one hot indicator is spread; with None the
+    hot indicators are found first, and only they are spread.
     """
+    if salts is None:
+        return heavy_join(tokens, feed, ["ioc_type", "value"])
     if salts > 1:
         return salted_join(tokens, feed, ["ioc_type", "value"], salts)
     return tokens.join(feed, ["ioc_type", "value"])

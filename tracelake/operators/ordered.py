@@ -136,6 +136,27 @@ class Ordered:
         """1, 2, 3, ... (row_number)"""
         return self.running_sum(F.lit(1).cast("bigint"), name)
 
+    def count_same(self, value: Column, name: str) -> Ordered:
+        """How many rows up to this one, within the keys, have its value. value is not NULL and has few distinct values: what
+        a chunk leaves to the next one is its counts per value."""
+        near = F.row_number().over(Window.partitionBy(*([CHUNK] if self.chunks > 1 else []), *self.keys, value).orderBy(*self.order)).cast("bigint")
+        if self.chunks == 1:
+            return self._with(name, near)
+        counts = self.df.groupBy(CHUNK, self._key().alias("key"), value.alias("v")).agg(F.count("*").alias("n"))
+        state = F.map_from_entries(F.collect_list(F.struct("v", "n")))
+        maps = counts.groupBy(CHUNK, "key").agg(state.alias("state"))
+        last = F.struct(F.min("key").alias("first"), F.max("key").alias("key"), F.max_by("state", "key").alias("state"))
+        states = maps.groupBy(CHUNK).agg(last.alias("s")).orderBy(CHUNK).collect()
+
+        def fold(now: Row, before: Row | None) -> Row:
+            if before is None or not now["first"] == now["key"] == before["key"]:
+                return now
+            both = {v: before["state"].get(v, 0) + now["state"].get(v, 0) for v in {**before["state"], **now["state"]}}
+            return Row(key=now["key"], state=both)
+
+        kept = F.map_from_entries(F.collect_list(F.struct(value.alias("v"), F.lit(1).cast("bigint").alias("n"))))
+        return self._carried(name, near, states, fold, kept, lambda near, carry: near + F.coalesce(F.try_element_at(carry, value), F.lit(0)))
+
     def _inside(self):
         return Window.partitionBy(*([CHUNK] if self.chunks > 1 else []), *self.keys).orderBy(*self.order)
 

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from tracelake.content.lookups import FLOW_PORTS
 from tracelake.operators import flows as fl
 from tracelake.operators.alerts import newest
-from tracelake.operators.hunts import login_baseline, off_hours, unusual_logins
+from tracelake.operators.hunts import login_baseline, off_hours, unusual_logins, unusual_logins_so_far
 from tracelake.operators.ordered import (
     count_within, sessions, with_last_known, with_position, with_running_sum,
 )
+from tracelake.operators.sketches import daily_sketches, distinct_error, distinct_of, merged, quantile_of, rank_error
 from tracelake.plans.registry import query
 from tracelake.plans.views import (
     DNS_SQL, LIMIT_BYTES, PACKETS_SQL, dns_answers, load, packets, telemetry, with_sql,
 )
+from tracelake.session import work_folder
 
 PORT_LIST = ", ".join(str(p) for p in FLOW_PORTS)
 REASON = f"""CASE WHEN dst_port IN ({PORT_LIST}) THEN 'Known C2/malware port: ' || dst_port
@@ -173,6 +175,38 @@ def _(spark, d):
     return u.select("event_id", "user_id", "hour", F.round("share", 6).alias("share"))
 
 
+@query("unusual_logins_so_far", """
+SELECT event_id, user_id, hour, logins, total, round(logins / total, 6) AS share FROM (
+  SELECT event_id, user_id, CAST(hour(ts) AS INTEGER) AS hour,
+    count(*) OVER (PARTITION BY user_id, hour(ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS logins,
+    count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS total FROM events)
+WHERE total >= 20 AND logins / total <= 0.02""")
+def _(spark, d):
+    u = unusual_logins_so_far(load(spark, d, "events"), "user_id")
+    return u.select("event_id", "user_id", "hour", "logins", "total", F.round("share", 6).alias("share"))
+
+
+@query("sketches_by_week", """
+SELECT date_trunc('week', ts)::DATE AS week, count(*) AS rows, count(DISTINCT event_id) AS events, TRUE AS events_within, count(DISTINCT user_id) AS users,
+  TRUE AS users_within, TRUE AS median_within, TRUE AS top_within FROM events GROUP BY ALL""")
+def _(spark, d):
+    """Daily sketches, stored and merged by week, beside the exact figures: within their bounds or not."""
+    e, path = load(spark, d, "events"), work_folder(spark, "sketches")
+    daily_sketches(e, "ts", {"events": F.col("event_id"), "users": F.col("user_id")}, {"value": F.col("value")}).write.parquet(path)
+    week = lambda c: F.date_trunc("week", c).cast("date").alias("week")
+    weeks = merged(spark.read.parquet(path), week(F.col("day").cast("timestamp_ntz")))
+    found = weeks.select("week", "rows", distinct_of("events").alias("e"), distinct_of("users").alias("u"), quantile_of("value", 0.5).alias("q50"), quantile_of("value", 0.95).alias("q95"))
+    # Where the estimated quantiles really lie: one more pass, over a join with one row per week.
+    own = e.withColumn("week", week(F.col("ts"))).join(F.broadcast(found.select("week", "q50", "q95")), "week")
+    exact = own.groupBy("week").agg(F.count_distinct("event_id").alias("events"), F.count_distinct("user_id").alias("users"), *[
+        f(F.col("value") <= F.col(q)).alias(f"{n}_{q}") for q in ("q50", "q95") for n, f in (("upto", F.count_if),)], *[
+        F.count_if(F.col("value") < F.col(q)).alias(f"below_{q}") for q in ("q50", "q95")])
+    off = lambda q, share: (F.col(f"below_{q}") / F.col("rows") <= share + rank_error()) & (F.col(f"upto_{q}") / F.col("rows") >= share - rank_error())
+    near = lambda n, c: F.abs(F.col(c) - F.col(n)) <= distinct_error() * F.col(n)
+    return found.join(exact, "week").select("week", "rows", "events", near("events", "e").alias("events_within"), "users", near("users", "u").alias("users_within"),
+                                            off("q50", 0.5).alias("median_within"), off("q95", 0.95).alias("top_within"))
+
+
 @query("off_hours", """
 SELECT event_id, host, ts FROM (SELECT event_id, 'host-' || user_id AS host, ts FROM events)
 WHERE dayofweek(ts) IN (0, 6) OR hour(ts) < 8 OR hour(ts) >= 18""")

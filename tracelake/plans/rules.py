@@ -171,6 +171,23 @@ def _(spark, d):
     return count_within(hits, ["host"], "ts", 30).select("host", "ts", "hits")
 
 
+@query("frequency_rule_fires", """
+WITH shifted AS (SELECT event_id, 'host-' || (event_id // 60) % 7 AS host, TIMESTAMP '2024-01-01' + to_milliseconds(event_id * CASE WHEN (event_id // 60) % 2 = 0 THEN 600 ELSE 620 END) AS ts FROM events)
+SELECT '100080' AS rule_id, host, ts, hits FROM (SELECT host, ts, count(*) OVER (PARTITION BY host ORDER BY ts RANGE BETWEEN INTERVAL 30 SECOND PRECEDING AND CURRENT ROW) AS hits FROM shifted)
+WHERE hits >= 50""")
+def _(spark, d):
+    """The shipped frequency rule on dense rows: hosts write files every 600 ms (50 in 30 s and more) or every 620 ms (49)."""
+    e = load(spark, d, "events")
+    block = F.floor(F.col("event_id") / 60)
+    millis = F.col("event_id") * F.when(block % 2 == 0, 600).otherwise(620)
+    start = F.unix_millis(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    rows = e.select("event_id", F.concat(F.lit("host-"), block % 7).alias("host"), F.timestamp_millis(start + millis).cast("timestamp_ntz").alias("ts"),
+                    *[F.lit(v).alias(n) for n, v in {"channel": "sysmon", "event_code": 11, "file_path": "D:\\a.locked"}.items()])
+    rules = [r for r in shipped_alert_rules() if r.rule_id == "100082"]
+    shown = rows.withColumns({c: F.lit(None).cast("string") for c in EVENT_FIELDS if c not in rows.columns})
+    return frequency_hits(scan_alerts(shown, KEEP, rules)).select("rule_id", "host", "ts", "hits")
+
+
 @query("technique_phases", with_sql(TELEMETRY_SQL, ALERT_HITS, body="""
 SELECT mitre, row_number() OVER (PARTITION BY mitre ORDER BY ts, host, event_id, rule_id) AS seq, ts, host FROM hits"""))
 def _(spark, d):

@@ -263,6 +263,21 @@ def _(spark, d):
     return hits.select("event_id", "path", "ioc_type", "value", "weight")
 
 
+@query("ioc_match_heavy", """
+SELECT event_id, value, weight FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'hot.example.com' ELSE 'h' || user_id || '.example.com' END AS value FROM events)
+JOIN (SELECT 'hot.example.com' AS value, 0::BIGINT AS weight UNION ALL SELECT DISTINCT 'h' || user_id || '.example.com', user_id FROM events WHERE user_id % 3 = 0) USING (value)""")
+def _(spark, d):
+    """One indicator in half of all events: it is found by a sketch and spread, the others are not."""
+    e = load(spark, d, "events")
+    host = F.concat(F.lit("h"), F.col("user_id"), F.lit(".example.com"))
+    mention = F.when(F.col("event_id") % 2 == 0, "hot.example.com").otherwise(host)
+    seen = tokens.event_token_rows(e.withColumn("note", F.concat(F.lit("to "), mention)), "note", ["event_id"])
+    users = e.where("user_id % 3 = 0").select(host.alias("value"), F.col("user_id").alias("weight")).distinct()
+    hot = spark.range(1).select(F.lit("hot.example.com").alias("value"), F.lit(0).cast("long").alias("weight"))
+    feed = users.union(hot).withColumn("ioc_type", F.lit("domain"))
+    return matching.match_tokens(seen, feed, salts=None).select("event_id", "value", "weight")
+
+
 @query("event_text_search", with_sql(EVENT_TOKENS, body="""
 SELECT event_id FROM ev WHERE contains(lower(j), 'user7') AND contains(lower(j), 'x3.example.com')"""))
 def _(spark, d):

@@ -49,12 +49,13 @@ def _(spark, d):
 
 
 @query("timeline_export", with_sql(TIMELINE_SQL, body="""
-SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS "Timestamp (UTC)", severity AS "Severity", category AS "Category",
-  source AS "Source", host AS "Host", CASE source WHEN 'Sysmon' THEN 'user-' || split_part(host, '-', 2) ELSE '' END
-  AS "User", '' AS "Process", description AS "Description", '' AS "Network Info", event_id AS "Event ID",
-  '' AS "MITRE", '' AS "Note" FROM timeline"""))
+SELECT strftime(l.ts, '%Y-%m-%dT%H:%M:%S.%f') AS "Timestamp (UTC)", severity AS "Severity", category AS "Category",
+  source AS "Source", l.host AS "Host", CASE source WHEN 'Sysmon' THEN 'user-' || split_part(l.host, '-', 2) ELSE '' END
+  AS "User", '' AS "Process", description AS "Description", coalesce(t.file_path, '') AS "File Path", '' AS "Network Info",
+  l.event_id AS "Event ID", '' AS "MITRE", '' AS "Note"
+FROM timeline l LEFT JOIN telemetry t ON l.source = 'Sysmon' AND l.event_id = CAST(t.event_id AS VARCHAR)"""))
 def _(spark, d):
-    return tl.export_rows(timeline(spark, d)).drop("File Path")
+    return tl.export_rows(timeline(spark, d))
 
 
 @query("severity_map", with_sql(ALERTS_SQL, body=f"""
