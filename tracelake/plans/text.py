@@ -11,7 +11,7 @@ from tracelake.operators.hunts import generated_name_findings, generated_names,
 from tracelake.operators.normalize import bundle_observables, lookup_actions
 from tracelake.operators.ordered import first_per_group
 from tracelake.plans.registry import query
-from tracelake.plans.views import FILES_SQL, files, load, sql_text, with_sql
+from tracelake.plans.views import FILES_SQL, TAILS, _at, files, load, sql_text, with_sql
 from tracelake.rules.signatures import scan_content, scan_summary
 from tracelake.sources import feeds
 
@@ -560,6 +560,83 @@ def _(spark, d):
     return r.select("sample_id", "md5", "sha256", "file_size", "is_pe")
 
 
+# Samples that reach every point of the score: executable heads with a header, imports, sections, high entropy, wide strings.
+# Little-endian: the header starts at 64; machine 0x14c, three sections, linked 2024-03-16 18:12:16.
+PE_HEAD = "4D5A" + "00" * 58 + "40000000" + "50450000" + "4C01" + "0300" + "00E1F565" + "00" * 12
+EVERY_BYTE = "".join(f"{i:02X}" for i in range(256))
+WIDE = "WScript.Shell CreateRemoteThread".encode("utf-16-le").hex().upper()
+SAMPLE_HEX = f"concat(CASE n % 3 WHEN 0 THEN '{PE_HEAD}' WHEN 1 THEN '7F454C46' ELSE '' END, repeat('{EVERY_BYTE}', CAST(CASE n % 4 WHEN 2 THEN 1 WHEN 3 THEN 8 ELSE 0 END AS INT)))"
+IMPORTS = [["CreateRemoteThread", "ReadFile"], ["ReadFile"], []]
+SECTIONS = [[(".text", 6.1), ("UPX0", 7.9)], [(".text", 5.0)]]
+PAIR = r"(?:(?:[2-6][0-9A-F]|7[0-9A-E])\.)"
+WIDE_PAIR = r"(?:(?:[2-6][0-9A-F]|7[0-9A-E])\.00\.)"
+
+
+def unhexed(list_sql: str, drop: str) -> str:
+    return f"list_transform({list_sql}, lambda x: trim(decode(from_hex(replace(replace(x, '{drop}', ''), '.', '')))))"
+
+
+SAMPLES_SQL = f"""
+raw AS (SELECT doc_id, n_chars AS n, from_hex({SAMPLE_HEX.replace("n %", "n_chars %")}) || encode(left(text, 300)) || encode({_at(TAILS)})
+    || from_hex(CASE WHEN n_chars % 7 = 0 THEN '{WIDE}' ELSE '' END) AS content FROM documents),
+h AS (SELECT *, n % 3 = 0 AS pe, regexp_replace(hex(content), '(..)', '\\1.', 'g') AS h FROM raw),
+e AS (SELECT doc_id, entropy(b) AS entropy FROM (SELECT doc_id, unnest(string_split(h, '.')[:-2]) AS b FROM h) GROUP BY doc_id),
+s AS (SELECT h.*, entropy, {unhexed(f"regexp_extract_all(h, '{PAIR}{{6,}}', 0)", "~")} AS ascii, {unhexed(f"regexp_extract_all(h, '{WIDE_PAIR}{{6,}}', 0)", ".00.")} AS wide FROM h JOIN e USING (doc_id)),
+u AS (SELECT doc_id, list(struct_pack(s, r) ORDER BY i) AS bad, list_sort(list_distinct(list(r))) AS reasons FROM (
+  SELECT doc_id, s, i, {REASON_SQL} AS r FROM (SELECT doc_id, s, min(i) AS i FROM (SELECT doc_id, unnest(ascii || wide) AS s, generate_subscripts(ascii || wide, 1) AS i FROM s) GROUP BY ALL))
+  WHERE r IS NOT NULL GROUP BY doc_id),
+j AS (SELECT *, array_to_string(ascii || wide, chr(10)) AS joined FROM s),
+tok AS (SELECT doc_id, count(*) FILTER (ioc_type = 'ip') AS ips, count(*) FILTER (ioc_type = 'domain') AS domains, count(*) FILTER (ioc_type = 'url') AS urls
+  FROM ({distinct_tokens("j", "doc_id", "joined")}) GROUP BY doc_id),
+f AS (SELECT s.*, coalesce(u.bad, []) AS bad, coalesce(u.reasons, []) AS reasons, CAST(coalesce(ips, 0) AS INTEGER) AS ips, CAST(coalesce(domains, 0) AS INTEGER) AS domains,
+  CAST(coalesce(urls, 0) AS INTEGER) AS urls, pe AND n % 5 = 0 AS injects, pe AND n % 2 = 0 AS dense,
+  CASE WHEN contains(hex(content), '55505821') THEN 'UPX Packer' WHEN contains(hex(content), '4E535030') THEN 'NSIS Packer' END AS packer
+  FROM s LEFT JOIN u USING (doc_id) LEFT JOIN tok USING (doc_id))"""
+
+
+def derived_samples(spark, d):
+    docs = load(spark, d, "documents").withColumn("n", F.col("n_chars"))
+    tail = F.element_at(F.array(*map(F.lit, TAILS)), (F.col("n") % len(TAILS) + 1).cast("int"))
+    wide = F.when(F.col("n") % 7 == 0, F.unhex(F.lit(WIDE))).otherwise(F.unhex(F.lit("")))
+    content = F.concat(F.unhex(F.expr(SAMPLE_HEX)), F.encode(F.left("text", F.lit(300)), "UTF-8"), F.encode(tail, "UTF-8"), wide)
+    strings = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    part = lambda rows: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(e).alias("entropy")) for n, e in rows])
+    return docs.select(
+        F.col("doc_id").alias("sample_id"), content.alias("content"),
+        F.when(F.col("n") % 5 == 0, strings(IMPORTS[0])).when(F.col("n") % 5 == 1, strings(IMPORTS[1])).otherwise(strings(IMPORTS[2])).alias("imports"),
+        F.when(F.col("n") % 2 == 0, part(SECTIONS[0])).otherwise(part(SECTIONS[1])).alias("sections"))
+
+
+@query("sample_report_whole", with_sql(SAMPLES_SQL, body="""
+SELECT doc_id AS sample_id, CAST(octet_length(content) AS INTEGER) AS file_size, md5(content) AS md5, sha1(content) AS sha1, sha256(content) AS sha256,
+  CASE n % 3 WHEN 0 THEN 'PE Executable' WHEN 1 THEN 'ELF Executable' ELSE coalesce(NULL, 'Unknown') END AS file_type, lower(hex(content[1:4])) AS magic_bytes,
+  round(entropy, 6) AS entropy, pe AS is_pe, CASE WHEN pe THEN '0x14c' END AS machine, CASE WHEN pe THEN 3 END AS num_sections,
+  CASE WHEN pe THEN TIMESTAMP '2024-03-16 18:12:16' END AS link_time,
+  CASE WHEN pe THEN CASE WHEN n % 2 = 0 THEN '.text/6.1/false UPX0/7.9/true' ELSE '.text/5.0/false' END ELSE '' END AS sections,
+  CASE WHEN pe THEN CASE n % 5 WHEN 0 THEN 'CreateRemoteThread ReadFile' WHEN 1 THEN 'ReadFile' ELSE '' END ELSE '' END AS imports,
+  md5(array_to_string(ascii, chr(10))) AS strings_ascii, md5(array_to_string(wide, chr(10))) AS strings_wide,
+  md5(array_to_string(list_transform(bad, lambda b: b.s || '>' || b.r), chr(10))) AS suspicious, packer AS packer_detected, ips AS ip_count, domains AS domain_count, urls AS url_count,
+  CAST(least(100, CASE WHEN entropy > 7.2 THEN 25 WHEN entropy > 6.5 THEN 10 ELSE 0 END + CASE WHEN packer IS NULL THEN 0 ELSE 20 END + CASE WHEN injects THEN 30 ELSE 0 END
+    + CASE WHEN dense THEN 15 ELSE 0 END + least(len(bad) * 3, 20) + CASE WHEN ips + domains + urls > 0 THEN 10 ELSE 0 END) AS INTEGER) AS threat_score,
+  array_to_string(list_filter([CASE WHEN entropy > 7.2 THEN 'Very high entropy (' || printf('%.2f', entropy) || ') - possible encryption/packing' WHEN entropy > 6.5 THEN 'High entropy (' || printf('%.2f', entropy) || ')' END,
+    'Packer detected: ' || packer, CASE WHEN injects THEN 'Process injection APIs: CreateRemoteThread' END, CASE WHEN dense THEN 'High entropy sections: UPX0' END,
+    CASE WHEN len(bad) > 0 THEN 'Suspicious strings: ' || array_to_string(reasons, ', ') END,
+    CASE WHEN ips + domains + urls > 0 THEN 'Embedded network IOCs: ' || ips || ' IPs, ' || domains || ' domains' END], lambda x: x IS NOT NULL), '|') AS threat_indicators
+FROM f"""))
+def _(spark, d):
+    r = samples.analyze(derived_samples(spark, d))
+    lines = lambda c: F.md5(F.array_join(c, "\n"))
+    section = lambda s: F.concat_ws("/", s["name"], s["entropy"].cast("string"), s["suspicious"].cast("string"))
+    return r.select(
+        "sample_id", "file_size", "md5", "sha1", "sha256", "file_type", "magic_bytes", F.round("entropy", 6).alias("entropy"), "is_pe",
+        F.when(F.col("is_pe"), F.col("header.machine")).alias("machine"), F.when(F.col("is_pe"), F.col("header.num_sections")).alias("num_sections"),
+        F.when(F.col("is_pe"), F.col("header.link_time").cast("timestamp_ntz")).alias("link_time"),
+        F.array_join(F.transform("sections", section), " ").alias("sections"), F.array_join("imports", " ").alias("imports"),
+        lines("strings_ascii").alias("strings_ascii"), lines("strings_wide").alias("strings_wide"),
+        lines(F.transform("suspicious", lambda s: F.concat(s["value"], F.lit(">"), s["reason"]))).alias("suspicious"), "packer_detected", "ip_count", "domain_count", "url_count",
+        F.col("threat_score").cast("int").alias("threat_score"), F.array_join("threat_indicators", "|").alias("threat_indicators"))
+
+
 @query("sample_scores", with_sql(FILES_SQL, f"""
 s AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(body, '[\\x20-\\x7e]{{6,}}', 0),
   lambda x: trim(x))) AS strings FROM files)""", f"""
