@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracelake.operators import (
     alerts, cases, evidence, files, flows, hosts, matching, memory, normalize, reputation, samples, timeline,
 )
+from tracelake.operators.ordered import Sizes
 from tracelake.session import cut_lineage
 
 T0 = dt.datetime(2024, 1, 3, 12, 0)
@@ -60,7 +61,7 @@ def test_beacons(spark):
     rows = [("beat", at(60 * i)) for i in range(10)] + [("jitter", at(60 * i + (i * 7) % 40)) for i in range(10)]
     rows += [("few", at(60 * i)) for i in range(3)]
     e = spark.createDataFrame(rows, "k string, ts timestamp_ntz").withColumn("id", F.monotonically_increasing_id())
-    profile = flows.interval_profile(e, ["k"], "ts", ["ts", "id"], chunk_seconds=120)
+    profile = flows.interval_profile(e, ["k"], "ts", ["ts", "id"], sizes=Sizes(rows=20))
     got = {r.k: r for r in profile.collect()}
     assert (got["beat"].mean_gap, got["beat"].gap_deviation, got["beat"].near_60) == (60.0, 0.0, 9)
     assert [r.k for r in flows.beacons(profile).collect()] == ["beat"]
@@ -243,7 +244,7 @@ def test_case_workflow(spark):
     rows = cases.status_rows(c, tasks, notes, ind).where("case_id = 'c1'").collect()
     assert [r.text for r in rows if r.section == "summary"] == ["IOCs: 2, Open Tasks: 5"]
     log = spark.createDataFrame([("c1", at(0), "identification"), ("c1", at(90), "containment")], "case_id string, ts timestamp_ntz, phase string")
-    assert {r.phase: r.seconds for r in cases.phase_durations(log, 30).collect()} == {"identification": 90, "containment": None}
+    assert {r.phase: r.seconds for r in cases.phase_durations(log, Sizes(rows=1)).collect()} == {"identification": 90, "containment": None}
 
 
 def test_actions(spark):

@@ -186,17 +186,17 @@ class Ordered:
             before = fold(r["s"], before)
         types = self.df.select(self._key().alias("key"), near.alias("near")).schema if kind is None else \
             self.df.groupBy(self._key().alias("key")).agg(kind.alias("near")).schema
-        shape = StructType([StructField("_at", IntegerType()), StructField("_key", types["key"].dataType), StructField("_carry", types["near"].dataType)])
+        shape = StructType([StructField("_chunk_at", IntegerType()), StructField("_chunk_key", types["key"].dataType), StructField("_chunk_carry", types["near"].dataType)])
         table = self.df.sparkSession.createDataFrame(carry, shape)
-        keys = [F.col(f"_key.k{i}").alias(f"_key{i}") for i in range(len(self.keys))]
-        table = F.broadcast(table.select("_at", *keys, "_carry"))  # one row per chunk at most
-        same = F.col(CHUNK) == F.col("_at")
+        keys = [F.col(f"_chunk_key.k{i}").alias(f"_chunk_key{i}") for i in range(len(self.keys))]
+        table = F.broadcast(table.select("_chunk_at", *keys, "_chunk_carry"))  # one row per chunk at most
+        same = F.col(CHUNK) == F.col("_chunk_at")
         for i, k in enumerate(self.keys):
-            same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
-        out = self._with("_near", near)
+            same &= F.col(k).eqNullSafe(F.col(f"_chunk_key{i}"))
+        out = self._with("_chunk_near", near)
         out.df = out.df.join(table, same, "left")
-        out = out._with(name, join(F.col("_near"), F.col("_carry")))
-        out.columns = [c for c in out.columns if c != "_near"]
+        out = out._with(name, join(F.col("_chunk_near"), F.col("_chunk_carry")))
+        out.columns = [c for c in out.columns if c != "_chunk_near"]
         out.df = out.df.select(*out.columns, CHUNK)
         return out
 
