@@ -62,14 +62,14 @@ def rule_scan(n: int):
     from tracelake.content.lookups import FLOW_PORTS
     from tracelake.plans.views import telemetry
     from tracelake.rules.alerts import shipped_alert_rules
-    from tracelake.rules.policy import policy_kinds
+    from tracelake.rules.policy import policy_rules
     from tracelake.rules.predicates import Rule, equals, scan
     from tracelake.rules.sigma import shipped_sigma_rules
 
     def build(spark, d):
         events = telemetry(spark, d)
         rules = shipped_alert_rules() + shipped_sigma_rules()
-        rules += [Rule(k, k, "info", p) for k, p in policy_kinds(events.columns).items()]
+        rules += policy_rules(events.columns)
         rules += [Rule(f"port_{p}", "port", "low", equals("dst_port", p)) for p in FLOW_PORTS]
         assert len({r.predicate for r in rules}) == len(rules) >= n
         return scan(events, rules[:n], ["event_id"])

@@ -8,7 +8,7 @@ from tracelake.operators import hunts
 from tracelake.plans.views import EVENT_FIELDS
 from tracelake.rules import policy, sigma, signatures
 from tracelake.rules.alerts import frequency_hits, load_alert_rules, scan_alerts, shipped_alert_rules
-from tracelake.rules.predicates import catalogue, coverage, scan
+from tracelake.rules.predicates import Rule, all_of, catalogue, contains, coverage, ends, scan
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, host string, " + ", ".join(
     f"{f} {'int' if f in ('event_code', 'dst_port') else 'string'}" for f in EVENT_FIELDS)
@@ -166,6 +166,12 @@ def test_wide_strings_match_in_bytes_only(spark):
     assert [r.id for r in signatures.scan_content(rows, ["id"], content="content").collect()] == [1]
 
 
+def test_shellcode_counts_below_ten_megabytes_only(spark):
+    rows = spark.range(2).select("id", F.concat(F.unhex(F.lit("FC4883E4F0E8")), F.encode(F.repeat(F.lit("x"), (10_485_753 + F.col("id")).cast("int")), "UTF-8")).alias("content"))
+    hits = signatures.scan_content(rows, ["id"], content="content").where("rule_id = 'Cobalt_Strike_Beacon_Artifacts'")
+    assert [r.id for r in hits.collect()] == [0]
+
+
 def test_user_signature(spark):
     own = [{"id": "own", "severity": "low", "strings": [("a1", "One", "i"), ("a2", "Two", ""), ("b", "C:\\x's", "")],
             "condition": "{2 of a*} and {1 of b}"}]
@@ -269,6 +275,27 @@ def test_one_scan_for_all_rules_without_python(spark, tmp_path):
     assert "analyst" not in plan and "task_content" in plan
 
 
+def test_gates_change_no_result(spark):
+    """The same rules with and without gates, null gate values included; a column named like a prepared one stays itself."""
+    rows = spark.createDataFrame(
+        [(1, 1, "A.EXE", "x"), (2, 1, "b.dll", "low"), (3, 2, "A.exe", None), (4, None, "a.exe", "x"), (5, 2, None, "x")],
+        "event_id int, code int, image string, _low0 string")
+    body = {"exe": ends("image", ".exe"), "a": contains("image", "A."), "low": contains("_low0", "LOW")}
+    plain = [Rule(f"{n}{code}", n, "low", all_of([f"(code = {code})", test])) for n, test in body.items() for code in (1, 2)]
+    gated = [Rule(r.rule_id, r.title, r.severity, r.predicate, gate=f"(code = {r.rule_id[-1]})") for r in plain]
+    got = [sorted((r.event_id, r.rule_id, r._low0) for r in scan(rows, rules, ["event_id", "_low0"]).collect()) for rules in (plain, gated)]
+    assert got[0] == got[1] == [(1, "a1", "x"), (1, "exe1", "x"), (2, "low1", "low"), (3, "a2", None), (3, "exe2", None)]
+    with pytest.raises(ValueError, match="at least one rule"):
+        scan(rows, [], ["event_id"])
+
+
+def test_policy_rules_scan_as_the_policy_collects(spark):
+    rows = table(spark, ev("s", 1, image="a.exe"), ev("s", 3, dst_port=4444), ev("s", 10, target_image="x\\LSASS.exe"), ev("s", 99))
+    hits = scan(rows, policy.policy_rules(rows.columns), ["event_id"]).collect()
+    kept = policy.collected(rows).collect()
+    assert sorted((r.event_id, r.rule_id) for r in hits) == sorted((r.event_id, r.collected_as) for r in kept) != []
+
+
 SELECTORS = {"sel_a": "a = 1", "sel_b": "b = 1", "other": "c = 1"}
 
 

@@ -19,7 +19,7 @@ snap AS (SELECT event_id, ts, 'host-' || user_id AS host, event_type, CAST(props
 proc AS (SELECT event_id, host, ts AS create_time, k AS pid, (k * 7) % 100 AS ppid,
   {pick_sql(NAMES, f'k % {len(NAMES)}')} AS name FROM snap),
 sock AS (SELECT event_id, host, k AS pid, '198.51.100.' || k || ':' ||
-  {pick_sql([443, 80, 4444, 8080, 22, 53, 9001], 'k % 7')} AS remote FROM snap WHERE event_type = 'click'),
+  {pick_sql([443, 80, 4444, 8080, 22, 53, 9001], 'k % 7')} AS remote FROM snap),
 sess AS (SELECT host, event_id FROM snap WHERE event_type = 'signup')"""
 
 
@@ -33,8 +33,7 @@ def snapshots(spark, d):
                        pick(NAMES, F.pmod("k", F.lit(len(NAMES)))).alias("name"))
     remote = F.concat(F.lit("198.51.100."), F.col("k").cast("string"), F.lit(":"),
                       pick([443, 80, 4444, 8080, 22, 53, 9001], F.pmod("k", F.lit(7))).cast("string"))
-    sock = snap.where(F.col("event_type") == "click").select(
-        "event_id", "host", F.col("k").alias("pid"), remote.alias("remote"))
+    sock = snap.select("event_id", "host", F.col("k").alias("pid"), remote.alias("remote"))
     sess = snap.where(F.col("event_type") == "signup").select("host", "event_id")
     return proc, sock, sess
 
@@ -54,12 +53,16 @@ SELECT host, score, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 40 THEN
     CASE WHEN bp > 0 THEN 'Suspicious processes running: ' || names END,
     CASE WHEN bs > 0 THEN 'Suspicious network connections: ' || bs END,
     CASE WHEN un > 3 THEN 'Multiple active sessions: ' || un || ' users logged in' END], lambda x: x IS NOT NULL), '|')
-  AS indicators, CAST(CASE WHEN score < 20 AND bs = 0 AND un <= 3 THEN 1 ELSE CASE WHEN score >= 20 THEN 1 ELSE 0 END
-    + CASE WHEN bs > 0 THEN 1 ELSE 0 END + CASE WHEN un > 3 THEN 1 ELSE 0 END END AS INTEGER) AS action_count FROM t"""))
+  AS indicators, array_to_string(CASE WHEN score < 20 AND bs = 0 AND un <= 3 THEN ['LOW: Continue normal monitoring cadence'] ELSE
+    list_filter([CASE WHEN score >= 70 THEN 'CRITICAL: Isolate host immediately, escalate to senior analyst'
+      WHEN score >= 40 THEN 'HIGH: Initiate containment procedures, notify IR lead'
+      WHEN score >= 20 THEN 'MEDIUM: Continue monitoring, gather additional artifacts' END,
+    CASE WHEN bs > 0 THEN 'Isolate host from network immediately' END,
+    CASE WHEN un > 3 THEN 'Investigate concurrent user sessions for unauthorized access' END], lambda x: x IS NOT NULL) END, '|') AS actions FROM t"""))
 def _(spark, d):
     r = hosts.host_risk(*snapshots(spark, d))
     return r.select("host", "score", "rating", F.array_join("indicators", "|").alias("indicators"),
-                    F.size("actions").alias("action_count"))
+                    F.array_join("actions", "|").alias("actions"))
 
 
 @query("host_risk_with_files", with_sql(SNAP_SQL, FILES_SQL, body="""

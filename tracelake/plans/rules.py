@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.content.alert_rules import ALERT_FIELDS, ALERT_RULES
 from tracelake.content.collection_policy import COLLECTION_POLICY, POLICY_FIELDS
-from tracelake.content.hunts import ENCODED_COMMAND, HYPOTHESES, LOLBINS
+from tracelake.content.hunts import ENCODED_COMMAND, HYPOTHESES
 from tracelake.operators import hunts, reports
 from tracelake.operators.ordered import count_within
 from tracelake.operators.timeline import conform, technique_name, technique_phases
@@ -14,15 +14,16 @@ from tracelake.plans.registry import query
 from tracelake.plans.text import DGA_SQL, dns_queries
 from tracelake.plans.views import EVENT_FIELDS, TELEMETRY_SQL, load, sql_text, telemetry, with_sql
 from tracelake.rules.alerts import alert_rule, frequency_hits, scan_alerts, shipped_alert_rules
-from tracelake.rules.policy import collected
+from tracelake.rules.policy import collected, policy_rules
 from tracelake.rules.predicates import catalogue, coverage, scan
 from tracelake.rules.sigma import Fields, shipped_sigma_rules, sigma_rule
 
 # ---- hunts ----------------------------------------------------------------
 
-LOLBIN_SQL = f"""
+LOLBIN_SQL = """
 SELECT event_id, host, 'HYP-001' AS rule_id, 'LOLBin abuse detected: ' || lower(image) || ' with suspicious cmdline'
-  AS description FROM telemetry, (SELECT unnest({LOLBINS}) AS name) n
+  AS description FROM telemetry, (SELECT unnest(['certutil.exe', 'mshta.exe', 'regsvr32.exe', 'rundll32.exe', 'wscript.exe', 'cscript.exe', 'msiexec.exe',
+  'installutil.exe', 'cmstp.exe', 'xwizard.exe', 'syncappvpublishingserver.exe', 'appsyncpublishingserver.exe', 'odbcconf.exe']) AS name) n
 WHERE contains(lower(image), name) AND (contains(lower(cmdline), 'http') OR contains(lower(cmdline), '\\temp\\')
   OR contains(lower(cmdline), 'base64'))"""
 BASE = "string_split(replace(lower(source_image), '\\', '/'), '/')[-1]"
@@ -142,8 +143,24 @@ ALERT_HITS = "hits AS (" + " UNION ALL ".join(_rule_sql(r) for r in ALERT_RULES)
 KEEP = ["event_id", "ts", "host"]
 
 
+# One rule of each kind of gate and condition, in full: these do not follow the shipped table when it changes.
+WRITTEN_OUT = {
+    "100002": """
+SELECT event_id, ts, host, '100002' AS rule_id, 14 AS level, 'T1003.001' AS mitre FROM telemetry WHERE channel = 'sysmon' AND event_code = 10
+  AND contains(lower(target_image), 'lsass.exe')
+  AND NOT regexp_matches(coalesce(lower(source_image), ''), 'svchost\\.exe|wininit\\.exe|csrss\\.exe|system|antimalware|msmpeng')""",
+    "100020": """
+SELECT event_id, ts, host, '100020' AS rule_id, 12 AS level, 'T1218.014' AS mitre FROM telemetry WHERE channel = 'sysmon'
+  AND contains(lower(image), 'certutil.exe') AND (contains(lower(cmdline), '-decode') OR contains(lower(cmdline), '-urlcache')
+  OR contains(lower(cmdline), '-encode') OR contains(lower(cmdline), 'http://') OR contains(lower(cmdline), 'https://'))""",
+    "100041": """
+SELECT event_id, ts, host, '100041' AS rule_id, 14 AS level, 'T1053.005' AS mitre FROM telemetry WHERE channel = 'windows'
+  AND event_code = 4698 AND (contains(lower(task_content), '\\temp\\') OR contains(lower(task_content), '\\appdata\\')
+  OR contains(lower(task_content), '\\public\\'))""",
+}
+
 for _row in ALERT_RULES:
-    query(f"alert_rule_{_row[0]}", with_sql(TELEMETRY_SQL, body=_rule_sql(_row)))(
+    query(f"alert_rule_{_row[0]}", with_sql(TELEMETRY_SQL, body=WRITTEN_OUT.get(_row[0]) or _rule_sql(_row)))(
         lambda spark, d, row=_row: scan(telemetry(spark, d), [alert_rule(*row)], KEEP).drop("title", "severity"))
 
 
@@ -308,6 +325,23 @@ def _policy_sql():
     return "CASE " + " ".join(cases) + " END"
 
 
+# Three kinds in full: includes of a number and of names, includes with excludes, excludes only.
+@query("collection_policy_written_out", with_sql(TELEMETRY_SQL, body="""
+SELECT event_id, 'NetworkConnect' AS rule_id FROM telemetry WHERE event_code = 3 AND (dst_port IN (4444, 1337, 31337, 8888, 9001, 9030)
+  OR regexp_matches(lower(image), '(powershell|cmd|mshta|wscript|cscript|regsvr32|rundll32|certutil|bitsadmin)\\.exe$'))
+UNION ALL SELECT event_id, 'ProcessAccess' FROM telemetry WHERE event_code = 10
+  AND regexp_matches(lower(target_image), '(lsass\\.exe|sam\\.exe|ntds\\.dit)$')
+  AND coalesce(lower(source_image), '') NOT IN ('c:\\windows\\system32\\wininit.exe', 'c:\\windows\\system32\\csrss.exe')
+  AND NOT contains(coalesce(lower(source_image), ''), 'msmpeng.exe')
+UNION ALL SELECT event_id, 'ProcessCreate' FROM telemetry WHERE event_code = 1 AND coalesce(lower(image), '') <> 'c:\\windows\\system32\\conhost.exe'
+  AND NOT ends_with(coalesce(lower(image), ''), 'svchost.exe')
+  AND NOT contains(coalesce(lower(cmdline), ''), 'c:\\windows\\system32\\dllhost.exe /processid')"""))
+def _(spark, d):
+    t = telemetry(spark, d)
+    kinds = [r for r in policy_rules(t.columns) if r.rule_id in ("NetworkConnect", "ProcessAccess", "ProcessCreate")]
+    return scan(t, kinds, ["event_id"]).select("event_id", "rule_id")
+
+
 @query("collection_policy", with_sql(TELEMETRY_SQL, body=f"""
 SELECT * FROM (SELECT event_id, {_policy_sql()} AS collected_as FROM telemetry) WHERE collected_as IS NOT NULL"""))
 def _(spark, d):

@@ -34,7 +34,7 @@ def alert_rule(rule_id, level, technique, title, source, conditions, groups="",
         if columns is not None and column not in columns:
             column = None
         tests.append(matches(column, pattern, negate=bool(flag)))
-    return Rule(rule_id, title, level_name(level), all_of([gate(source), *tests]), level, technique, groups)
+    return Rule(rule_id, title, level_name(level), all_of([gate(source), *tests]), level, technique, groups, gate(source))
 
 
 def shipped_alert_rules() -> list[Rule]:

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.content.collection_policy import COLLECTION_POLICY, POLICY_FIELDS
-from tracelake.rules.predicates import all_of, any_of, contains, ends, equals
+from tracelake.rules.predicates import Rule, all_of, any_of, contains, ends, equals
 
 TESTS = {"is": equals, "contains": contains, "end with": ends}
 
 
+def of_codes(codes) -> str:
+    return f"event_code in ({', '.join(str(c) for c in codes)})"
+
+
 def kept(codes, include, exclude, fields=None, columns=None) -> str:
     """Predicate of one event kind: any include, and no exclude."""
     fields = fields or POLICY_FIELDS
@@ -23,8 +27,7 @@ def kept(codes, include, exclude, fields=None, columns=None) -> str:
         column = fields.get(field)
         return TESTS[operator](column if columns is None or column in columns else None, value)
 
-    numbers = ", ".join(str(c) for c in codes)
-    parts = [f"event_code in ({numbers})"]
+    parts = [of_codes(codes)]
     if include:
         parts.append(any_of([test(*c) for c in include]))
     if exclude:
@@ -37,6 +40,13 @@ def policy_kinds(columns=None, policy=None, fields=None) -> dict[str, str]:
             for kind, body in (policy or COLLECTION_POLICY).items()}
 
 
+def policy_rules(columns=None, policy=None, fields=None) -> list[Rule]:
+    """The policy as rules of a scan, one per event kind."""
+    policy = policy or COLLECTION_POLICY
+    return [Rule(kind, kind, "info", predicate, gate=of_codes(policy[kind][0]))
+            for kind, predicate in policy_kinds(columns, policy, fields).items()]
+
+
 def collected(events: DataFrame, policy=None, fields=None) -> DataFrame:
     """Events the policy keeps, with the event kind that kept them."""
     chain = None
