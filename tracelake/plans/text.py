@@ -11,7 +11,7 @@ from tracelake.operators.hunts import generated_name_findings, generated_names,
 from tracelake.operators.normalize import bundle_observables, lookup_actions
 from tracelake.operators.ordered import first_per_group
 from tracelake.plans.registry import query
-from tracelake.plans.views import FILES_SQL, TAILS, _at, files, load, sql_text, with_sql
+from tracelake.plans.views import FILES_SQL, TAILS, _at, files, load, pick, pick_sql, sql_text, with_sql
 from tracelake.rules.signatures import scan_content, scan_summary
 from tracelake.sources import feeds
 
@@ -534,6 +534,92 @@ def _(spark, d):
     return scan_summary(f, scan_content(f, ["doc_id"], content="content"), "doc_id")
 
 
+# ---- signatures, every branch ---------------------------------------------
+
+# What the derived content holds, as (leading bytes, further bytes, strings); each once plain, once wide.
+BRANCHES = [
+    ("", "", ["sekurlsa::LogonPasswords"]), ("", "", ["privilege::debug"]), ("", "", ["-ENC "]), ("", "", ["IWR ", "iex("]),
+    ("", "", ["-EP bypass", "WebClient"]), ("", "", ["-ep bypass"]), ("", "", ["\\\\.\\pipe\\postex_"]), ("", "", ["\\\\.\\PIPE\\postex_"]),
+    ("", "", ["Mozilla/5.0 (compatible; MSIE 9.0; Windows NT 6.1; WOW64; Trident/5.0; BOIE9;ENWB)"]),
+    ("", "FC4883E4F0E8", []), ("", "0FC4883E4F0E80", []), ("", "", ["malleable c2"]), ("", "", ["MONERO", ".onion"]),
+    ("", "", ["CryptGenRandom", "CryptEncrypt"]), ("", "", ["pay the RANSOM"]), ("", "", ["__EventFilter", "__FilterToConsumerBinding"]),
+    ("", "", ["CommandLineEventConsumer", "select * FROM __InstanceModificationEvent"]), ("", "", ["CommandLineEventConsumer"]),
+    ("", "", ["set-wmiinstance", "__EventConsumer"]), ("", "", ["Set-WmiInstance"]),
+    ("4D5A", "", ["NtUnmapViewOfSection", "VirtualAllocEx"]), ("4D5A", "", [".vmp0"]), ("", "", [".vmp0"]), ("4D5A", "", ["CreateRemoteThread"]),
+    ("", "D0CF11E0A1B11AE1", ["Workbook_Open", "PowerShell"]), ("", "D0CF11E0A1B11AE1", ["auto_open", "Shell(", "https://"]),
+    ("", "D0CF11E0A1B11AE1", ["AutoOpen", "wscript.shell"]), ("", "D0CF11E0A1B11AE1", ["Document_Open", "Shell(", "HTTP://"]),
+    ("", "", ["Workbook_Open", "PowerShell"]),
+]
+
+
+def _branch_bytes(encoding: str) -> list[str]:
+    return [("01" + more + "01".join(["", *[v.encode(encoding).hex() for v in strings]])).upper() for _, more, strings in BRANCHES]
+
+
+BRANCH_HEADS = [head for head, _, _ in BRANCHES] * 2
+BRANCH_BYTES = _branch_bytes("latin-1") + _branch_bytes("utf-16-le")
+
+
+def held(*values: str, nocase: bool = True, wide: bool = True) -> str:
+    """SQL: whether h, hexadecimal bytes with a dot after each, holds one of the strings."""
+
+    def byte(letter: str) -> str:
+        digits = f"{ord(letter):02X}"
+        if not nocase or not letter.isalpha():
+            return digits
+        return {"4": "[46]", "6": "[46]", "5": "[57]", "7": "[57]"}[digits[0]] + digits[1]
+
+    forms = [["", r"00\."][: 1 + wide], values]
+    return "regexp_matches(h, '" + "|".join("".join(byte(c) + r"\." + gap for c in v) for gap in forms[0] for v in forms[1]) + "')"
+
+
+def _case(*values: str) -> str:
+    return held(*values, nocase=False)
+
+
+def _number(*tests: str) -> str:
+    return " + ".join(f"CAST({t} AS INT)" for t in tests)
+
+
+_plain = lambda *values: held(*values, nocase=False, wide=False)
+_loads = held("DownloadString", "DownloadFile", "Invoke-WebRequest", "IWR ", "WebClient")
+_note = held("Your files have been encrypted", "All your files are encrypted", "Your personal files are encrypted", "RESTORE_FILES", "HOW_TO_DECRYPT",
+             "README_FOR_DECRYPT", "pay the ransom")
+_wmi = [_case(v) for v in ("__EventFilter", "__EventConsumer", "__FilterToConsumerBinding")]
+_consumers, _instance = _case("ActiveScriptEventConsumer", "CommandLineEventConsumer"), held("Select * from __InstanceModificationEvent")
+_injects = [_plain(v) for v in ("VirtualAllocEx", "WriteProcessMemory", "CreateRemoteThread", "NtUnmapViewOfSection")]
+_address = _case("http://", "https://")
+# Every branch of every shipped signature, in full.
+BRANCH_SQL = {
+    "Mimikatz_Strings": held("sekurlsa::logonpasswords", "sekurlsa::wdigest", "lsadump::sam", "lsadump::dcsync", "privilege::debug", "kerberos::golden",
+                             "crypto::capi", "mimikatz", "mimidrv"),
+    "PowerShell_Encoded_Download": f"""{held("-EncodedCommand", "-enc ", "-e ")} OR ({_loads} AND {held("Invoke-Expression", "IEX(")})
+      OR ({held("-ExecutionPolicy Bypass", "-ep bypass")} AND {_loads})""",
+    "Cobalt_Strike_Beacon_Artifacts": f"""{_case("\\\\.\\pipe\\msagent_", "\\\\.\\pipe\\status_", "\\\\.\\pipe\\postex_")} OR {held("beacon.dll", "beacon.x64.dll", "Malleable C2")}
+      OR {_case("Mozilla/5.0 (compatible; MSIE 9.0; Windows NT 6.1; WOW64; Trident/5.0; BOIE9;ENWB)")}
+      OR (contains(h, 'FC.48.83.E4.F0.E8.') AND octet_length(content) < 10485760)""",
+    "Ransomware_Common_Strings": f"""{_note} OR ({held("bitcoin", "monero")} AND {held(".onion")})
+      OR ({_case("CryptGenRandom")} AND {_case("CryptEncrypt")} AND {_note})""",
+    "WMI_Persistence": f"""{_number(*_wmi)} >= 2 OR ({_consumers} AND {_instance})
+      OR ({held("Set-WmiInstance")} AND ({" OR ".join(_wmi)} OR {_consumers} OR {_instance}))""",
+    "Suspicious_PE_Characteristics": f"""starts_with(h, '4D.5A.') AND ({_plain("UPX!", "UPX0", "MPRESS1", ".vmp0", "ASPack")} OR {_number(*_injects)} >= 2)""",
+    "Office_Macro_Dropper": f"""contains(h, 'D0.CF.11.E0.A1.B1.1A.E1.') AND {held("Auto_Open", "AutoOpen", "Document_Open", "Workbook_Open")}
+      AND ({held("powershell")} OR ({held("Shell(")} AND {_address}) OR ({held("WScript.Shell")} AND {_address}))""",
+}
+
+
+@query("signature_branches", f"""
+WITH c AS (SELECT doc_id, from_hex({pick_sql(BRANCH_HEADS, f"n_chars % {len(BRANCH_HEADS)}")}) || encode(text)
+  || from_hex({pick_sql(BRANCH_BYTES, f"n_chars % {len(BRANCH_BYTES)}")}) AS content FROM documents),
+b AS MATERIALIZED (SELECT doc_id, content, regexp_replace(hex(content), '(..)', '\\1.', 'g') AS h FROM c)
+""" + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS rule_id FROM b WHERE {test}" for name, test in BRANCH_SQL.items()))
+def _(spark, d):
+    """Whole texts with bytes that reach, or just miss, each branch of the shipped signatures."""
+    n = F.pmod("n_chars", F.lit(len(BRANCH_BYTES)))
+    content = F.concat(F.unhex(pick(BRANCH_HEADS, n)), F.encode("text", "UTF-8"), F.unhex(pick(BRANCH_BYTES, n)))
+    return scan_content(load(spark, d, "documents").select("doc_id", content.alias("content")), ["doc_id"], content="content").select("doc_id", "rule_id")
+
+
 USER_SIGNATURES = [
     {"id": "license_text", "severity": "low", "strings": [("a", "MIT License", ""), ("b", "Apache License", "i")],
      "condition": "{1 of a,b}"},
