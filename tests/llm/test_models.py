@@ -33,6 +33,49 @@ def test_prior_of_mixtures():
         assert abs(quality.estimated_prior(rng.normal(2, 1, 5000), unlabelled) - share) < 0.08
 
 
+def plain_risk(theta, p, u, prior):
+    """(risk that is descended, whether its bracket is negative): logistic losses, summed as the definition has them."""
+    gp, gu = p @ theta[:-1] + theta[-1], u @ theta[:-1] + theta[-1]
+    negative = np.log1p(np.exp(gu)).mean() - prior * np.log1p(np.exp(gp)).mean()
+    return (prior * np.log1p(np.exp(-gp)).mean() + negative, False) if negative >= 0 else (-negative, True)
+
+
+def plain_fit(risk, size, fit):
+    """The same descent on slopes by differences."""
+    theta, m, v, h = np.zeros(size), np.zeros(size), np.zeros(size), 1e-5
+    for step in range(1, fit.steps + 1):
+        slope = np.array([(risk(theta + h * e) - risk(theta - h * e)) / (2 * h) for e in np.eye(size)])
+        slope[:-1] += fit.decay * theta[:-1]
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        theta = theta - fit.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return theta
+
+
+@pytest.mark.parametrize("shift, turns", [(0.3, True), (3.0, False)])
+def test_fit_descends_the_non_negative_risk(shift, turns):
+    """Against the definition; with positives that hardly differ a few rows are learned by heart, the bracket falls below zero and the descent turns."""
+    rng = np.random.default_rng(5)
+    size, fit = len(quality.NAMES), quality.Fit(steps=60)
+    unlabelled = rng.normal(size=(40, size))
+    unlabelled[:24] += shift
+    positive = rng.normal(size=(30, size)) + shift
+    scorer = quality.fit_scorer(positive, unlabelled, fit)
+    centre, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
+    p, u = np.clip((positive - centre) / scale, -8, 8), np.clip((unlabelled - centre) / scale, -8, 8)
+    first = plain_fit(lambda t: 0.5 * (np.log1p(np.exp(-(p @ t[:-1] + t[-1]))).mean() + np.log1p(np.exp(u @ t[:-1] + t[-1])).mean()), size + 1, fit)
+    prior = quality.estimated_prior(p @ first[:-1] + first[-1], u @ first[:-1] + first[-1])
+    turned = []
+
+    def risk(theta):
+        value, below = plain_risk(theta, p, u, prior)
+        turned.append(below)
+        return value
+
+    last = plain_fit(risk, size + 1, fit)
+    assert any(turned) == turns and not all(turned)
+    assert scorer.prior == pytest.approx(prior) and np.allclose([*scorer.weights, scorer.bias], last, atol=1e-4)
+
+
 def test_scores_of_odd_documents(spark, edge, empty):
     labels = spark.createDataFrame([(1, 1), (3, 1), (3, 0), (8, None), (10, 1), (None, 1)], "doc_id long, quality int")
     scorer = quality.train(edge, labels)

@@ -1,14 +1,17 @@
 """Sharding, mixing and URL judgements against brute force."""
 
+import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tracelake.llm import mixing, sharding, url_filter
+from tracelake.llm import mixing, queries, sharding, url_filter
 from tracelake.llm.queries import URL_RULES
 
 
@@ -138,6 +141,65 @@ URLS = [
 ]
 
 
+def ring_walk(rows, shards, nodes):
+    """Every row by itself: (doc_id, text) rows ask shard after shard clockwise, those nearer the start of the ring first."""
+    cells = sharding.ring(shards, nodes)
+    capacity = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    keyed = []
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        name = hashlib.md5(data).hexdigest() if doc_id is None else str(doc_id)
+        keyed.append((xxhash.xxh64_intdigest(name.encode(), seed=42), (doc_id is not None, doc_id or 0), len(data) + 1, zlib.crc32(data), doc_id))
+    waiting, held, placed = sorted(keyed, key=lambda k: k[:4]), [0] * shards, []
+    for turn in range(shards):
+        left = []
+        for key in waiting:
+            met, at = [], key[0] >> (64 - sharding.CELL_BITS)
+            while len(met) <= turn:
+                if cells[at] is not None and cells[at] not in met:
+                    met.append(cells[at])
+                at = (at + 1) % sharding.CELLS
+            if held[met[-1]] < capacity[met[-1]]:
+                placed.append((key[4], key[2], key[3], met[-1], held[met[-1]]))
+                held[met[-1]] += 1
+            else:
+                left.append(key)
+        waiting = left
+    assert not waiting
+    return placed
+
+
+@pytest.mark.parametrize("shards, nodes", [(8, 64), (3, 2)])
+def test_sharded_as_a_walk_of_every_row(spark, edge, shards, nodes):
+    """Few nodes overflow much; a third of the rows share one id and text."""
+    more = spark.range(600).selectExpr("CASE WHEN id % 3 = 0 THEN 7000 ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE repeat('y', CAST(id % 9 AS INT)) END AS text")
+    docs = edge.select("doc_id", "text").union(more)
+    rows = [tuple(r) for r in docs.collect()]
+    assert Counter(map(tuple, sharding.sharded(docs, shards, nodes).collect())) == Counter(ring_walk(rows, shards, nodes))
+
+
+def test_oracle_knows_the_long_suffixes(spark, tmp_path):
+    """Hosts below co.uk and beside it: the query and its SQL shrink towards the same domains and suffixes."""
+    duckdb = pytest.importorskip("duckdb")
+    hosts = ["a.one.co.uk", "b.one.co.uk", "two.co.uk", "co.uk", "uk", "a.b.c.net", "b.c.net", "x.com.au", "", "example.org", "y.x.com.au"]
+    pages = [(i, None if not h else f"http://{h.upper() if i % 2 else h}/en/{i}?q") for i, h in enumerate(hosts * 12)]
+    labels = [(i, int((i * 7) % 5 > 1 and "one" not in (u or "")), int(i % 13 == 0), "x") for i, u in pages if i % 4]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int, topic string").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op7_url_reputation(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(queries.OP7_SQL).df()
+    assert len(got) == len(want) == len(pages)
+    both = got.merge(want, on="page_id", suffixes=("", "_sql"))
+    for column in ("host", "path", "rule", "verdict"):
+        assert (both[column].fillna("-") == both[column + "_sql"].fillna("-")).all()
+    assert np.allclose(both["bad_rate"], both["bad_rate_sql"]) and np.allclose(both["bad_bound"], both["bad_bound_sql"])
+    levels = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *[c.alias(n) for c, n in zip(url_filter.host_levels(F.col("host")), ("s", "d"), strict=True)])
+    assert {tuple(r) for r in levels.collect()} >= {("a.one.co.uk", "co.uk", "one.co.uk"), ("y.x.com.au", "com.au", "x.com.au"), ("a.b.c.net", "net", "c.net")}
+
+
 def brute_rule(host, path):
     best = None
     for rule in URL_RULES:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import ann, chat, exact_dedup, html_text, mixing, packing, quality, sharding, simhash, token_files, url_filter, vector_codes, whitening
 from tracelake.llm.common import read
-from tracelake.llm.url_filter import UrlRule
+from tracelake.llm.url_filter import LONG_SUFFIXES, UrlRule
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,7 +87,9 @@ OP7_SQL = f"""
 WITH urls AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host,
                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM urls),
-levels AS (SELECT *, regexp_extract(host, '[^.]*$', 0) AS suffix, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) AS domain FROM parts),
+ends AS (SELECT *, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) AS two, regexp_extract(host, '([^.]*[.])?([^.]*[.])?[^.]*$', 0) AS three FROM parts),
+levels AS (SELECT page_id, host, path, CASE WHEN two IN {LONG_SUFFIXES} THEN two ELSE regexp_extract(host, '[^.]*$', 0) END AS suffix,
+                  CASE WHEN two IN {LONG_SUFFIXES} THEN three ELSE two END AS domain FROM ends),
 labelled AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum((quality = 0 OR toxic = 1)::INT)::DOUBLE AS k
              FROM levels JOIN labels ON page_id = doc_id WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY ALL),
 overall AS (SELECT coalesce(sum(k) / sum(n), 0) AS p FROM labelled),
