@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat, vector_codes, whitening
+from tracelake.llm import ann, chat, vector_codes, whitening
 
 SF = "/root/testdata/sf0.01"
 NAN, INF = float("nan"), float("inf")
@@ -217,3 +217,19 @@ def test_whitening_of_odd_vectors(spark):
     wide = spark.createDataFrame([(i, [float(i << 33), 1.0]) for i in range(7)], "vec_id long, embedding array<double>")
     got = {r.vec_id: int(r.deviation) for r in whitening.whitened(wide).filter("component = 1").collect()}
     assert got == {i: (7 * (i << 43) - (21 << 43)) ** 2 for i in range(7)}
+
+
+def test_neighbours_of_queries_apart_from_the_rows(spark):
+    """Queries far from all clusters, a common part of all rows, and one very long row: the codes of a sample say little of such queries."""
+    rng = np.random.default_rng(1)
+    x = 0.05 * rng.normal(size=(4000, 64)) + rng.normal(size=(50, 64))[rng.integers(0, 50, 4000)]
+    x[::20] = 2 * rng.normal(size=(200, 64))
+    for vectors in (x, x + 3 * (np.arange(4000) % 20 > 0)[:, None], np.where(np.arange(4000)[:, None] == 5, 1e4 * x, x)):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+        near = vectors[::20] @ vectors.T
+        near[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+        want = {20 * q: set(np.argsort(-s, kind="stable")[:20].tolist()) for q, s in enumerate(near)}
+        got = {}
+        for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20, sample=1_000, block_rows=2_000).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert np.mean([len(got[q] & want[q]) / 20 for q in want]) > 0.95
