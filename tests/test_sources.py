@@ -267,3 +267,32 @@ def test_reputation_reports(spark, write):
 def test_levels(spark, level, expect):
     df = spark.createDataFrame([(level,)], "l int")
     assert df.select(normalize.level_severity("l")).first()[0] == expect
+
+
+def test_packed_documents_read_like_files(spark, tmp_path):
+    """Readers give the same rows for a file per document and for documents packed many to a file: objects, arrays, cut and empty ones."""
+    from tracelake.sinks.writers import packed_files, text_files
+
+    def both(name, documents, read):
+        rows = spark.createDataFrame(documents, "name string, text string").repartition(2)
+        text_files(rows, str(tmp_path / name)).count()
+        packed_files(rows, str(tmp_path / f"{name}-packed"))
+        one, many = read(str(tmp_path / name), False), read(str(tmp_path / f"{name}-packed"), True)
+        assert one.columns == many.columns and sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+        return many
+
+    cuckoo = [("r1.json", '{"info": {"score": 7.5},\n "behavior": {"processes": [{"process_name": "p", "calls": [{"api": "a"}, {"api": "b"}]}]}}'),
+              ("r2.x.json", '[{"info": {"score": 1}}, {"target": null}]'), ("r3.json", '{"info": {"score": 7'), ("r4.json", ""), ("r5.json", "[]")]
+    assert both("sandbox", cuckoo, lambda p, packed: fl.read_sandbox(spark, p, "cuckoo", packed)).count() == 4
+    assert both("calls", cuckoo, lambda p, packed: fl.read_sandbox_calls(spark, p, packed)).count() == 2
+    registry = [(f"{i}.json", json.dumps({"case_id": f"C{i}", "evidence_items": [{"evidence_id": f"E{i}", "custody_log": [{"actor": "é"}]}] * i})) for i in range(3)]
+    assert both("registry", registry, lambda p, packed: fl.read_evidence(spark, p, packed)).count() == 3
+    cases = [(f"{i}.json", json.dumps({"incident_id": f"I{i}", "tasks": [{"task_id": "a"}, {"task_id": "b"}]})) for i in range(3)]
+    assert both("cases", cases, lambda p, packed: fl.read_cases(spark, p, packed)["tasks"]).count() == 6
+    hosts = [(f"h{i}/processes.json", '[{"pid": 1, "name": "x"}, {"pid": 2}]') for i in range(3)]
+    assert both("hosts", hosts, lambda p, packed: fl.read_host_json(spark, p if packed else p + "/*", "pid int, name string", packed=packed)).count() == 6
+    bundle = [(f"c/pc{i}/01_processes.csv", 'PID,Process Name\r\n1,"a, ""b"""\n\n2,\n3,"",more\n4\n') for i in range(2)]
+    bundle += [("c/pc9/05_services.csv", "x,y\n1,2\n"), ("c/pc8/01_processes.csv", "PID,Process Name\n"), ("c/pc7/01_processes.csv", "")]
+    assert both("bundle", bundle, lambda p, packed: fl.read_bundle(spark, p, "processes", packed)).count() == 8
+    malformed = both("malformed", bundle, lambda p, packed: fl.read_host_csv(spark, p if packed else f"{p}/*/*/01_processes.csv", True, "01_processes.csv" if packed else None))
+    assert malformed.count() == 4

@@ -98,6 +98,16 @@ def text_files(rows: DataFrame, root: str, name: str = "name", text: str = "text
     return rows.select(F.col(name).alias("name"), F.col(text).alias("text")).mapInArrow(write, "name string, bytes long")
 
 
+def packed_files(rows: DataFrame, root: str, name: str = "name", text: str = "text", mode: str = "error") -> None:
+    """The same documents, many to a file: Parquet rows (name, text) below root.
+
+    For documents without bound in number: whoever lists a folder of a file each holds all their names at once, and opens every
+    file. The readers of such documents take either form (packed=True).
+    """
+    rows.select(F.col(name).alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text")) \
+        .write.mode(mode).option("compression", "zstd").parquet(root)
+
+
 def json_table(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Append-only JSON log: scan results, evidence registry, cases, actions."""
     rows.write.mode(mode).json(path)

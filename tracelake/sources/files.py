@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import cut
 from pyspark.sql import types as T
 
+# ---- documents: a file each, or many to a file ------------------------------
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """Documents (name, text) that sinks.writers.packed_files wrote."""
+    return spark.read.schema("name string, text string").parquet(path)
+
+
+def json_documents(spark: SparkSession, path: str, schema: str, packed: bool = False) -> DataFrame:
+    """Rows of JSON documents (an object or an array each) with _file, the path of their document.
+
+    One that is no JSON gives a row of NULLs, an empty one none, in either form.
+    """
+    if not packed:
+        return spark.read.option("multiLine", True).schema(schema).json(path).withColumn("_file", F.col("_metadata.file_path"))
+    nothing = F.array(F.lit(None).cast(f"struct<{schema}>"))
+    items = F.coalesce(F.from_json("text", f"array<struct<{schema}>>"), nothing)
+    rows = read_packed(spark, path).where(F.trim("text") != "")
+    return rows.select(F.explode(items).alias("item"), F.col("name").alias("_file")).select("item.*", "_file")
+
+
+def _stem(file: str) -> Column:
+    """The file name without its suffix."""
+    return F.regexp_replace(F.regexp_extract(file, "[^/]*$", 0), r"\.[^.]*$", "")
+
+
 # ---- SRC-14: decoded packets ----------------------------------------------
 
 PACKET_LAYERS = [
@@ -74,30 +99,48 @@ EVIDENCE_ITEM = (
     "tags:array<string>,notes:string>")
 
 
-def read_evidence(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("multiLine", True).schema(
-        f"case_id string, analyst string, generated string, evidence_items array<{EVIDENCE_ITEM}>").json(path)
+def read_evidence(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    raw = json_documents(spark, path, f"case_id string, analyst string, generated string, evidence_items array<{EVIDENCE_ITEM}>", packed)
     return raw.select(F.explode("evidence_items").alias("e")).select("e.*")
 
 
 # ---- SRC-18, 19, 21, 22: host bundles -------------------------------------
 
-def read_host_json(spark: SparkSession, path: str, schema: str, host_level: bool = True) -> DataFrame:
+def read_host_json(spark: SparkSession, path: str, schema: str, host_level: bool = True, packed: bool = False) -> DataFrame:
     """Collector JSON (an array per file); host is the folder of the file."""
-    rows = spark.read.option("multiLine", True).schema(schema).json(path)
+    rows = json_documents(spark, path, schema, packed)
     if host_level:
-        rows = rows.withColumn("host", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
-    return rows
+        rows = rows.withColumn("host", F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1))
+    return rows.drop("_file")
+
+
+def _packed_csv(documents: DataFrame, drop_malformed: bool) -> DataFrame:
+    """Rows of CSV documents (name, text) with _file. As with files, the first document names the columns and each one's first line is its header."""
+    spark = documents.sparkSession
+    lines = F.filter(F.split("text", "\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    first = documents.select(F.get(lines, 0).alias("line")).where(F.col("line").isNotNull()).first()
+    header = spark.read.option("header", True).option("escape", '"').csv(spark.sparkContext.parallelize([first["line"]] if first else [], 1)).columns
+    schema = ", ".join(f"`{h.replace('`', '``')}` string" for h in [*header, *(["_corrupt"] if drop_malformed else [])])
+    options = {"escape": '"', "columnNameOfCorruptRecord": "_corrupt"}
+    rows = documents.select(F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line"), F.col("name").alias("_file"))
+    rows = rows.select(F.from_csv("line", schema, options).alias("row"), "_file").select("row.*", "_file")
+    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt") if drop_malformed else rows
 
 
-def read_host_csv(spark: SparkSession, path: str, drop_malformed: bool = False) -> DataFrame:
-    """Collector CSV with host and case_id taken from the folders .../case/host/file."""
-    rows = spark.read.option("header", True).option("escape", '"') \
-        .option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE").csv(path)
-    file = F.col("_metadata.file_path")
+def read_host_csv(spark: SparkSession, path: str, drop_malformed: bool = False, packed: str | None = None) -> DataFrame:
+    """Collector CSV with host and case_id taken from the folders .../case/host/file.
+
+    packed: path holds packed documents, of which those with this file name below case/host are read.
+    """
+    if packed is not None:
+        rows = _packed_csv(read_packed(spark, path).where(F.regexp_like("name", F.lit("^[^/]+/[^/]+/[^/]+$")) & F.endswith("name", F.lit(f"/{packed}"))), drop_malformed)
+    else:
+        rows = spark.read.option("header", True).option("escape", '"') \
+            .option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE").csv(path).withColumn("_file", F.col("_metadata.file_path"))
+    file = F.col("_file")
     return rows.withColumns({
         "host": F.regexp_extract(file, r"([^/]+)/[^/]+$", 1),
-        "case_id": F.regexp_extract(file, r"([^/]+)/[^/]+/[^/]+$", 1)})
+        "case_id": F.regexp_extract(file, r"([^/]+)/[^/]+/[^/]+$", 1)}).drop("_file")
 
 
 def read_tasks_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -119,8 +162,10 @@ BUNDLE = {
 }
 
 
-def read_bundle(spark: SparkSession, root: str, artifact: str) -> DataFrame:
+def read_bundle(spark: SparkSession, root: str, artifact: str, packed: bool = False) -> DataFrame:
     """One artifact of the triage bundles below root/case/host/."""
+    if packed:
+        return read_host_csv(spark, root, packed=BUNDLE[artifact])
     return read_host_csv(spark, f"{root}/*/*/{BUNDLE[artifact]}")
 
 
@@ -151,11 +196,10 @@ ANYRUN_SCHEMA = (
 SERVICE_SCHEMA = "data struct<attributes:struct<sha256:string,date:string,stats:map<string,bigint>>>"
 
 
-def read_sandbox(spark: SparkSession, path: str, dialect: str) -> DataFrame:
+def read_sandbox(spark: SparkSession, path: str, dialect: str, packed: bool = False) -> DataFrame:
     """Sandbox reports of one dialect in the common shape; the report id is the file name."""
     schema = {"cuckoo": CUCKOO_SCHEMA, "anyrun": ANYRUN_SCHEMA, "service": SERVICE_SCHEMA}[dialect]
-    raw = spark.read.option("multiLine", True).schema(schema).json(path)
-    raw = raw.withColumn("report_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+    raw = json_documents(spark, path, schema, packed).withColumn("report_id", _stem("_file"))
     null = lambda t: F.lit(None).cast(t)
     strings = "array<string>"
     if dialect == "cuckoo":
@@ -190,10 +234,8 @@ def sandbox_calls(raw_reports: DataFrame, detail_width: int | None = None) -> Da
         F.coalesce("c.time", F.lit("")).alias("timestamp"))
 
 
-def read_sandbox_calls(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("multiLine", True).schema(CUCKOO_SCHEMA).json(path)
-    return sandbox_calls(raw.withColumn(
-        "report_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")))
+def read_sandbox_calls(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    return sandbox_calls(json_documents(spark, path, CUCKOO_SCHEMA, packed).withColumn("report_id", _stem("_file")))
 
 
 # ---- SRC-24: reputation reports -------------------------------------------
@@ -226,10 +268,9 @@ CASE_SCHEMA = (
     "timeline_events array<struct<timestamp:string,event:string,actor:string,phase:string>>")
 
 
-def read_cases(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_cases(spark: SparkSession, path: str, packed: bool = False) -> dict[str, DataFrame]:
     """Case files as tables: cases, tasks, notes, log, indicators and systems."""
-    raw = spark.read.option("multiLine", True).schema(CASE_SCHEMA).json(path)
-    raw = raw.withColumnRenamed("incident_id", "case_id")
+    raw = json_documents(spark, path, CASE_SCHEMA, packed).drop("_file").withColumnRenamed("incident_id", "case_id")
     part = lambda c: raw.select("case_id", F.explode(c).alias("x"))
     value = lambda c, n: part(c).select("case_id", F.col("x").alias(n)).distinct()
     numbered = raw.select("case_id", F.posexplode("tasks").alias("n", "x"))
