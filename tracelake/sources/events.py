@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.content import messages
 from tracelake.content.lookups import WINDOWS_AUTH_IDS, WINDOWS_PROCESS_IDS
+from tracelake.functions.binding import let
 from tracelake.functions.text import cut, filled
 from tracelake.functions.times import log_time, timeline_time
 from tracelake.operators.normalize import level_severity, telemetry_category, telemetry_description
@@ -224,11 +225,12 @@ def read_logs(spark: SparkSession, path: str, year: int | None = None) -> DataFr
 def read_event_blocks(spark: SparkSession, path: str, marker: str = "Event[") -> DataFrame:
     """Records that start at the marker, as a map of 'key: value' lines (cut at the first colon)."""
     blocks = spark.read.option("lineSep", marker).text(path)
+    lines, is_pair = F.split("value", r"\r?\n"), lambda s: F.contains(s, F.lit(":")) & ~s.rlike(r"^\d+\]")
     pairs = F.transform(
-        F.filter(F.split("value", r"\r?\n"), lambda s: F.contains(s, F.lit(":")) & ~s.rlike(r"^\d+\]")),
+        F.filter(lines, is_pair),
         lambda s: F.struct(F.trim(F.split_part(s, F.lit(":"), F.lit(1))).alias("key"),
                            F.trim(F.regexp_replace(s, r"^[^:]*:", "")).alias("value")))
-    # The last value of a repeated key wins.
-    unique = F.filter(pairs, lambda p, i: ~F.exists(
-        F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return blocks.select(F.map_from_entries(unique).alias("fields")).where(F.size("fields") > 0)
+    # The last value of a repeated key wins. The pairs are bound: the lambda would make all of them again for each.
+    unique = let(pairs, lambda made: F.filter(made, lambda p, i: ~F.exists(
+        F.slice(made, i + 2, F.size(made)), lambda q: q["key"] == p["key"])))
+    return blocks.where(F.exists(lines, is_pair)).select(F.map_from_entries(unique).alias("fields"))
