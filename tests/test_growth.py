@@ -1,7 +1,11 @@
 """Plans and files that must not grow faster than their tables."""
 
+import json
+
 from pyspark.sql import functions as F
 
+from tracelake.functions import tokens as tk
+from tracelake.functions.text import event_leaf_rows, event_leaves
 from tracelake.operators.matching import match_valid
 from tracelake.plans import streams
 from tracelake.sources.events import read_event_blocks
@@ -22,6 +26,29 @@ def test_valid_tokens_are_made_and_joined_once(spark):
     assert {r.value: r["count"] for r in got.groupBy("value").count().collect()} == {"v0": 40, "v1": 40, "v3": 40}
 
 
+ODD = [
+    {"a": {"b": "Evil.Example.ORG", "c": [1, [2, {"d": "CVE-2024-12345"}], None, {}, []]}, "k.example.net": {"x": True, "y-1": [None]}, "": "", "t": "line\nnext.example.com"},
+    {"k.example.net": None, "a" * 32: {"e": {"f": "line\nlast.example.com"}}}, ["203.0.113.9", {"mail": "A@b.example.org"}], "plain", 5.5, None, {}, [], [[[[1.5]]]],
+    {"m": "A" * 32 + " " + "b" * 40, "s": "C" * 64 + "." + "d" * 33, "n": "x" * 64 + ".com a.b.c1 -a.de HTTP://Q.org/%20?"},
+]
+
+
+def test_leaves_and_tokens_of_events_are_compiled(spark):
+    df = spark.createDataFrame([(i, json.dumps(e)) for i, e in enumerate(ODD)] + [(99, "no json"), (100, None)], "id int, j string")
+    df = df.select("id", F.try_parse_json("j").alias("e"))
+    plan = plan_of(tk.event_path_tokens(df, "e", ["id"]))
+    assert "lambda" not in plan and plan.count("parseJson") <= 1
+    for levels in (1, 2, 8):
+        rows = event_leaf_rows(df, "e", ["id"], levels)
+        want = df.select("id", F.explode(event_leaves("e", levels)).alias("l")).select("id", "l.path", "l.text")
+        assert rows.columns == want.columns and sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect()))
+    low = want.withColumn("text", F.lower("text"))
+    kinds = {"ip": tk.EVENT_IP, "domain": tk.EVENT_DOMAIN, "hash_sha256": tk.EVENT_SHA256, "url": tk.URL, "email": tk.EMAIL, "cve": tk.CVE, "hash_md5": tk.MD5, "hash_sha1": tk.SHA1}
+    found = [(r.id, r.path, k, v) for k, p in kinds.items() for r in low.select("id", "path", F.array_distinct(tk.find_all("text", p)).alias("v")).collect() for v in r.v]
+    got = sorted(map(tuple, tk.event_path_tokens(df, "e", ["id"]).collect()))
+    assert got == sorted(found) and set(kinds) == {k for _, _, k, _ in got}
+
+
 def test_pairs_of_a_block_are_made_once(spark, write):
     got = read_event_blocks(spark, write("blocks.txt", "Event[1]:\n A: 1\n A: 2: x\nnothing\nEvent[2]:\nnothing\nEvent[3]:\nB: \n"))
     assert plan_of(got).count("split_part(") <= 1
