@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import tokens as tk
 from tracelake.functions.text import event_leaf_rows, event_leaves
-from tracelake.operators.matching import match_valid
+from tracelake.operators.matching import feed_side, match_event_paths, match_valid
 from tracelake.plans import streams
 from tracelake.sources.events import read_event_blocks
 from tracelake.streaming import feeds as st
@@ -49,6 +49,16 @@ def test_leaves_and_tokens_of_events_are_compiled(spark):
     assert got == sorted(found) and set(kinds) == {k for _, _, k, _ in got}
 
 
+def test_tokens_of_events_do_not_move_to_a_small_feed(spark):
+    events = spark.range(50).select("id", F.parse_json(F.concat(F.lit('{"h":"h'), F.col("id"), F.lit('.example.com"}'))).alias("e"))
+    feed = spark.range(20_000).select(F.lit("domain").alias("ioc_type"), F.concat(F.lit("h"), F.col("id") * 2, F.lit(".example.com")).alias("value"))
+    got = match_event_paths(events, "e", ["id"], feed)
+    assert "BuildRight" in got._jdf.queryExecution().executedPlan().toString() and sorted(r.id for r in got.collect()) == list(range(0, 50, 2))
+    tokens = spark.range(5).select(F.lit("domain").alias("ioc_type"), F.concat(F.lit("h"), F.col("id"), F.lit(".example.com")).alias("value"))
+    merged = tokens.join(feed_side(feed, 100), ["ioc_type", "value"])
+    assert "SortMergeJoin" in merged._jdf.queryExecution().executedPlan().toString() and merged.count() == 3
+
+
 def test_pairs_of_a_block_are_made_once(spark, write):
     got = read_event_blocks(spark, write("blocks.txt", "Event[1]:\n A: 1\n A: 2: x\nnothing\nEvent[2]:\nnothing\nEvent[3]:\nB: \n"))
     assert plan_of(got).count("split_part(") <= 1
