@@ -59,6 +59,15 @@ def test_tokens_of_events_do_not_move_to_a_small_feed(spark):
     assert "SortMergeJoin" in merged._jdf.queryExecution().executedPlan().toString() and merged.count() == 3
 
 
+def test_valid_tokens_are_never_copied_to_the_driver(spark):
+    day = "timestamp_ntz '2024-01-0{}'"
+    tokens = spark.range(50).selectExpr("id", "'ip' AS ioc_type", "concat('v', id) AS value", f"{day.format(2)} AS ts")
+    feed = spark.range(20_000).selectExpr("'ip' AS ioc_type", "concat('v', id * 2) AS value", f"{day.format(1)} AS first_seen", f"IF(id % 2 = 0, NULL, {day.format(3)}) AS expires")
+    got = match_valid(tokens, feed)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and sorted(r.id for r in got.collect()) == list(range(0, 50, 2))
+
+
 def test_pairs_of_a_block_are_made_once(spark, write):
     got = read_event_blocks(spark, write("blocks.txt", "Event[1]:\n A: 1\n A: 2: x\nnothing\nEvent[2]:\nnothing\nEvent[3]:\nB: \n"))
     assert plan_of(got).count("split_part(") <= 1
