@@ -1,6 +1,7 @@
 """Plans and files that must not grow faster than their tables."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -49,6 +50,22 @@ def test_leaves_and_tokens_of_events_are_compiled(spark):
     assert got == sorted(found) and set(kinds) == {k for _, _, k, _ in got}
 
 
+def test_patterns_of_lowered_texts_find_the_same_in_one_pass(spark):
+    low = " -_.@:/x\u0130\u212a\u00e9\n"
+    pieces = ["a.bc", "A-.b.co", "1.2.3.4", "999.1.1.1.", "HTTPS://Q/x'", "http://", "a@b.cd", "CVE-2024-12345678", "cve-2024-1234", "A" * 32, "b" * 40, "c" * 64, "9" * 33, "x" * 64 + ".com", "e1" * 16 + ".org"]
+    texts = [a + s + b for a in pieces for b in pieces for s in low]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    kinds = {"ip": tk.EVENT_IP, "domain": tk.EVENT_DOMAIN, "hash_sha256": tk.EVENT_SHA256, "url": tk.URL, "email": tk.EMAIL, "cve": tk.CVE, "hash_md5": tk.MD5, "hash_sha1": tk.SHA1}
+    lists = df.select("id", *[F.array_distinct(tk.find_all(F.lower("text"), p)).alias(k) for k, p in kinds.items()]).collect()
+    for extended in (True, False):
+        got = tk.event_token_rows(df, "text", ["id"], extended=extended)
+        want = [(r.id, k, v) for r in lists for k in (kinds if extended else list(kinds)[:3]) for v in r[k]]
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len({k for _, k, _ in want}) == (8 if extended else 3)
+        # A text is asked for a dot once, and for digests by the search itself.
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(", .)") == 1 and not re.search(r"RLIKE\([^,]*, [^,]*\{32\}", plan)
+
+
 def test_tokens_of_events_do_not_move_to_a_small_feed(spark):
     events = spark.range(50).select("id", F.parse_json(F.concat(F.lit('{"h":"h'), F.col("id"), F.lit('.example.com"}'))).alias("e"))
     feed = spark.range(20_000).select(F.lit("domain").alias("ioc_type"), F.concat(F.lit("h"), F.col("id") * 2, F.lit(".example.com")).alias("value"))
