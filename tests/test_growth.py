@@ -85,6 +85,17 @@ def test_valid_tokens_are_never_copied_to_the_driver(spark):
     assert "BuildRight" in plan and "BuildLeft" not in plan and sorted(r.id for r in got.collect()) == list(range(0, 50, 2))
 
 
+def test_valid_tokens_get_their_keys_in_compiled_code(spark):
+    day = "timestamp_ntz '2024-01-0{}'"
+    tokens = spark.range(6).selectExpr("id", "'ip' AS ioc_type", "'v' AS value", f"IF(id = 5, NULL, {day.format(1)} + make_dt_interval(cast(id AS int))) AS ts")
+    feed = spark.range(3).selectExpr("'ip' AS ioc_type", "'v' AS value", "id AS weight", f"IF(id = 0, {day.format(2)}, NULL) AS first_seen", f"IF(id = 2, NULL, {day.format(4)}) AS expires")
+    got = match_valid(tokens, feed)
+    made = [line for line in plan_of(got).splitlines() if "Generate explode" in line]
+    assert made and not any("lambda" in line for line in made)
+    # One entry with both bounds, one that ends, one without bounds; a token without time meets none.
+    assert sorted((r.id, r.weight) for r in got.collect()) == [(0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (3, 2), (4, 2)]
+
+
 def test_pairs_of_a_block_are_made_once(spark, write):
     got = read_event_blocks(spark, write("blocks.txt", "Event[1]:\n A: 1\n A: 2: x\nnothing\nEvent[2]:\nnothing\nEvent[3]:\nB: \n"))
     assert plan_of(got).count("split_part(") <= 1
